@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import quality, toxicity
+from lodeweave.llm import packing, quality, toxicity, warc
 from lodeweave.llm.shared import held_out, table
 
 
@@ -24,5 +24,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op6_packing": op6_packing, "op8_warc": op8_warc}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH hashed AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        won AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS winner FROM hashed)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+        FROM won""",
+}
