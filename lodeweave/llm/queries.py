@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import fingerprints, ngram_join, packing, quality, topk, toxicity, warc
+from lodeweave.llm import fingerprints, ngram_join, packing, quality, substrings, topk, toxicity, warc
 from lodeweave.llm.shared import held_out, table
 
 
@@ -48,7 +48,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_substrings": op10_substrings}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
         WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS e FROM embeddings
@@ -76,4 +80,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
         FROM won""",
+    "op10_substrings": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS k, w FROM w WHERE len(w) >= 35),
+        h AS (SELECT doc_id, k, sha256(array_to_string(w[k:k + 34], ' ')) AS h FROM g),
+        again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+        p AS (SELECT DISTINCT doc_id, k + unnest(range(35)) AS k FROM h JOIN again USING (h)),
+        c AS (SELECT doc_id, count(*) AS n, list(k) AS gone FROM p GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN c USING (doc_id)""",
 }
