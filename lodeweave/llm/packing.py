@@ -13,12 +13,17 @@ table gives an empty result; other columns are left behind.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,63 +40,111 @@ CACHE_WORDS = 400_000
 _state: dict[str, object] = {}
 #: Where a text can't be cut at white space as Python sees it without changing its tokens.
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
+# The normalizer and the pre-tokenizer's pattern of word_bpe_49k.json.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUT = regex.compile(f"{_PRE_TOKENS}| ")
+
+
+class _Ids:
+    """The ids of many strings, by number, in one growing array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, more = len(self.number), len(keys)
+        self.start, self.n, self.flat = _grown(self.start, k + more), _grown(self.n, k + more), _grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + more] = self.used + np.cumsum(sizes) - sizes
+        self.n[k : k + more] = sizes
+        self.used += len(ids)
+        self.number.update(zip(keys, range(k, k + more), strict=True))
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The keys' numbers, -1 where unknown."""
+        return np.fromiter(map(self.number.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.n[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[numbers] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 def _tokenizer(path: str):
+    """The tokenizer, and whether it works as _NORMALIZER and _PRE_TOKENS say, so that it may be asked word by word."""
     if _state.get("path") != path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={}, flat=np.zeros(1 << 16, np.uint32), start=np.zeros(1 << 14, np.int64), n=np.zeros(1 << 14, np.int64), used=0)
-    return _state["tokenizer"]
-
-
-def _grown(a: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(a):
-        return a
-    out = np.zeros(max(n, 2 * len(a)), a.dtype)
-    out[: len(a)] = a
-    return out
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        known = parts["model"].get("end_of_word_suffix") == "</w>" and parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _PRE_TOKENS}
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), lean=None)
+        if known:  # the same model for text that is normalised and cut already
+            last = np.zeros(max(parts["model"]["vocab"].values()) + 1, bool)
+            last[[k for word, k in parts["model"]["vocab"].items() if word.endswith("</w>")]] = True
+            parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            _state.update(lean=Tokenizer.from_str(json.dumps(parts)), last=last, words=_Ids(), parts=_Ids())
+    return _state["tokenizer"], _state["lean"] is not None
 
 
-def _learn(tokenizer, missing: list[str]) -> None:
+def _learn(missing: list[str]) -> None:
     """Remember the ids of words: white space always ends a token, so a text's ids are those of its words in turn."""
-    known = _state["words"]
-    for lo in range(0, len(missing), 4096):
-        part = missing[lo : lo + 4096]
-        for word, encoding in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = encoding.ids
-            k, used = len(known), _state["used"]
-            _state["start"], _state["n"] = _grown(_state["start"], k + 1), _grown(_state["n"], k + 1)
-            _state["flat"] = _grown(_state["flat"], used + len(ids))
-            _state["flat"][used : used + len(ids)] = ids
-            _state["start"][k], _state["n"][k] = used, len(ids)
-            _state["used"] = used + len(ids)
-            known[word] = k
+    whole = " ".join(missing)
+    if not whole.isascii():
+        whole = unicodedata.normalize("NFC", whole).replace("\u03a3", "\u03c3")  # lower() makes a final sigma, the tokenizer doesn't
+    found = _CUT.findall(whole.lower())
+    gaps = np.array([t == " " for t in found])
+    tokens = [t for t in found if t != " "]
+    per_word = np.diff(np.concatenate([[-1], np.flatnonzero(gaps), [len(found)]])) - 1
+    parts = _state["parts"]
+    if len(parts.number) > CACHE_WORDS:
+        parts = _state["parts"] = _Ids()
+    numbers = parts.numbers(tokens)
+    fresh = sorted({tokens[j] for j in np.flatnonzero(numbers < 0).tolist()})
+    if fresh:
+        # All are encoded as one text; an id that ends a word shows where the next one begins.
+        ids = np.array(_state["lean"].encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(_state["last"][ids]) + 1
+        parts.add(fresh, ids, np.diff(np.concatenate([[0], ends])))
+        numbers = parts.numbers(tokens)
+    sizes = np.concatenate([[0], np.cumsum(parts.n[numbers])])
+    borders = np.concatenate([[0], np.cumsum(per_word)])
+    _state["words"].add(missing, parts.of(numbers), np.diff(sizes[borders]))
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Every text's ids, as uint32, without special tokens added."""
-    tokenizer = _tokenizer(path)
-    cut = [None if _WHOLE.search(t) else t.split() for t in texts]
-    if len(_state["words"]) > CACHE_WORDS:
-        _state.update(words={}, used=0)
+    tokenizer, by_word = _tokenizer(path)
+    if not by_word:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if len(_state["words"].number) > CACHE_WORDS:
+        _state["words"] = _Ids()
     known = _state["words"]
-    missing = {w for ws in cut if ws is not None for w in ws if w not in known}
+    cut = [None if _WHOLE.search(t) else t.split() for t in texts]
+    places = [None if ws is None else known.numbers(ws) for ws in cut]
+    unknown = [None if k is None else np.flatnonzero(k < 0) for k in places]
+    missing = {cut[i][j] for i, at in enumerate(unknown) if at is not None for j in at.tolist()}
     if missing:
-        _learn(tokenizer, sorted(missing))
+        _learn(sorted(missing))
     out = []
-    for t, ws in zip(texts, cut, strict=True):
-        if ws is None:
+    for t, ws, k, at in zip(texts, cut, places, unknown, strict=True):
+        if k is None:
             out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-            continue
-        k = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-        n, start = _state["n"][k], _state["start"][k]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        out.append(_state["flat"][np.repeat(start - ends + n, n) + np.arange(total)])
+        else:
+            k[at] = [known.number[ws[j]] for j in at.tolist()]
+            out.append(known.of(k))
     return out
 
 
