@@ -5,6 +5,497 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeweave.functions import html as H
+from lodeweave.functions import retry as R
+from lodeweave.functions import text as T
+from lodeweave.functions import urls as U
+from lodeweave.operators import cache as C
+from lodeweave.operators import chunks, crawl, dedupe, metrics, retrieval
+from lodeweave.plans import ingest
+from lodeweave.plans import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def now():
+    return F.lit(D.NOW).cast("timestamp")
+
+
+SQL_NOW = f"TIMESTAMP '{D.NOW}'"
+SQL_AGE = f"CAST(floor((epoch_us({SQL_NOW}) - epoch_us(last_scraped)) / 86400000000) AS BIGINT)"
+SQL_MAX_AGE = f"CASE WHEN {' OR '.join(f'contains(lower(url), {D.quoted(k)})' for k in U.CACHE_AGE[1])} THEN 1 WHEN {' OR '.join(f'contains(lower(url), {D.quoted(k)})' for k in U.CACHE_AGE[90])} THEN 90 {' '.join(f'WHEN lower(category) = {D.quoted(k)} THEN {v}' for k, v in U.CATEGORY_AGE.items())} ELSE {U.DEFAULT_AGE} END"
+SQL_FRESH = f"(epoch_us({SQL_NOW}) - epoch_us(last_scraped) < ({SQL_MAX_AGE}) * 86400000000)"
+
+
+# Retrieval
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = D.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row else []
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "embeddings").withColumn("collection", F.col("label").cast("string"))
+
+
+_DISTANCE = "1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"""WITH d AS (SELECT vec_id, CAST(label AS VARCHAR) AS collection, {_DISTANCE} AS distance FROM embeddings),
+    b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY collection ORDER BY distance, vec_id) <= 3),
+    t AS (SELECT *, CAST(row_number() OVER (ORDER BY distance, collection, vec_id) AS INTEGER) AS rank FROM b)
+    SELECT vec_id, collection, rank, round(greatest(0, 1 - distance), 6) AS relevance FROM t WHERE rank <= 5 AND greatest(0, 1 - distance) > 0.1""")
+def rag_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.across_collections(_store(spark, sf_dir), _first_vector(spark, sf_dir), "vec_id")
+    return hits.select("vec_id", "collection", "rank", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"""WITH d AS (SELECT vec_id, {_DISTANCE} AS distance FROM embeddings WHERE label = 3), t AS (SELECT * FROM d ORDER BY distance, vec_id LIMIT 10)
+    SELECT vec_id, round(1 - distance, 6) AS score FROM t WHERE 1 - distance >= 0.1""")
+def vector_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.search(_store(spark, sf_dir), _first_vector(spark, sf_dir), 10, F.col("label") == 3, key="vec_id")
+    return hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.across_collections(_store(spark, sf_dir), _first_vector(spark, sf_dir), "vec_id")
+    rows = hits.withColumns({"text": F.concat(F.lit(" vector "), F.col("vec_id").cast("string")), "title": F.lit(""), "source_url": F.lit("https://host.test")})
+    return retrieval.answer(rows, "Bewerbung für höhere Fachsemester", ["0", "1"])
+
+
+@query("SELECT CAST(label AS VARCHAR) AS collection, count(*) AS document_count FROM embeddings GROUP BY 1")
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).groupBy("collection").agg(F.count("*").alias("document_count"))
+
+
+@query()
+def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded by the default provider, and the nearest to document 0's text."""
+    embed = retrieval.PROVIDERS["hashing"](64)
+    rows = D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("embedding"))
+    first = rows.where("id = 0").select("embedding").first()
+    return retrieval.search(rows, list(first[0]) if first else [0.0] * 64, 10).select("id", F.round("score", 4).alias("score"))
+
+
+# Text
+
+
+@query(f"""WITH c AS (SELECT doc_id, {D.sql_clean('text')} AS t FROM documents), w AS (SELECT doc_id, t, {D.sql_words('t')} AS w FROM c)
+    SELECT doc_id, length(t) AS char_count, CAST(len(w) AS INTEGER) AS word_count, md5(t) AS digest,
+    length(t) >= 100 AND len(w) >= 20 AND list_sum(list_transform(w, lambda x: length(x))) / len(w) >= 3 AS is_substantial FROM w""")
+def clean_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("char_count"), T.word_count(F.col("t")).alias("word_count"), F.md5("t").alias("digest"), T.is_substantial(F.col("t")).alias("is_substantial"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_transform(string_split(text, chr(10)), lambda x: {D.sql_strip('x')}) AS bare FROM documents),
+    k AS (SELECT doc_id, array_to_string(list_filter(lines, lambda x: length({D.sql_strip('x')}) <= 10 OR len(list_filter(bare, lambda b: b = {D.sql_strip('x')})) < 3), chr(10)) AS t FROM l)
+    SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM k""")
+def dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).select("doc_id", T.drop_repeated_lines(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 1000 THEN length(text) WHEN length(text) < 5000 THEN 1000 ELSE 1500 END AS size, length(text) > 500 AS is_long, CASE WHEN length(text) > 100 THEN text[1:100] || '...' ELSE text END AS preview FROM documents")
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.docs(spark, sf_dir).select("doc_id", T.optimal_chunk_size(t).cast("long").alias("size"), T.is_long(t).alias("is_long"), T.preview(t, 100).alias("preview"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join('CASE WHEN ' + ' OR '.join(f'contains(lower(text), {D.quoted(k)})' for k in keys) + f' THEN {D.quoted(t)} END' for t, keys in T.TOPICS.items())}], lambda x: x IS NOT NULL), ',') AS topics FROM documents")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.docs(spark, sf_dir).select("doc_id", F.array_join(T.topics(F.col("text")), ",").alias("topics"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, regexp_extract(text[201:400], '^((?s:.*?)[.!?…](?:[''")\\]]+)?)({D.WS}|$)', 1) AS stop FROM documents)
+    SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text WHEN stop <> '' THEN regexp_replace(text[1:200] || stop, '{D.WS}+$', '') ELSE regexp_replace(text[1:200], '{D.WS}+$', '') || '…' END) AS digest FROM s""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.docs(spark, sf_dir).select("doc_id", F.md5(T.trim_snippet(F.col("text"), gate=300)).alias("digest"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, array_to_string(list_filter(flatten(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda l: list_transform(string_split({D.sql_strip('l')}, '  '), lambda x: {D.sql_strip('x')}))), lambda x: x <> ''), chr(10)) AS t FROM documents)
+    SELECT doc_id, md5(CASE WHEN length(t) > 2000 THEN t[1:2000] || '... (Text gekürzt)' ELSE t END) AS digest FROM p""")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.docs(spark, sf_dir).select("doc_id", F.md5(T.page_text(F.col("text"))).alias("digest"))
+
+
+@query("WITH a AS (SELECT doc_id, (['a.b@host.de', 'bad@host', 'x@y.org ', '@host.de', 'ok+1@sub.host.com'])[CAST(doc_id % 5 + 1 AS BIGINT)] AS address FROM documents) SELECT doc_id, regexp_matches(address, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$') AS valid FROM a")
+def email_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = D.pick(["a.b@host.de", "bad@host", "x@y.org ", "@host.de", "ok+1@sub.host.com"], F.col("doc_id"))
+    return D.docs(spark, sf_dir).select("doc_id", T.is_email(address).alias("valid"))
+
+
+# De-duplication
+
+
+@query(f"WITH h AS (SELECT doc_id, sha256({D.sql_strip('lower(text)')}) AS content_hash FROM documents) SELECT doc_id, content_hash, min(doc_id) OVER (PARTITION BY content_hash) AS first_id FROM h")
+def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return dedupe.exact_duplicates(rows).withColumnRenamed("id", "doc_id")
+
+
+_SHINGLES = "CASE WHEN len(w) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END"
+
+
+@query(f"WITH w AS (SELECT doc_id, {D.sql_words('lower(text)')} AS w FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS s FROM w) SELECT doc_id, CAST(len(s) AS INTEGER) AS n_shingles, md5(coalesce(array_to_string(list_sort(s), ''), '')) AS shingle_hash FROM s")
+def shingle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir)
+    return rows.select("doc_id", F.size(T.shingles(F.col("text"))).alias("n_shingles"), T.shingle_hash(F.col("text")).alias("shingle_hash"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {D.sql_words('lower(text)')} AS w FROM documents), c AS (SELECT doc_id, {D.sql_words('lower(text[1:5000])')} AS w FROM documents),
+    a AS (SELECT doc_id, {_SHINGLES} AS s FROM f), b AS (SELECT doc_id, {_SHINGLES} AS s FROM c),
+    x AS (SELECT doc_id AS i, len(s) AS n, unnest(s) AS g FROM a), y AS (SELECT doc_id AS j, len(s) AS m, unnest(s) AS g FROM b),
+    p AS (SELECT i, j, count(*) AS k, any_value(n) AS n, any_value(m) AS m FROM x JOIN y USING (g) WHERE j < i GROUP BY i, j)
+    SELECT i, j, round(k / (n + m - k), 6) AS jaccard FROM p WHERE k / (n + m - k) >= 0.85""")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return dedupe.near_pairs(rows).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.greedy(D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query()
+def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.statistics(greedy_dedupe(spark, sf_dir))
+
+
+# Addresses
+
+_NETLOC = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
+_PATH = "regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '')"
+_PARTS = f"list_filter(string_split({_PATH}, '/'), lambda p: p <> '')"
+_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+
+
+@query(f"""WITH {D.ADDRESSES} SELECT doc_id, {D.sql_first_match('lower(url)', [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)} AS category,
+    CASE WHEN contains(url, '/de') THEN 'de' WHEN contains(url, '/en') THEN 'en' ELSE 'unknown' END AS language, {_NETLOC} AS netloc, array_to_string({_PARTS}, '/') AS url_path, CAST(len({_PARTS}) AS INTEGER) AS url_depth,
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || {_NETLOC} || {_PATH} || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END AS normalised FROM addresses""")
+def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return D.addresses(spark, sf_dir).select("doc_id", U.category(u).alias("category"), U.language(u).alias("language"), U.netloc(u).alias("netloc"), U.url_path(u).alias("url_path"), U.url_depth(u).alias("url_depth"), U.normalised(u).alias("normalised"))
+
+
+@query(f"""WITH {D.ADDRESSES} SELECT doc_id, string_split({_PATH}, '/')[-1] AS filename, replace(string_split({_PATH}, '/')[-1], '.pdf', '') || '_' || md5(url)[1:12] || '.pdf' AS pdf_filename,
+    {D.sql_first_match('lower(url)', [([k], v) for k, v in U.PROGRAMMES.items()])} AS programme, {D.sql_first_match('lower(url)', [(k, v) for v, k in U.DOCUMENT_TYPES.items()])} AS document_type,
+    {D.sql_first_match('lower(url)', [(k, v) for v, k in U.DEGREES.items()])} AS degree FROM addresses""")
+def pdf_url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return D.addresses(spark, sf_dir).select("doc_id", U.filename(u).alias("filename"), U.pdf_filename(u).alias("pdf_filename"), U.study_programme(u).alias("programme"), U.document_type(u).alias("document_type"), U.degree(u).alias("degree"))
+
+
+_ALLOWED = f"{_NETLOC} IN ('host.test', 'en.other.test') AND {' AND '.join(f'NOT regexp_matches(lower(url), {D.quoted(p)})' for p in U.EXCLUDED)}"
+
+
+@query(f"WITH {D.ADDRESSES} SELECT doc_id, {_ALLOWED} AS allowed, CASE WHEN lower(url) LIKE '%.pdf' THEN CASE WHEN {_NETLOC} IN ('host.test', 'en.other.test') THEN 'pdf' END WHEN {_ALLOWED} THEN 'page' END AS kind FROM addresses")
+def allowed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = ["host.test", "en.other.test"]
+    return D.addresses(spark, sf_dir).select("doc_id", U.is_allowed(F.col("url"), domains).alias("allowed"), U.link_kind(F.col("url"), domains).alias("kind"))
+
+
+@query(f"SELECT {D.sql_first_match('lower(url)', [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)} AS category, count(*) AS cnt FROM pages GROUP BY 1")
+def page_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").groupBy(U.category(F.col("url")).alias("category")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {D.ADDRESSES} SELECT {D.sql_first_match('lower(url)', [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)} AS category, count(*) AS cnt FROM addresses GROUP BY 1")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.addresses(spark, sf_dir).groupBy(U.category(F.col("url")).alias("category")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {D.ADDRESSES} SELECT doc_id, sha256(url || '#' || doc_id % 7)[1:16] AS id FROM addresses")
+def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.addresses(spark, sf_dir).select("doc_id", U.document_id(F.col("url"), F.col("doc_id") % 7).alias("id"))
+
+
+@query(f"WITH {D.ADDRESSES} SELECT doc_id, CASE WHEN contains({_NETLOC}, 'host') THEN 'own' ELSE 'Externe Quelle: ' || {_NETLOC} END AS label FROM addresses")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.addresses(spark, sf_dir).select("doc_id", U.source_label(F.col("url"), "host", "own").alias("label"))
+
+
+# Cache
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.latest(D.fetch_log(spark, sf_dir), ["last_scraped", "event_id"])
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses known to the cache and new ones."""
+    known = _cache(spark, sf_dir).select("url")
+    return known.unionByName(known.select(F.concat("url", F.lit("/new")).alias("url")))
+
+
+_URLS = f"{D.CACHE}, urls AS (SELECT url FROM cache UNION ALL SELECT url || '/new' FROM cache), j AS (SELECT urls.url, cache.url IS NOT NULL AS cached, content_hash, last_scraped, success, category FROM urls LEFT JOIN cache ON urls.url = cache.url)"
+
+
+@query(f"WITH {D.CACHE} SELECT url, event_id, content_hash, success, status_code, category FROM cache")
+def cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cache(spark, sf_dir).select("url", "event_id", "content_hash", "success", "status_code", "category")
+
+
+@query(f"WITH {D.CACHE} SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, count(*) FILTER ({SQL_FRESH}) AS fresh, count(*) FILTER (NOT {SQL_FRESH}) AS expired FROM cache")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.statistics(_cache(spark, sf_dir), now())
+
+
+@query(f"WITH {D.CACHE} SELECT category, count(*) AS cnt, repeat('█', CAST(floor(count(*) / 5) AS INTEGER)) AS bar FROM cache GROUP BY category")
+def cache_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.category_bars(_cache(spark, sf_dir))
+
+
+@query(f"WITH {D.CACHE} SELECT url, {SQL_AGE} AS age_days, CAST({SQL_MAX_AGE} AS INTEGER) AS max_age_days, {SQL_FRESH} AS fresh FROM cache")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cache(spark, sf_dir).select("url", C.age_days(now(), F.col("last_scraped")).alias("age_days"), U.max_age_days(F.col("url"), F.col("category")).alias("max_age_days"), C.is_fresh(now()).alias("fresh"))
+
+
+@query(f"WITH {_URLS} SELECT url, NOT cached OR NOT coalesce({SQL_FRESH}, false) AS should_scrape FROM j")
+def cache_should_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.should_scrape(_urls(spark, sf_dir), _cache(spark, sf_dir), now())
+
+
+_DAYS = D.sql_first_match("lower(url)", [(k, d) for k, d, _ in U.REFETCH], U.REFETCH_ELSE[0])
+_STALE = f"epoch_us({SQL_NOW}) - epoch_us(last_scraped) >= ({_DAYS}) * 86400000000"
+
+
+@query(f"""WITH {_URLS}, r AS (SELECT *, CASE WHEN NOT cached THEN 'new' WHEN NOT success THEN 'failed_before' WHEN {_STALE} THEN 'expired' ELSE 'skipped' END AS bucket, {SQL_AGE} AS age FROM j)
+    SELECT url, bucket <> 'skipped' AS should_scrape, CASE bucket WHEN 'new' THEN 'new_url' WHEN 'failed_before' THEN 'previous_failure' WHEN 'expired' THEN 'expired_cache_' || age || 'd' ELSE 'fresh_cache_' || age || 'd' END AS reason,
+    bucket, age AS age_days, CAST({_DAYS} AS INTEGER) AS max_age_days, {D.sql_first_match('lower(url)', [(k, p) for k, _, p in U.REFETCH], U.REFETCH_ELSE[1])} AS priority FROM r""")
+def rescrape_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.decide(_urls(spark, sf_dir), _cache(spark, sf_dir), now())
+
+
+@query(f"WITH {_URLS} SELECT CASE WHEN NOT cached THEN 'new' WHEN NOT success THEN 'failed_before' WHEN {_STALE} THEN 'expired' ELSE 'skipped' END AS bucket, count(*) AS cnt FROM j GROUP BY 1")
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.bucket_counts(rescrape_plan(spark, sf_dir))
+
+
+@query(f"""WITH {_URLS}, s AS (SELECT url, {D.sql_first_match('lower(url)', U.SCORES, U.BASE_SCORE)} + CASE WHEN NOT cached THEN 30 WHEN {SQL_AGE} > 90 THEN 20 WHEN {SQL_AGE} > 30 THEN 10 WHEN {SQL_AGE} < 7 THEN -20 ELSE 0 END AS s FROM j)
+    SELECT url, CAST(least(100, greatest(0, s)) AS INTEGER) AS score FROM s""")
+def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.prioritised(_urls(spark, sf_dir), _cache(spark, sf_dir), now()).orderBy(F.desc("score"), "url")
+
+
+@query(f"""WITH {D.FETCH_LOG}, cache AS (SELECT * FROM fetch_log WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_scraped DESC, event_id DESC) = 1),
+    d AS (SELECT url, content_hash AS h, word_count AS n FROM fetch_log QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_scraped DESC, event_id DESC) = 1),
+    j AS (SELECT d.url, n, c.word_count AS o, CASE WHEN c.url IS NULL THEN 'new' WHEN c.content_hash = sha256(d.h) THEN 'identical' ELSE 'modified' END AS change_type FROM d LEFT JOIN (SELECT url, word_count, sha256(content_hash) AS content_hash FROM cache) c ON d.url = c.url)
+    SELECT url, change_type, change_type <> 'identical' AS changed, CASE WHEN change_type = 'modified' THEN o END AS word_count_old, CASE WHEN change_type = 'modified' THEN n END AS word_count_new,
+    CASE WHEN change_type = 'modified' THEN n - o END AS word_diff, round(CASE WHEN change_type = 'modified' THEN CASE WHEN o > 0 THEN (n - o) / o * 100 ELSE 0 END END, 6) AS word_diff_pct FROM j""")
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = D.fetch_log(spark, sf_dir)
+    old = C.latest(log.where("event_id % 2 = 0"), ["last_scraped", "event_id"]).withColumn("content_hash", F.sha2("content_hash", 256))
+    new = C.latest(log, ["last_scraped", "event_id"]).select("url", F.col("content_hash").alias("content"), "word_count")
+    return C.changes(new, old).withColumn("word_diff_pct", F.round("word_diff_pct", 6))
+
+
+@query(f"WITH {D.CACHE} SELECT url FROM cache WHERE url ILIKE '%NEWS%'")
+def cache_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.search(_cache(spark, sf_dir), "NEWS").select("url")
+
+
+@query(f"WITH {D.CACHE} SELECT url, category FROM cache WHERE category IS DISTINCT FROM 'news'")
+def invalidate_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.without_category(_cache(spark, sf_dir), "news").select("url", "category")
+
+
+@query(f"WITH {D.CACHE} SELECT url FROM cache WHERE NOT (epoch_us(last_scraped) < epoch_us({SQL_NOW}) - 2 * 86400000000)")
+def invalidate_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.without_older(_cache(spark, sf_dir), now(), 2).select("url")
+
+
+@query(f"WITH {D.CACHE}, r AS (SELECT upper(coalesce(category, 'uncategorized')) AS category, count(*) AS cnt, array_to_string(list_sort(list(url))[1:15], ' ') AS urls FROM cache GROUP BY 1) SELECT * FROM r")
+def cache_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.listing(_cache(spark, sf_dir)).withColumn("urls", F.array_join("urls", " "))
+
+
+@query(f"WITH {D.CACHE} SELECT url, last_scraped FROM cache ORDER BY last_scraped DESC, url LIMIT 20")
+def recent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.recent(_cache(spark, sf_dir)).select("url", "last_scraped")
+
+
+@query()
+def cache_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.text_report(_cache(spark, sf_dir), now())
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT url, content_hash, last_scraped AS scraped_at, success FROM fetch_log")
+def scrape_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.history(D.fetch_log(spark, sf_dir)).drop("error_message")
+
+
+# Metrics
+
+
+@query(f"""WITH {D.FETCH_LOG} SELECT count(*) AS urls_crawled, count(*) FILTER (success) AS urls_successful, count(*) FILTER (NOT success) AS urls_failed, round(avg(CAST(success AS INTEGER)), 6) AS success_share, round(avg(CAST(success AS INTEGER)) * 100, 6) AS success_rate,
+    round(avg(response_time), 6) AS avg_response_time, CAST(floor(avg(content_size)) AS BIGINT) AS avg_content_size, CAST(sum(content_size) AS BIGINT) AS total_content_size, round(count(*) / 3600.0, 6) AS crawl_rate FROM fetch_log""")
+def fetch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.fetch_metrics(D.fetch_log(spark, sf_dir), F.lit(3600.0))
+    return out.withColumns({c: F.round(c, 6) for c in ("success_share", "success_rate", "avg_response_time", "crawl_rate")})
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT error, count(*) AS cnt FROM fetch_log WHERE error IS NOT NULL GROUP BY error")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.counts_by(D.fetch_log(spark, sf_dir), "error")
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT status_code, count(*) AS cnt FROM fetch_log WHERE status_code <> 0 GROUP BY status_code")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.counts_by(D.fetch_log(spark, sf_dir), "status_code").orderBy("status_code")
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT 'pdf_' || error AS error, count(*) AS cnt FROM fetch_log WHERE error IS NOT NULL GROUP BY error")
+def pdf_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.prefixed_errors(D.fetch_log(spark, sf_dir), "pdf")
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT count(*) AS pdfs_found, count(*) FILTER (success) AS pdfs_extracted, count(*) FILTER (NOT success) AS pdfs_failed FROM fetch_log")
+def pdf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pdf_metrics(D.fetch_log(spark, sf_dir))
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT category, count(*) AS cnt FROM fetch_log WHERE category IS NOT NULL GROUP BY category ORDER BY cnt DESC, category LIMIT 3")
+def category_counts_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top_counts(D.fetch_log(spark, sf_dir), "category", 3)
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT event_id, url, success FROM fetch_log ORDER BY event_id DESC LIMIT 100")
+def last_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.last_rows(D.fetch_log(spark, sf_dir), "event_id").select("event_id", "url", "success")
+
+
+@query(f"""WITH d AS (SELECT doc_id % 7 <> 0 AS ok, text, CAST(len({D.sql_words('text')}) AS BIGINT) AS n, source FROM documents)
+    SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(avg(CAST(ok AS INTEGER)), 6) AS success_rate, round(avg(length(text)) FILTER (ok), 6) AS avg_content_length,
+    CAST(sum(n) FILTER (ok) AS BIGINT) AS total_words, count(DISTINCT source) FILTER (ok) AS unique_domains FROM d""")
+def scrape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.table(spark, sf_dir, "documents").select((F.col("doc_id") % 7 != 0).alias("success"), F.col("text").alias("content"), T.word_count(F.col("text")).alias("word_count"), F.col("source").alias("domain"))
+    return metrics.scrape_statistics(rows).withColumns({c: F.round(c, 6) for c in ("success_rate", "avg_content_length")})
+
+
+@query("SELECT conv_id, count(*) AS total, count(*) FILTER (role = 'user') AS human, count(*) FILTER (role = 'assistant') AS ai FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.conversation_summary(D.table(spark, sf_dir, "conversations"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant')) SELECT conv_id, turn, role, CASE WHEN length(text) > 100 THEN text[1:100] || '...' ELSE text END AS preview FROM r WHERE k <= 5")
+def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.recent_messages(D.table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT 'doc_id' AS field_name, count(doc_id) / count(*) AS presence_rate, 'bigint' AS data_type FROM documents UNION ALL SELECT 'text', count(*) FILTER (text IS NOT NULL AND text <> '') / count(*), 'string' FROM documents
+    UNION ALL SELECT 'lang', count(*) FILTER (lang IS NOT NULL AND lang <> '') / count(*), 'string' FROM documents UNION ALL SELECT 'source', count(*) FILTER (source IS NOT NULL AND source <> '') / count(*), 'string' FROM documents
+    UNION ALL SELECT 'n_chars', count(n_chars) / count(*), 'bigint' FROM documents""")
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.profile(D.table(spark, sf_dir, "documents")).drop("avg_length")
+
+
+@query()
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.profile_summary(D.table(spark, sf_dir, "documents"), "text", "source")
+
+
+# Retries
+
+
+@query("""WITH r AS (SELECT event_id, (['connection', 'timeout', 'response', 'other'])[CAST(event_id % 4 + 1 AS BIGINT)] AS kind, ([404, 403, 429, 500, 503, 418])[CAST(event_id % 6 + 1 AS BIGINT)] AS status, event_id % 8 AS n FROM events)
+    SELECT event_id, least(pow(2.0, n), 60.0) AS delay, CAST(2 * (n + 1) AS DOUBLE) AS linear, kind IN ('connection', 'timeout') OR (kind = 'response' AND status >= 500) AS retryable,
+    CASE kind WHEN 'connection' THEN 'connection_error' WHEN 'timeout' THEN 'timeout' WHEN 'response' THEN CASE WHEN status = 404 THEN 'not_found' WHEN status = 403 THEN 'forbidden' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' ELSE 'http_' || status END ELSE 'unknown_error' END AS error FROM r""")
+def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.table(spark, sf_dir, "events")
+    kind, n = D.pick(["connection", "timeout", "response", "other"], F.col("event_id")), F.col("event_id") % 8
+    status = F.element_at(F.array(*[F.lit(x) for x in (404, 403, 429, 500, 503, 418)]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", R.backoff(n, R.RetryConfig(jitter=False)).alias("delay"), R.linear_backoff(n).alias("linear"), R.is_retryable(kind, status).alias("retryable"), R.error_name(kind, status).alias("error"))
+
+
+# Chunks
+
+
+@query()
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.docs(spark, sf_dir).select("doc_id", F.posexplode(chunks.packed(F.col("text"))).alias("chunk_index", "text"))
+
+
+@query()
+def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
+    return chunks.exploded(rows, "text", preserve_headers=False)
+
+
+@query()
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
+    return chunks.exploded(rows, "text", preserve_headers=False)
+
+
+@query()
+def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", "\n# Part\n"))
+    return chunks.exploded(rows, "text")
+
+
+# Pages
+
+
+@query()
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf("url", "html").alias("p")).select("page_id", "p.title", "p.content", "p.domain", "p.word_count", "p.description")
+
+
+@query()
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf("url", "html").alias("p")).select("page_id", F.posexplode("p.links").alias("place", "l")).select("page_id", "place", "l.url", "l.text")
+
+
+@query()
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", T.clean_text(H.cleaned_udf("html")).alias("text"))
+
+
+@query()
+def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", F.explode(H.crawl_links_udf("url", "html")).alias("link"))
+
+
+@query()
+def page_tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", T.page_text(H.visible_text_udf("html")).alias("text"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'https://g.test/p/' || doc_id AS src, 'https://g.test/p/' || (2 * doc_id + 1) AS dst FROM documents WHERE doc_id < 2000 UNION ALL SELECT 'https://g.test/p/' || doc_id, 'https://g.test/p/' || (3 * doc_id + 2) FROM documents WHERE doc_id < 2000),
+    r AS (SELECT 'https://g.test/p/0' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 40)
+    SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents").where("doc_id < 2000").select("doc_id")  # the size of the made-up site
+    page = lambda n: F.concat(F.lit("https://g.test/p/"), n.cast("string"))
+    edges = d.select(page(F.col("doc_id")).alias("src"), page(2 * F.col("doc_id") + 1).alias("dst")).unionByName(d.select(page(F.col("doc_id")).alias("src"), page(3 * F.col("doc_id") + 2).alias("dst")))
+    return crawl.crawl(edges, "https://g.test/p/0", ["g.test"]).select("url", "depth")
+
+
+# The whole pipeline
+
+
+@query()
+def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.store_rows(ingest.scraped_pages(spark, sf_dir)).drop("embedding")
+
+
+@query()
+def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.report(spark, sf_dir)
