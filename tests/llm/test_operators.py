@@ -1,0 +1,313 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest import same_rows
+from pyspark.sql import functions as F
+
+from lodeweave.llm import components, fingerprints, markup, ngram_join, packing, quality, queries, substrings, topk, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, score double, _hash string, kept int, component_id long, toxicity string"
+
+
+def make_docs(seed=1, groups=8, size=6):
+    """Documents with copies, near copies, shared passages, nulls, empty, white and very long texts, and clashing columns."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeéXY") for _ in range(rng.randrange(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    texts = []
+    for _ in range(groups):
+        base = [word() for _ in range(rng.choice([3, 12, 90, 200]))]
+        for _ in range(rng.randrange(1, size)):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                w[rng.randrange(len(w))] = word()
+            if rng.random() < 0.3:
+                w[len(w) // 2 : len(w) // 2] = passage.split()
+            texts.append(rng.choice([" ", "\n", "  \t"]).join(w))
+    texts += [None, "", "   \n", "one", "One", "one two", passage, passage + " " + passage, "long " * 3000 + "tail", "long " * 3000 + "tail"]
+    rng.shuffle(texts)
+    rows = [(i * 3, t, rng.choice(["en", "de", None]), 0.5, "x", 1, 7, "y") for i, t in enumerate(texts)]
+    return rows + [rows[3], rows[3], (None, "no id here", None, None, None, None, None, None)]
+
+
+def shingles(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def groups_spec(rows):
+    """Component of each row by number, from all pairs."""
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize(("seed", "block", "hubs"), [(1, 1024, 3), (2, 2, 1)])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, seed, block, hubs):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
+    rows = make_docs(seed)
+    sets, comp = groups_spec(rows)
+    least = {}
+    for r, c in zip(rows, comp, strict=True):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    want = sorted(((r[0], len(s), least.get(c) if s else r[0]) for r, s, c in zip(rows, sets, comp, strict=True)), key=repr)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in ngram_join.classes(docs).collect()), key=repr) == want
+    kept = ngram_join.one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id for r in kept.where(F.col("doc_id").isNotNull()).collect()))
+    firsts = {least[c] for r, s, c in zip(rows, sets, comp, strict=True) if s and c in least and not any(q[0] is None and d == c for q, d in zip(rows, comp, strict=True))}
+    assert got == sorted([*firsts, *(r[0] for r, s in zip(rows, sets, strict=True) if not s)])
+
+
+def test_ngram_join_star_of_near_copies(spark):
+    """Copies of one base that differ from one another more than the threshold allows are still one group."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 25):
+        w = list(base)
+        for j in range(5):
+            w[(k * 11 + j * 57) % 300] = f"e{k}x{j}"
+        rows.append((k, " ".join(w)))
+    out = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in out} == {0}
+
+
+def test_trie_links_equals_set_arithmetic():
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 5000, 300).astype(np.uint64))
+    members = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, len(base)), replace=False), rng.integers(0, 5000, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(60)] + [base, base[:0], base[:200]]
+    both = [len(np.intersect1d(base, m)) for m in members]
+    want = [i for i, m in enumerate(members) if both[i] and 100 * both[i] >= 80 * (len(base) + len(m) - both[i])]
+    assert sorted(ngram_join.trie_links(base, members, 80)) == want
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(30)] + [(50, 40), (50, 60), (7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(31)) and got[40] == got[50] == got[60] == 40
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def removal_spec(rows, window):
+    words = [WORD.findall(r[1] or "") for r in rows]
+    seen = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - window + 1):
+            seen.setdefault(tuple(w[p : p + window]), []).append((i, p))
+    out = []
+    for i, w in enumerate(words):
+        gone = {q for p in range(len(w) - window + 1) if len(seen[tuple(w[p : p + window])]) > 1 for q in range(p, p + window)}
+        kept = " ".join(x for q, x in enumerate(w) if q not in gone)
+        out.append((rows[i][0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("seed", "window"), [(1, 35), (2, 35), (3, 12)])
+def test_substrings_against_all_windows(spark, seed, window):
+    rows = make_docs(seed)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in substrings.digests(docs, window).collect()), key=repr) == removal_spec(rows, window)
+    cut = substrings.deduplicated(docs, window)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+
+
+def test_substring_index_over_batches(spark):
+    index = substrings.FingerprintIndex()
+    for k in range(6):
+        index.add(spark.createDataFrame([(k,), (100,)], "a long"))
+    assert len(index.runs) <= substrings.MAX_RUNS
+    assert {(r.hash, r.n) for r in index.counts().collect()} == {*((k, 1) for k in range(6)), (100, 6)}
+    assert [r.a for r in index.repeated(spark.createDataFrame([(3,), (100,)], "a long")).collect()] == [100]
+
+
+def test_edited_fingerprints(spark):
+    rows = [(r[0], r[1]) for r in make_docs(4) if r[0] is not None]
+    rows = list(dict(sorted(rows, key=lambda r: r[0])).items())
+    ordered = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    marks = lambda t: fingerprints.of_texts([t.encode()])[0][1]
+    for i, (doc_id, here) in enumerate(ordered):
+        here, after = here or "", ordered[(i + 1) % len(ordered)][1] or ""
+        n = len(here)
+        edit = here[: n - n // 3] + after[: n // 3]
+        r = got[doc_id]
+        assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edit.encode()).hexdigest())
+        m = marks(edit)
+        assert r.edited_fingerprint == fingerprints.encoded(m if len(m) else fingerprints.whole_hash(edit.encode()))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if here == after:
+            assert r.near_next == 1
+    assert fingerprints.edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_syncmers_are_context_free():
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
+    one = fingerprints.of_texts([b"x" * 77 + passage])[0]
+    two = fingerprints.of_texts([b"other start " + passage + b" and end"])[0]
+    inside = lambda f, lo: [(p - lo, m) for p, m in zip(*f, strict=True) if lo <= p <= lo + len(passage) - fingerprints.K]
+    assert inside(one, 77) == inside(two, 12) and len(inside(one, 77)) > 5
+    assert all(b - a == 12 - 77 for a, b in fingerprints.matches(b"x" * 77 + passage, b"other start " + passage))
+
+
+def topk_spec(rows, k):
+    vec = {}
+    for i, v, _ in rows:
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        w = [int(np.floor(64.0 * float(np.float32(x)))) for x in v]
+        vec[i] = min(vec.get(i, w), w)
+    out = []
+    for q in vec:
+        if q % 20 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(vec[q], vec[c], strict=False)), c) for c in vec if c != q))[:k]
+            out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [(16384, 4096), (13, 2)])
+def test_topk_against_all_pairs(spark, blocks):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 4], 1) for i in range(120)]
+    rows += [(200, None, 1), (220, [None, 1.0], 1), (240, [float("nan")], 1), (260, [float("inf"), 0.0], 1), (280, [], 1), (300, [1.5], 1), (0, [0.25] * 8, 2), (0, [0.25] * 8, 2), (None, [1.0], 1), (320, [1e7, 2.0, -1e7], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    ready = df.where(topk.usable(F.col("embedding"))).select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v"))
+    got = topk.top_k(ready, F.col("vec_id") % 20 == 0, 20, 6, *blocks)
+    assert sorted(tuple(r) for r in got.collect()) == topk_spec(rows, 20)
+    assert topk.top_k(ready.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_pivots_spare_work():
+    rng = np.random.default_rng(1)
+    c = (rng.normal(0, 2, (2000, 8)) + rng.choice([-200, 200], (2000, 1))).astype(np.int64)
+    pivots = topk.choose_pivots(c, 8)
+    far = np.stack([np.linalg.norm(c - p, axis=1) for p in pivots], axis=1)
+    ids = np.arange(2000)
+    assert topk.block_best(c[:50], ids[:50], far[:50], c, ids, far, 20)[3] < 50 * 2000 * 0.7
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = make_docs(5) + [(9001, "ΑΣ Ας İ é it's 12345 <|endoftext|> x\x1cy, ﬁ ½ don't!!", *[None] * 6)]
+    out = packing.pack(packing.pieces(spark.createDataFrame(rows, SCHEMA), path, 64), 64, group_items=20).collect()
+    tokenizer, want = Tokenizer.from_file(path), []
+    for r in rows:
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r[0], k, s, len(ids[s : s + 64]), __import__("zlib").crc32(ids[s : s + 64].tobytes())) for k, s in enumerate(range(0, len(ids), 64))]
+    assert sorted([tuple(r)[:5] for r in out], key=repr) == sorted(want, key=repr)
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(bins) <= 1.1 * sum(r.length for r in out) / 64 + 2
+    assert packing.pack(packing.pieces(spark.createDataFrame([], SCHEMA), path)).count() == 0
+
+
+def test_best_fit_where_nothing_fits():
+    bins, place, fill = packing.best_fit(np.array([40] * 10), 64)
+    assert len(fill) == 10 and set(place) == {0}
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Menu</ul></nav><div id="cookie-notice">x<div>y</div></div><article><h1>T &amp; t</h1><p>One
+ <b>bo</b>ld&nbsp;x<br>line<p>Two &lt;3<script>var a="</p>";</script></p><div class="share-buttons">s</div><section class="comments"><p>reader</p></section></article><aside>side</aside><form>f</form><footer>&copy; f</footer>"""
+
+
+def test_main_text(spark):
+    body = "<body><p>Same start of all pages</p><div>Buy now</div><ul><li>a</li><li>b</li></ul><p>{}</p><p>Same end of all</p><div>Call us</div><ul><li>c</li></ul></body>"
+    rows = [(1, "http://h.test/a", PAGE, 1), (2, None, None, 2), (3, "bad url", "", 3), (4, "http://h.test/b", PAGE, 4), (5, "http://h.test/c", "<p>open <!-- c", 5), (6, "http://h.test/a", PAGE, 1)]
+    rows += [(10 + i, f"http://k.test/{i}", body.format(f"unique words number {i}"), 0) for i in range(5)]
+    got = {r.page_id: r for r in markup.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()}
+    assert got[1].text == got[4].text == got[6].text == "T & t\nOne bold x line\nTwo <3"
+    assert got[2].text == got[3].text == "" and got[5].text == "open" and got[1].n_chars == len(got[1].text)
+    assert all(got[10 + i].text == f"unique words number {i}" for i in range(5))
+    assert markup.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_runs_against_all_runs():
+    rng = random.Random(3)
+    pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 60))] for _ in range(12)]
+    for least in (1, 4, 6, 8):
+        where = {}
+        for i, p in enumerate(pages):
+            for k in range(len(p) - least + 1):
+                where.setdefault(tuple(p[k : k + least]), set()).add(i)
+        for p, covered in zip(pages, markup.repeated_runs(pages, least), strict=True):
+            want = {q for k in range(len(p) - least + 1) if len(where[tuple(p[k : k + least])]) > 1 for q in range(k, k + least)}
+            assert {q for q in range(len(p)) if covered[q]} == want
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives(spark, version):
+    rows = [(1, "http://h/a b", "<p>x</p>", 1), (2, "http://h/b", "<p>x</p>", 1), (3, "http://h/\n", "", 1), (4, None, None, 1), (5, "http://h/é", "ü\r\n\r\nWARC/1.1\r\n", 1), (None, "u", "<p>x</p>", 1), (2, "http://h/b", "<p>x</p>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.through_archives(df, version).collect()), key=repr)
+    assert got == sorted([(1, 8, "revisit", 2), (2, 8, "response", None), (2, 8, "response", None), (None, 8, "revisit", 2), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 16, "response", None)], key=repr)
+    assert {r.record_type for r in warc.through_archives(df, version, min_bytes=100).collect()} == {"response"}
+    content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhi\n\n"
+    data = warc.arc_bytes([("http://a/ b", "1.2.3.4", "20240102030405", "text/html", content), ("u", "0.0.0.0", "20240102030405", "text/html", b"")], version)
+    parsed = list(warc.parse_arc(data))
+    assert [p["content"] for p in parsed] == [content, b""] and parsed[0]["URL"] == "http://a/%20b"
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data[:-20]))
+    assert warc.through_archives(df.limit(0), version).count() == 0
+
+
+@pytest.mark.parametrize(("op", "column"), [(toxicity, "toxicity"), (quality, "quality_score")])
+def test_classifiers_on_odd_tables(spark, op, column):
+    docs = spark.createDataFrame(make_docs(6), SCHEMA)
+    labels = spark.createDataFrame([(3, 1, 1), (6, 0, 0), (6, 0, 1), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        out = op.score(docs, op.fit(docs, known))
+        rows = out.collect()
+        assert len(rows) == docs.count() and all(0 <= r[column] <= 1 for r in rows) and set(docs.columns) <= set(out.columns)
+        same = {r[column] for r in rows if not (r.text or "").strip()}
+        assert len(same) <= 1
+    assert op.score(docs.limit(0), op.fit(docs.limit(0), labels)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.8), ("op2_quality", "quality", 0.95)])
+def test_held_out_rows_are_ranked_well(spark, name, label, least):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", label).collect()
+    pos, neg = ([r.score for r in rows if r[1] == v] for v in (1, 0))
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert auc >= least
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, duck, name):
+    mine, theirs = same_rows(queries.QUERIES[name](spark, SF), duck, queries.ORACLE_SQL[name])
+    assert mine == theirs
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_query_runs(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() > 0
