@@ -6,13 +6,14 @@ order, rarer n-grams first as far as a counting sketch of fixed size over the wh
 can tell, so two linked sets share an n-gram among the first fifth of each.
 
 Documents with equal sets form one node. For every n-gram that several prefixes hold, all
-its nodes first meet one hub, and the links found so are joined to components; then those
+its nodes first meet a few hubs, and the links found so are joined to components; then those
 nodes of an n-gram meet that are not in one component yet and whose sizes and positions
 still allow a link. Meetings are verified probe by probe: the candidates' ordered sets form
 a prefix tree, shared beginnings are counted once, and a subtree is left as soon as what
 remains of its longest set or of the probe is too short. Any two linked documents are
 thus either verified or already connected by verified links; no pair list of a group of
-copies is made.
+copies is made. Before any text is fetched again, candidates whose histograms by hash
+rule out a link are let go.
 
 Defined results: a null or empty text, or one of white space only, has an empty set, links
 with nothing and is its own component; a null doc_id takes part and its component is the
@@ -26,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
 from lodeweave.llm.components import components
-from lodeweave.llm.shared import written
+from lodeweave.llm.shared import only_wanted, unused, written
 
 WORDS = 5
 SKETCH = 1 << 20
 SKETCH_PARTS = 64
 #: Nodes of one n-gram, or candidates of one probe, that meet in one group at most; more are dealt over several.
 BLOCK = 1024
+#: Nodes of each n-gram that all others meet first.
+HUBS = 1
+#: Parts of a set's histogram by hash at least, and of the shorter one that goes with every posting.
+PARTS, COARSE = 256, 64
 #: Tokens of a set that are counted between two looks at the bound.
 STRIDE = 64
 
@@ -143,12 +148,55 @@ def trie_links(probe: np.ndarray, members: list[np.ndarray], percent: int) -> li
     return found
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of its parts, a power of two that grows with the set; full counters (255) bound nothing."""
+    parts = PARTS
+    while 2 * parts < len(grams):
+        parts *= 2
+    return np.minimum(np.bincount((grams >> np.uint64(40)).astype(np.int64) & (parts - 1), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def folded(fine: bytes, parts: int) -> np.ndarray:
+    """The histogram in fewer parts."""
+    counts = np.frombuffer(fine, np.uint8)
+    out = counts.reshape(-1, parts).sum(axis=0, dtype=np.int64)
+    if (counts == 255).any():
+        out[:] = 1 << 40
+    return out
+
+
+def coarse(fine: bytes) -> bytes:
+    return np.minimum(folded(fine, COARSE), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No two sets with these histograms have a larger intersection."""
+    parts = min(len(a), len(b))
+    return int(np.minimum(folded(a, parts), folded(b, parts)).sum())
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms allow a link."""
+    few = only_wanted(nodes, wanted, "node")
+    one, two = (few.select(F.col("node").alias(f"_{k}"), F.col("n").alias(f"n{k}"), F.col("histogram").alias(f"h{k}")) for k in (1, 2))
+    rows = pairs.join(one, F.col("probe") == F.col("_1")).join(two, F.col("member") == F.col("_2")).select("probe", "member", "n1", "n2", "h1", "h2")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = least_overlap(batch.column("n1").to_numpy(), batch.column("n2").to_numpy(), percent).tolist()
+            ok = [most_shared(a.as_py(), b.as_py()) >= n for a, b, n in zip(batch.column("h1"), batch.column("h2"), need, strict=True)]
+            yield batch.select(["probe", "member"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(allowed, "probe long, member long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object, percent: int) -> DataFrame:
-    """The links (a, b) among candidate pairs (probe, member) of nodes."""
-    pairs = written(pairs, "pairs")
+    """The links (a, b) among candidate pairs (probe, member), a written table, of nodes."""
+    ends = pairs.select(F.col("probe").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
+    pairs = written(_plausible(pairs, nodes, ends, percent), "pairs")
     wanted = pairs.select(F.col("probe").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
     places = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep_doc").alias("_doc"), F.col("rep_text").alias("_text"))
-    texts = docs.select("text", "doc_id", F.xxhash64("text").alias("_hash"))
+    texts = only_wanted(docs.select("text", "doc_id", F.xxhash64("text").alias("_hash")), places.select(F.col("_text").alias("_hash")), "_hash")
     found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))).select("node", "text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +237,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object
     return written(met.mapInArrow(checked, "a long, b long"), "found")
 
 
-def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of rows with equal token whose groups differ and whose sizes and positions allow a link. Rows come sorted by token and n."""
+def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, brief: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows with equal token whose groups differ and whose sizes, positions and histograms allow a link. Rows come sorted by token and n."""
     found, alive, step = [np.zeros((0, 2), np.int64)], np.arange(len(token)), 1
     while len(alive):
         alive = alive[alive + step < len(token)]
@@ -198,52 +246,64 @@ def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray,
         ok = (token[alive] == token[other]) & (100 * n[alive] >= percent * n[other])
         alive, other = alive[ok], other[ok]  # sizes grow, so what fails here fails farther on
         rest = 1 + np.minimum(n[alive] - at[alive] - 1, n[other] - at[other] - 1)
-        good = (group[alive] != group[other]) & (rest >= least_overlap(n[alive], n[other], percent))
-        found.append(np.stack([node[alive[good]], node[other[good]]], axis=1))
+        need = least_overlap(n[alive], n[other], percent)
+        good = np.flatnonzero((group[alive] != group[other]) & (rest >= need))
+        for lo in range(0, len(good), 1 << 16):
+            i, j = alive[good[lo : lo + (1 << 16)]], other[good[lo : lo + (1 << 16)]]
+            low = np.minimum(brief[i], brief[j])
+            ok = (low.sum(axis=1, dtype=np.int64) >= need[good[lo : lo + (1 << 16)]]) | (low == 255).any(axis=1)
+            found.append(np.stack([node[i[ok]], node[j[ok]]], axis=1))
         step += 1
     return np.unique(np.concatenate(found), axis=0)
 
 
-def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; links are 100 * intersection >= percent * union."""
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's summary (doc_id, rep_text, n, k1, k2), and every node with its component (a node number)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level = docs.sparkSession.sparkContext.broadcast(levels(sketch(docs)))
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, prefixes = [], [], []
+            n, keys, shares, brief, prefixes = [], [], [], [], []
             for _, _, buf, offs in text.groups(batch.column("text")):
                 for grams in shingle_sets(buf, offs):
                     own = ordered(grams, level.value)
                     n.append(len(own))
                     up, _ = text.powers(len(own) + 1)
                     keys.append([int(np.sum(v, dtype=np.uint64).view(np.int64)) for v in (text.mix(grams) * up[1:], text.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))])
+                    shares.append(histogram(grams))
+                    brief.append(coarse(shares[-1]))
                     prefixes.append(own[: len(own) + -percent * len(own) // 100 + 1].astype(np.int64))
             flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            columns = [batch.column("doc_id"), batch.column("rep_text"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rep_text", "n", "k1", "k2", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("rep_text"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(shares, pa.binary()), pa.array(brief, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rep_text", "n", "k1", "k2", "histogram", "brief", "prefix"])
 
-    summary = docs.withColumn("rep_text", F.xxhash64("text")).mapInArrow(summarised, "doc_id long, rep_text long, n long, k1 long, k2 long, prefix array<long>")
+    summary = docs.withColumn("rep_text", F.xxhash64("text")).mapInArrow(summarised, "doc_id long, rep_text long, n long, k1 long, k2 long, histogram binary, brief binary, prefix array<long>")
     summary = written(summary, "prefixes")
     # One node per different set; its representative row is where its text can be found again.
     least = F.min(F.struct("doc_id", "rep_text"))
-    nodes = summary.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("min_doc"), least.alias("rep"))
-    nodes = written(nodes.select("k1", "k2", "n", "min_doc", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.rep_text").alias("rep_text")), "nodes")
+    nodes = summary.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("min_doc"), least.alias("rep"), F.first("histogram").alias("histogram"), F.first("brief").alias("brief"))
+    nodes = written(nodes.select("k1", "k2", "n", "min_doc", "histogram", "brief", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.rep_text").alias("rep_text")), "nodes")
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
 
     own = nodes.select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep_doc", F.col("rep_text").alias("_rep"))
     here = summary.where("n > 0").join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("rep_text") == F.col("_rep")))
-    rows = here.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    hubs = rows.groupBy(F.col("token").alias("_token")).agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("held")).where("hub < last")
-    rows = written(rows.join(hubs, F.col("token") == F.col("_token")).select("token", "node", "n", "at", "hub", "held"), "postings")
+    rows = written(here.select("node", "n", "prefix"), "sorted").select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = rows.groupBy(F.col("token").alias("_token")).agg(F.min("node").alias("one"), F.max("node").alias("other"), F.count("*").alias("held")).where("one < other").select("_token", "held")
+    rows = written(rows.join(shared, F.col("token") == F.col("_token")).select("token", "node", "n", "at", "held"), "postings")
+    # The nodes whose n-grams are shared the most stand in the middle of a group of near copies: they are its hubs.
+    middle = rows.groupBy(F.col("node").alias("_node")).agg(F.sum("held").alias("weight"))
+    weighed = rows.join(middle, F.col("node") == F.col("_node")).select("token", "node", "n", "at", "weight")
+    order = Window.partitionBy("token").orderBy(F.desc("weight"), "node")
+    hubs = weighed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HUBS)
+    hubs = hubs.select(F.col("token").alias("_token"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))
 
     possible = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (
         F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")) >= F.ceil(percent * (F.col("n") + F.col("hub_n")) / (100 + percent) - 1e-9)
     )
-    hub_rows = rows.where("node = hub").select(F.col("token").alias("_token"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))
-    first = rows.where("node <> hub").join(hub_rows, F.col("token") == F.col("_token")).where(possible)
-    first = written(first.select(F.col("hub").alias("probe"), F.col("node").alias("member")).distinct(), "hubs")
+    first = rows.join(hubs, F.col("token") == F.col("_token")).where(F.col("node") != F.col("hub")).where(possible)
+    first = written(first.select(F.greatest("hub", "node").alias("member"), F.least("hub", "node").alias("probe")).distinct(), "hubs")
     links = _verified(first, nodes, docs, level, percent)
     tied = written(components(links), "tied")
 
@@ -251,8 +311,10 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     mixed = grouped.groupBy(F.col("token").alias("_token")).agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("_token")
     blocks = F.floor((F.col("held") - 1) / BLOCK) + 1
     block = F.pmod(F.xxhash64("node"), blocks)
-    grouped = grouped.join(mixed, F.col("token") == F.col("_token"), "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = grouped.select("token", (F.least(block, "k") * blocks + F.greatest(block, "k")).alias("sub"), "node", "n", "at", "group")
+    grouped = grouped.join(mixed, F.col("token") == F.col("_token"), "left_semi")
+    grouped = grouped.join(nodes.select(F.col("node").alias("_node"), "brief"), F.col("node") == F.col("_node"))
+    grouped = grouped.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = grouped.select("token", (F.least(block, "k") * blocks + F.greatest(block, "k")).alias("sub"), "node", "n", "at", "group", "brief")
     dealt = dealt.repartition("token", "sub").sortWithinPartitions("token", "sub", "n", "node")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +323,9 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             token, sub, node, n, at, group = (t.column(c).to_numpy() for c in ("token", "sub", "node", "n", "at", "group"))
             key = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))]) if len(token) else token
-            found = meetings(key, node, n, at.astype(np.int64), group, percent)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array(found[:, 0])], ["probe", "member"])
+            brief = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, COARSE)
+            found = meetings(key, node, n, at.astype(np.int64), group, brief, percent)
+            return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["probe", "member"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -275,14 +338,38 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
             yield pairs(held)
 
     second = dealt.mapInArrow(paired, "probe long, member long").distinct()
-    known = first.select("probe", "member").unionByName(first.select(F.col("member").alias("probe"), F.col("probe").alias("member")))
-    second = second.join(known, ["probe", "member"], "left_anti")
+    second = written(second.join(first, ["probe", "member"], "left_anti"), "rest")
     links = _verified(second, nodes, docs, level, percent).unionByName(links)
     tied = components(links)
 
-    labelled = nodes.join(tied, "node", "left").select("k1", "k2", "min_doc", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "labelled")
+    labelled = nodes.join(tied, "node", "left").select("k1", "k2", "min_doc", "rep_doc", "rep_text", F.coalesce("component", "node").alias("component"))
+    return summary.select("doc_id", "rep_text", "n", "k1", "k2"), written(labelled, "labelled")
+
+
+def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; links are 100 * intersection >= percent * union."""
+    summary, labelled = _grouped(docs, percent)
     smallest = labelled.groupBy(F.col("component").alias("_c")).agg(F.min("min_doc").alias("component_id"))
     labels = labelled.join(smallest, F.col("component") == F.col("_c")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "component_id")
     full = summary.where("n > 0").join(labels, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of each component, and all rows with empty sets.
+
+    Of rows with equal ids and texts one stays, whichever; null ids come before others.
+    """
+    summary, labelled = _grouped(docs, percent)
+    doc, body, mark = (unused(docs, name) for name in ("_doc", "_text", "_hash"))
+    first = labelled.groupBy("component").agg(F.min(F.struct("rep_doc", "rep_text")).alias("r")).select(F.col("r.rep_doc").alias(doc), F.col("r.rep_text").alias(body))
+    keep = first.unionByName(summary.where("n = 0").select(F.col("doc_id").alias(doc), F.col("rep_text").alias(body)).distinct())
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    match = rows["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (rows[mark] == F.col(body))
+    again = written(summary.where("n > 0").groupBy(F.col("doc_id").alias(doc), F.col("rep_text").alias(body)).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return rows.join(keep, match, "left_semi").select(*docs.columns)
+    same = F.col(f"k.{doc}").eqNullSafe(F.col(f"a.{doc}")) & (F.col(f"k.{body}") == F.col(f"a.{body}"))
+    twice, once = (keep.alias("k").join(again.alias("a"), same, how) for how in ("left_semi", "left_anti"))
+    doubled = rows.join(twice, match, "left_semi").dropDuplicates(["doc_id", mark])
+    return rows.join(once, match, "left_semi").unionByName(doubled).select(*docs.columns)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,14 @@ def widened(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -34,9 +45,42 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    # Let Spark drop the shuffle files of earlier steps, which nothing refers to any more.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bits of a filter of wanted hashes at most (16 MB); beyond that it lets more through, but never less.
+FILTER_BITS = 1 << 27
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose hash (column `name`, a long) is perhaps among those of `wanted`, so that a join shuffles fewer.
+
+    The filter is a bitmap of 16 bits for each wanted row and FILTER_BITS at most; built by SQL aggregates, it alone reaches the driver.
+    """
+    bits = 1 << 16
+    n = wanted.count()
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64(F.lit(3), F.col(name)), F.lit(bits)) + 1
+    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        lo = (r.bucket - 1) * len(part)
+        bitmap[lo : lo + len(part)] = part[: max(0, len(bitmap) - lo)]
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def perhaps(place: pa.Array) -> pa.Array:
+        p = place.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[p >> 3] >> (p & 7)) & 1 == 1)
+
+    return rows.where(perhaps(at - 1))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 4: such rows are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
