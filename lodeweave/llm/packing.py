@@ -211,8 +211,11 @@ def _filler(level: int, capacity: int):
 
 
 def pack(items: DataFrame, capacity: int = 4096, group_items: int = GROUP_ITEMS, slack: int = SLACK) -> DataFrame:
-    """`items` (with length, from 1 to capacity) plus sequence_id and offset: which sequence each is in, and where."""
-    names = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    """`items` (with length, from 1 to capacity) plus sequence_id and offset: which sequence each is in, and where.
+
+    Columns with these names, or _bin, _at, _fill or _group, are left behind.
+    """
+    names = [c for c in items.columns if c not in ("sequence_id", "offset", "_bin", "_at", "_fill", "_group")]
     # Row numbers come from a written table, so a task that runs again gives the same ones.
     items = written(items.select(*names), "pieces").withColumn("_bin", F.monotonically_increasing_id())
     done = [items.where(F.col("length") >= capacity).select(*names, (-1 - F.col("_bin")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]

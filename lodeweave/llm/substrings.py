@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
-from lodeweave.llm.shared import written
+from lodeweave.llm.shared import unused, written
 
 WINDOW = 35
 ANCHOR_WORDS = 8
@@ -256,8 +256,9 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with repeated sequences cut out of text; a text that loses nothing stays as it is, another has one space between words."""
+    doc, mark, kept = (unused(docs, name) for name in ("_doc", "_th", "_kept"))
     _, cut = repeats(docs, window)
-    cut = cut.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "kept")
+    cut = cut.select(F.col("doc_id").alias(doc), F.col("th").alias(mark), F.col("kept").alias(kept))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    out = docs.join(cut, docs.doc_id.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left")
-    return out.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    out = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (th == F.col(mark)), "left")
+    return out.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
