@@ -52,14 +52,12 @@ def test_repeated_lines_and_substance(spark):
 
 
 def test_snippets(spark):
-    def spec(text, least=200, tail=200):
-        if len(text) <= least:
-            return text
-        m = re.compile(r"[\.!?…](?:['\")\]]+)?(?=\s|$)").search(text, pos=least, endpos=min(len(text), least + tail))
-        return text[: m.end()].rstrip() if m else text[:least].rstrip() + "…"
-
-    rows = ["kurz", "w" * 210 + '." und weiter ' + "x" * 300, "y" * 500, "z" * 399 + ".abc " + "z" * 50, "a " * 300, "b" * 205 + "!) c " * 10]
-    assert values(spark, rows, T.trim_snippet(F.col("x"))) == [spec(r) for r in rows]
+    quoted, late, closed = "w" * 210 + '." und weiter ' + "x" * 300, "z" * 399 + ".abc " + "z" * 50, "b" * 205 + "!) c " * 10
+    rows = ["kurz", quoted, "y" * 500, late, "a " * 300, closed]
+    # the end of the window ends a sentence as well as white space does
+    want = ["kurz", quoted[:212], "y" * 200 + "…", late[:400], ("a " * 100).rstrip() + "…", closed[:207]]
+    assert values(spark, rows, T.trim_snippet(F.col("x"))) == want
+    assert values(spark, ["y" * 250], T.trim_snippet(F.col("x"), gate=300)) == ["y" * 250]
 
 
 @pytest.mark.parametrize(("address", "ok"), [("a@b.de", True), ("first.last+tag@sub.host.org", True), ("no-at.de", False), ("@host.de", False), ("a@host", False), ("a@b.de\n", True)])
