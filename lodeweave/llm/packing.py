@@ -35,7 +35,7 @@ GROUP_ITEMS = 20_000
 #: A bin with at most this many free places is nearly full and leaves.
 SLACK = 8
 #: Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _state: dict[str, object] = {}
 #: Where a text can't be cut at white space as Python sees it without changing its tokens.
