@@ -2,7 +2,9 @@
 
 The pages of a host, at most a bounded number at a time, become one stream of tokens: tags
 with their classes, and pieces of text. A suffix array, sorted by as many tokens as a run
-must have to count, shows the runs that distinct pages share. In pages that mark no
+must have to count, shows the runs that distinct pages share. The parts of a larger host
+also exchange the 64-bit hashes of their runs, once for each part, so that a run which two
+pages of different parts hold is shared like any other. In pages that mark no
 article or main part, covered runs are boilerplate and the unique runs are kept (a page
 that is covered as a whole is a copy and keeps its text). Repetition can't tell a copied
 article from a menu, nor see a menu that stands on one page only, so structure is heard as
@@ -19,14 +21,17 @@ result; other columns are left behind.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.llm import text
+
 #: Tokens that a repeated run has at least.
 LEAST = 8
 #: Pages of one host that meet in one group, about.
@@ -123,11 +128,10 @@ def page_tokens(page: str) -> tuple[list[str], list[tuple[int, str, int, int]]]:
     return stream, pieces
 
 
-def repeated_runs(streams: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
-    """Which tokens of each page lie in a run of `least` tokens that another page has too."""
+def shared_runs(streams: list[list[str]], least: int = LEAST) -> np.ndarray:
+    """Whether a run of `least` tokens that another page has too starts at each place of the joined pages, with one place behind each page."""
     ids: dict[str, int] = {}
-    sizes = [len(s) for s in streams]
-    total = sum(sizes) + len(streams)
+    total = sum(len(s) for s in streams) + len(streams)
     token, page, k = np.zeros(total, np.int64), np.zeros(total, np.int64), 0
     for i, s in enumerate(streams):
         token[k : k + len(s)] = [ids.setdefault(t, len(ids)) for t in s]
@@ -147,7 +151,33 @@ def repeated_runs(streams: list[list[str]], least: int = LEAST) -> list[np.ndarr
         reach += step
     by_rank = page[order]
     first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
-    shared = (np.maximum.reduceat(by_rank, first) != np.minimum.reduceat(by_rank, first))[rank] if total else np.zeros(0, bool)
+    return (np.maximum.reduceat(by_rank, first) != np.minimum.reduceat(by_rank, first))[rank] if total else np.zeros(0, bool)
+
+
+def run_hashes(streams: list[list[str]], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the run of `least` tokens at each place of the joined pages, and whether the page holds all of that run."""
+    ids: dict[str, int] = {}
+    total = sum(len(s) for s in streams) + len(streams)
+    token, left, k = np.zeros(total, np.int64), np.zeros(total, np.int64), 0
+    for s in streams:
+        token[k : k + len(s)] = [ids.setdefault(t, len(ids)) for t in s]
+        left[k : k + len(s) + 1] = np.arange(len(s), -1, -1)
+        k += len(s) + 1
+    names = b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in ids) or bytes(8)
+    hashes = np.zeros(total, np.int64)
+    found = text.sequences(np.frombuffer(names, "<u8").astype(np.uint64)[token], least).astype(np.int64)
+    hashes[: len(found)] = found
+    return hashes, left >= least
+
+
+def repeated_runs(streams: list[list[str]], least: int = LEAST, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
+    """Which tokens of each page lie in a run of `least` tokens that another page has too, or whose hash is among `elsewhere`."""
+    sizes = [len(s) for s in streams]
+    total = sum(sizes) + len(streams)
+    shared = shared_runs(streams, least)
+    if elsewhere is not None and len(elsewhere):
+        hashes, whole = run_hashes(streams, least)
+        shared = shared | (whole & np.isin(hashes, elsewhere))
     edge = np.zeros(total + least + 1, np.int64)
     edge[:total] += shared
     edge[least : least + total] -= shared
@@ -176,21 +206,32 @@ def main_text(pieces: list[tuple[int, str, int, int]], covered: np.ndarray) -> s
 
 def extract(pages: DataFrame, least: int = LEAST, group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars, n_tokens, n_repeated) of every page."""
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host"))
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
     floor = max(group_pages, pages.count() // COUNTED_HOSTS)
     # At most COUNTED_HOSTS rows, since each stands for more than that share of all pages.
-    large = counts.where(F.col("n") > floor).select(F.col("host").alias("_host"), F.ceil(F.col("n") / group_pages).alias("parts"))
-    dealt = pages.join(F.broadcast(large), F.col("host") == F.col("_host"), "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))).select("page_id", "url", "html", "host", "part")
+    large, base = [], 0
+    for r in counts.where(F.col("n") > floor).orderBy("host").collect():
+        large.append((r.host, base, -(-r.n // group_pages)))
+        base += large[-1][2]
+    # The parts of large hosts are numbered through, from `base` on for each host; any other host is a group by its name.
+    parts = spark.createDataFrame(large, "_host string, base long, parts long")
+    dealt = pages.join(F.broadcast(parts), F.col("host") == F.col("_host"), "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.col("base") + F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(-1).cast("long")))
+    dealt = dealt.select("page_id", "url", "html", "base", F.when(F.col("part") < 0, F.col("host")).otherwise("").alias("host"), "part")
 
-    def run(table: pa.Table) -> pa.Table:
+    def read(table: pa.Table) -> tuple[list, list]:
         streams, pieces = [], []
         for page in table.column("html"):
             s, p = page_tokens(page.as_py() or "")
             streams.append(s)
             pieces.append(p)
-        covered = repeated_runs(streams, least)
+        return streams, pieces
+
+    def result(table: pa.Table, elsewhere: np.ndarray | None = None) -> pa.Table:
+        streams, pieces = read(table)
+        covered = repeated_runs(streams, least, elsewhere)
         texts = [main_text(p, c) for p, c in zip(pieces, covered, strict=True)]
         return pa.table(
             {
@@ -199,4 +240,25 @@ def extract(pages: DataFrame, least: int = LEAST, group_pages: int = GROUP_PAGES
             }
         )
 
-    return dealt.groupBy("host", "part").applyInArrow(run, "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    def held(table: pa.Table) -> pa.Table:
+        """The hashes of a part's runs, each once; those that several of its pages share, which need no answer, with -1 - part."""
+        part = table.column("part")[0].as_py() if table.num_rows else -1
+        if part < 0:
+            return pa.table({"hash": pa.array([], pa.int64()), "base": pa.array([], pa.int64()), "part": pa.array([], pa.int64())})
+        streams, _ = read(table)
+        shared, (hashes, whole) = shared_runs(streams, least), run_hashes(streams, least)
+        many, once = np.unique(hashes[shared]), np.unique(hashes[whole & ~shared])
+        places = np.repeat(np.array([-1 - part, part], np.int64), [len(many), len(once)])
+        return pa.table({"hash": np.concatenate([many, once]), "base": np.full(len(places), table.column("base")[0].as_py(), np.int64), "part": places})
+
+    def joined(table: pa.Table, asked: pa.Table) -> pa.Table:
+        return result(table, asked.column("hash").to_numpy())
+
+    kind = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
+    grouped = dealt.groupBy("host", "part")
+    if not large:
+        return grouped.applyInArrow(lambda table: result(table), kind)
+    runs = grouped.applyInArrow(held, "hash long, base long, part long")
+    # A part names a run once, so a run's rows are at most the parts of its host.
+    asked = runs.withColumn("n", F.count("*").over(Window.partitionBy("base", "hash"))).where("n > 1 AND part >= 0").select("hash", F.lit("").alias("host"), "part")
+    return grouped.cogroup(asked.groupBy("host", "part")).applyInArrow(joined, kind)

@@ -251,6 +251,17 @@ def test_main_text(spark):
     assert markup.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_a_host_in_parts(spark):
+    """Runs that few pages share are repeated however many parts their host is dealt into."""
+    shared = "<ul>" + "".join(f"<li>entry {i}</li>" for i in range(6)) + "</ul>"
+    rows = [(i, f"http://{'k' if i < 60 else 'm'}.test/{i}", f"<p>alone {i}</p>" + shared.replace("entry", f"entry {i % 30}") * 2 + f"<div>end {i}</div>") for i in range(63)]
+    rows += [(100, "http://k.test/z", "<h1>y</h1>" * 9), (101, "http://k.test/y", "<h2>none</h2><ul>" + "<li>own</li>" * 9), (102, "http://k.test/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = (sorted(tuple(r) for r in markup.extract(df, group_pages=n).collect()) for n in (256, 4))
+    assert dealt == whole and len(whole) == len(rows)
+    assert {r[0]: r[2] for r in dealt}[7] == "alone 7\nend 7" and "entry 1" in {r[0]: r[2] for r in dealt}[61]
+
+
 def test_repeated_runs_against_all_runs():
     rng = random.Random(3)
     pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 60))] for _ in range(12)]
