@@ -482,7 +482,7 @@ def page_tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT 'https://g.test/p/0' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 40)
     SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents").where("doc_id < 2000").select("doc_id")  # the size of the made-up site
+    d = D.table(spark, sf_dir, "documents").select("doc_id")
     page = lambda n: F.concat(F.lit("https://g.test/p/"), n.cast("string"))
     edges = d.select(page(F.col("doc_id")).alias("src"), page(2 * F.col("doc_id") + 1).alias("dst")).unionByName(d.select(page(F.col("doc_id")).alias("src"), page(3 * F.col("doc_id") + 2).alias("dst")))
     return crawl.crawl(edges, "https://g.test/p/0", ["g.test"]).select("url", "depth")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import cache as C
 from lodeweave.operators import chunks, crawl, dedupe, metrics, retrieval
+from lodeweave.plans import catalogue
 from lodeweave.sources import files
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
@@ -109,6 +110,30 @@ def test_cache(spark):
     assert empty.total == 0 and empty.fresh == 0
 
 
+def walk(links, n, most):
+    """Depths of the pages of a plain walk from page 0, nearest first, ties by url."""
+    page = lambda i: f"https://g.test/p/{i}"
+    want, layer, depth = {page(0): 0}, [0], 0
+    while layer and len(want) < most:
+        depth += 1
+        layer = sorted({d for i in layer if i < n for d in links(i) if page(d) not in want}, key=page)[: most - len(want)]
+        want |= {page(d): depth for d in layer}
+    return want
+
+
+def test_crawl_graph_walks_all_documents(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue.QUERIES["crawl_graph"](spark, str(tmp_path)).collect()
+    assert {r.url: r.depth for r in rows} == walk(lambda i: (2 * i + 1, 3 * i + 2), 5000, 6000)
+
+
+def test_crawl_at_its_limit_of_pages(spark):
+    page = lambda i: f"https://g.test/p/{i}"
+    edges = spark.createDataFrame([(page(i), page(d)) for i in range(5000) for d in (2 * i + 1, 2 * i + 2)], "src string, dst string")
+    rows = crawl.crawl(edges, page(0), ["g.test"]).collect()
+    assert len(rows) == 6000 and {r.url: r.depth for r in rows} == walk(lambda i: (2 * i + 1, 2 * i + 2), 5000, 6000)
+
+
 def test_crawl(spark):
     edges = spark.createDataFrame([("https://a/1", "https://a/2#x"), ("https://a/2", "https://a/1"), ("https://a/2", "https://a/3.pdf"), ("https://a/2", "https://b/4"), ("https://a/3.pdf", "https://a/5"), ("https://a/2", "https://a/s.css"), ("https://a/2", "https://a/6")], "src string, dst string")
     got = {(r.url, r.depth, r.kind) for r in crawl.crawl(edges, "https://a/1", ["a"]).collect()}
