@@ -5,7 +5,10 @@ Of the short word sequences inside a window, the one with the smallest hash is i
 anchor. Equal windows have equal anchors, so only windows whose anchor occurs again can
 repeat. The index keeps the anchors' hashes and counts in immutable runs sorted by hash:
 a batch's anchors are written as a new run, merge-joined with all runs to find those
-that occur more than once, and runs are compacted when there are many.
+that occur more than once, and runs are compacted when there are many. Beside the runs it
+keeps every batch's documents and the places of their anchors, so that a new batch is
+verified against all earlier ones, whose documents may lose words by it too. A whole
+table goes through the index in a few batches, with the result of one.
 
 What shares an anchor is then verified: neighbouring windows with the same anchor make a
 stretch, whose words are hashed as a whole; equal stretches repeat entirely, and where
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
-from lodeweave.llm.shared import unused, written
+from lodeweave.llm.shared import discard, unused, written
 
 WINDOW = 35
 ANCHOR_WORDS = 8
 #: Runs that the index holds before they are merged into one.
 MAX_RUNS = 4
+#: Batches in which a whole table goes through the index.
+BATCHES = 2
 _BLOCK = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 #: A stretch is (first window * STRETCH + number of windows); it has at most WINDOW windows.
@@ -42,17 +47,26 @@ STRETCH = 64
 
 
 class FingerprintIndex:
-    """Counts of anchor hashes in sorted immutable runs (tables of hash and n in the shared folder)."""
+    """Counts of anchor hashes in sorted immutable runs (tables of hash and n in the shared folder), and what verification needs.
+
+    `docs` has the batches (doc_id, th, text), `known` their summaries, and `covered` the repeated stretches (doc_id, th, f)
+    that each batch brought to light in itself and in those before it.
+    """
 
     def __init__(self, runs: list[DataFrame] | None = None):
         self.runs = list(runs or [])
+        self.docs: list[DataFrame] = []
+        self.known: list[DataFrame] = []
+        self.covered: list[DataFrame] = []
 
-    def add(self, hashes: DataFrame) -> None:
-        """Write the hashes (column a) of a batch as a new run, and compact if there are too many."""
+    def add(self, hashes: DataFrame) -> DataFrame:
+        """Write the hashes (column a) of a batch as a new run, which is returned, and compact if there are too many."""
         counted = hashes.groupBy(F.col("a").alias("hash")).agg(F.count("*").alias("n"))
-        self.runs.append(written(counted.sortWithinPartitions("hash"), "run"))
+        run = written(counted.sortWithinPartitions("hash"), "run")
+        self.runs.append(run)
         if len(self.runs) > MAX_RUNS:
             self.compact()
+        return run
 
     def counts(self) -> DataFrame:
         if len(self.runs) == 1:
@@ -215,18 +229,26 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, th long, n_removed long, kept string")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None) -> tuple[DataFrame, DataFrame]:
-    """A summary (doc_id, th, n_words, digest) of every row, and (doc_id, th, n_removed, kept) once for each document that loses words.
+def _all(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    return every
 
-    `docs` is one batch; where `index` holds earlier batches, pass all rows that it has seen as `docs`.
-    """
-    docs = identified(docs)
-    known = written(summary(docs, window), "stretches")
-    rows = known.select("doc_id", "th", F.explode(F.arrays_zip("a", "f")).alias("r")).select("doc_id", "th", "r.a", "r.f")
-    index = index or FingerprintIndex()
-    index.add(rows)
-    asked = index.repeated(rows).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f")).alias("runs"))
-    held = written(_hashed_stretches(_same_document(docs, asked), window), "held")
+
+def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> None:
+    """Add a batch (doc_id, th, text) to the index and verify it against itself and all that the index has seen."""
+    index.docs.append(docs)
+    index.known.append(written(summary(docs, window), "stretches"))
+    places = lambda known: known.select("doc_id", "th", F.explode(F.arrays_zip("a", "f")).alias("r")).select("doc_id", "th", "r.a", "r.f")
+    run = index.add(places(index.known[-1]))
+    if len(index.docs) == 1:
+        found = index.repeated(places(index.known[0]))
+    else:  # earlier stretches count again where the batch has their anchor; all others are settled
+        often = index.counts().where("n > 1").select("hash").join(run.select("hash"), "hash", "left_semi")
+        found = places(_all(index.known)).join(often, F.col("a") == F.col("hash")).drop("hash")
+    asked = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f")).alias("runs"))
+    held = written(_hashed_stretches(_same_document(_all(index.docs), asked), window), "held")
 
     runs = held.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.a", "r.f", "r.sig", F.xxhash64("doc_id", "th", "r.f").alias("own"))
     kinds = written(runs.groupBy("a", "sig").agg(F.count("*").alias("c"), F.min("own").alias("chosen")), "kinds")
@@ -242,14 +264,29 @@ def repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintIndex | Non
     again = windows.groupBy(F.col("a").alias("_a"), F.col("h").alias("_h")).agg(F.sum("c").alias("n")).where("n > 1").select("_a", "_h")
     single = windows.where("c = 1").join(again, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")
     covered = judged.where("c > 1").select("doc_id", "th", "f").unionByName(single.select("doc_id", "th", (F.col("at") * STRETCH + 1).alias("f")))
-    covered = covered.groupBy("doc_id", "th").agg(F.collect_list("f").alias("runs"))
-    cut = _cut(_same_document(held.select("doc_id", "th", "text"), covered), window).dropDuplicates(["doc_id", "th"])
-    return known.select("doc_id", "th", "n_words", "digest"), cut
+    index.covered.append(written(covered, "covered"))
+    discard(held, kinds, judged, windows)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """A summary (doc_id, th, n_words, digest) of every row, and (doc_id, th, n_removed, kept) once for each document that loses words.
+
+    The rows go through `index` in batches. Where it holds earlier ones, the second table has their documents as well,
+    with all that they have lost so far.
+    """
+    docs, index = identified(docs), index or FingerprintIndex()
+    before = len(index.docs)
+    for k in range(batches):
+        take_in(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(batches)) == k) if batches > 1 else docs, index, window)
+    covered = _all(index.covered).groupBy("doc_id", "th").agg(F.collect_set("f").alias("runs"))
+    seen = index.docs[:before] + [docs]
+    cut = _cut(_same_document(_all(seen), covered), window).dropDuplicates(["doc_id", "th"])
+    return _all(index.known[before:]).select("doc_id", "th", "n_words", "digest"), cut
 
 
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    known, cut = repeats(docs, window)
+    known, cut = repeats(docs, window, batches=batches)
     out = _same_document(known, cut, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))).alias("kept_sha256"))
 

@@ -139,6 +139,20 @@ def test_substring_index_over_batches(spark):
     assert [r.a for r in index.repeated(spark.createDataFrame([(3,), (100,)], "a long")).collect()] == [100]
 
 
+def test_substrings_in_batches(spark):
+    """A table in batches has the result of one pass, also for documents that only a later batch repeats."""
+    rows = make_docs(1)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in substrings.digests(docs, 35, 6).collect()), key=repr) == removal_spec(rows, 35)
+    first = " ".join(f"w{i}" for i in range(50))
+    index = substrings.FingerprintIndex()
+    _, cut = substrings.repeats(spark.createDataFrame([(1, "a " + first + " b")], "doc_id long, text string"), index=index, batches=1)
+    assert cut.count() == 0
+    known, cut = substrings.repeats(spark.createDataFrame([(2, first + " c"), (3, "other words")], "doc_id long, text string"), index=index, batches=1)
+    assert {r.doc_id: (r.n_removed, r.kept) for r in cut.collect()} == {1: (50, "a b"), 2: (50, "c")}
+    assert {r.doc_id for r in known.collect()} == {2, 3}
+
+
 def test_edited_fingerprints(spark):
     rows = [(r[0], r[1]) for r in make_docs(4) if r[0] is not None]
     rows = list(dict(sorted(rows, key=lambda r: r[0])).items())
