@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import calibrate, text
-from lodeweave.llm.shared import labelled_sample, widened
+from lodeweave.llm.shared import labelled_sample, labels_of, widened
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL = 1500
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL) -> Qua
     rows = labelled_sample(docs, labels, "quality", most).mapInArrow(hashed, "doc_id long, y int, at binary, share binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.at)))
     y = np.array([r.y for r in rows], np.int64)
-    total = {r.y: r.n for r in labels.where(F.col("quality").isNotNull()).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    total = {r.y: r.n for r in labels_of(docs, labels).where(F.col("quality").isNotNull()).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     share = tuple(max(1e-6, min(1.0, float((y == v).sum()) / max(1, total.get(v, 1)))) for v in (0, 1))
     return train([(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.share), np.float32).astype(np.float64)) for r in rows], y, share)
 

@@ -95,14 +95,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def labels_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels of documents that are among `docs`."""
+    return labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` rows of each label value, none held out.
+    """(doc_id, text, label) of at most `most` rows of each label value among `docs`, none held out.
 
     The rows with the smallest hash of the id are taken, so the sample is the same on every run.
     A repeated id counts once, with its larger label; null ids and null labels take no part.
     """
     known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+        labels_of(docs, labels).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
     )
