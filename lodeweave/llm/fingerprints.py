@@ -80,6 +80,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(2 * shared / (len(a) + len(b)))
 
 
+def near(a: np.ndarray, a_text: bytes, b: np.ndarray, b_text: bytes) -> float:
+    """The likeness of two texts with kept k-mers a and b; where either has none, both are compared by their shorter ones."""
+    return likeness(a, b) if len(a) and len(b) else likeness(whole_hash(a_text), whole_hash(b_text))
+
+
 def matches(a: bytes, b: bytes) -> list[tuple[int, int]]:
     """Places (in a, in b) of the anchors that stand exactly once in either text, in order of a."""
     found = []
@@ -135,24 +140,25 @@ def edited_rows(rows: list[tuple[int | None, str, str]]) -> list[tuple]:
         tails.append(head_bytes[max(0, len(head_bytes) - K + 1) :] + tail)
     known: dict[int, np.ndarray] = {}
     places = of_texts(own)
-    full = [m if len(m) else whole_hash(d) for d, (_, m) in zip(own, places, strict=True)]
+    full = [m for _, m in places]
     # The next document is mostly the next row, whose anchors are known already.
     for i in range(len(rows) - 1):
         if rows[i][2] is rows[i + 1][1]:
             known[i] = full[i + 1]
     rest = [i for i in range(len(rows)) if i not in known]
     for i, (_, m) in zip(rest, of_texts([after[i] for i in rest]), strict=True):
-        known[i] = m if len(m) else whole_hash(after[i])
+        known[i] = m
     out = []
     for i, (doc_id, here, _) in enumerate(rows):
         cut, edit = edits[i]
         out.append([doc_id, len(here), hashlib.sha256(edit).hexdigest(), full[i], known[i], cut, edit])
     result = []
-    for row, (place, marks), (_, tail_marks) in zip(out, places, of_texts(tails), strict=True):
+    for i, (row, (place, marks), (_, tail_marks)) in enumerate(zip(out, places, of_texts(tails), strict=True)):
         doc_id, n, digest, mine, following, cut, edit = row
         changed = np.concatenate([marks[: np.searchsorted(place, cut - K, "right")], tail_marks])
-        changed = changed if len(changed) else whole_hash(edit)
-        result.append((doc_id, n, digest, encoded(mine), encoded(changed), likeness(mine, changed), likeness(mine, following)))
+        near_edited, near_next = near(mine, own[i], changed, edit), near(mine, own[i], following, after[i])
+        mine, changed = (m if len(m) else whole_hash(d) for m, d in ((mine, own[i]), (changed, edit)))
+        result.append((doc_id, n, digest, encoded(mine), encoded(changed), near_edited, near_next))
     return result
 
 

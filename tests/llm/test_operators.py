@@ -174,6 +174,19 @@ def test_edited_fingerprints(spark):
     assert fingerprints.edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_texts_are_compared_at_one_scale():
+    """Where only one of two texts has a kept 32-byte k-mer, what they share still counts."""
+    rng, mixed = random.Random(5), 0
+    for _ in range(300):
+        here, after = ("".join(rng.choice("abcdefghij ") for _ in range(45)) for _ in range(2))
+        edit = here[:30] + after[:15]
+        counts = [len(m) for _, m in fingerprints.of_texts([here.encode(), edit.encode()])]
+        if (counts[0] == 0) != (counts[1] == 0):
+            mixed += 1
+            assert fingerprints.edited_rows([(1, here, after)])[0][5] > 0.2
+    assert mixed > 10
+
+
 def test_syncmers_are_context_free():
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
