@@ -1,9 +1,7 @@
-from test_operators import groups_spec, removal_spec
+from llm_specs import SF, groups_spec, removal_spec
 
 import corpus_pipeline as pipeline
 
-SF = "/root/testdata/sf0.001"
-
 
 def test_stages_one_by_one(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
