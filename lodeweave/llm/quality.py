@@ -8,7 +8,7 @@ length. Per-coordinate FTRL-proximal steps with an L1 term keep the weights spar
 
 Defined results: a null or empty text has no features and gets the score of the bias
 alone; repeated rows get equal scores; an empty table gives an empty result; a column
-named like the one added is replaced.
+named like the one added is replaced. Without labels of both values scores mean nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodeweave.llm import calibrate, text
-from lodeweave.llm.shared import labelled_sample, labels_of, widened
+from lodeweave.llm.shared import labelled_sample, widened
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL = 1500
@@ -131,17 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL) -> Qua
                     n.append((counts / max(1, rows[i + 1] - rows[i])).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "y", "at", "share"])
 
-    rows = labelled_sample(docs, labels, "quality", most).mapInArrow(hashed, "doc_id long, y int, at binary, share binary").collect()
+    sample, total = labelled_sample(docs, labels, "quality", most)
+    rows = sample.mapInArrow(hashed, "doc_id long, y int, at binary, share binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.at)))
     y = np.array([r.y for r in rows], np.int64)
-    total = {r.y: r.n for r in labels_of(docs, labels).where(F.col("quality").isNotNull()).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     share = tuple(max(1e-6, min(1.0, float((y == v).sum()) / max(1, total.get(v, 1)))) for v in (0, 1))
     return train([(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.share), np.float32).astype(np.float64)) for r in rows], y, share)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """`docs` with quality_score, from 0 to 1."""
-    docs = docs.drop("quality_score")
+def score(docs: DataFrame, model: QualityModel, added: str = "quality_score") -> DataFrame:
+    """`docs` with its score from 0 to 1, under the name `added`."""
+    docs = docs.drop(added)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +149,6 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             raw = np.zeros(batch.num_rows)
             for lo, hi, buf, offs in text.groups(batch.column("text")):
                 raw[lo:hi] = m.raw(*token_features(buf, offs))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(raw))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(raw))], [*batch.schema.names, added])
 
-    return docs.mapInArrow(scored, widened(docs.schema, "quality_score double"))
+    return docs.mapInArrow(scored, widened(docs.schema, f"{added} double"))

@@ -95,23 +95,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labels_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labels of documents that are among `docs`."""
-    return labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+#: Characters of the texts that a sample of one label value has at most.
+SAMPLE_CHARS = 8_000_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` rows of each label value among `docs`, none held out.
+def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labelled documents among `docs` that may be learned from: none held out, without null ids or labels.
 
-    The rows with the smallest hash of the id are taken, so the sample is the same on every run.
-    A repeated id counts once, with its larger label; null ids and null labels take no part.
+    A repeated id counts once, with its larger label.
     """
-    known = (
-        labels_of(docs, labels).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("y"))
-    )
-    parts = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most) for v in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most `most` rows and about `chars` characters of each label value, and how many learnable rows each value has.
+
+    The rows with the smallest hash of the id are taken, so the sample is the same on every run. Of documents with
+    equal ids the smallest text is taken.
+    """
+    known = written(learnable(docs, labels, label), "learnable")
+    total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64("doc_id", F.lit(7))
+    parts = [known.where(F.col("y") == v).orderBy(order, "doc_id").limit(most) for v in (0, 1)]
     # Bounded by 2 * most rows of two numbers, so it may be sent to every executor.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    body = F.coalesce("text", F.lit(""))
+    rows = written(docs.select("doc_id", body.alias("text")).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
+    lengths = rows.select("y", "doc_id", F.length("text").alias("n")).orderBy("y", order, "doc_id").collect()
+    keep, used = [], {}
+    for r in lengths:
+        if used.setdefault(r.y, 0) + r.n <= chars:  # a text that doesn't fit any more is left out, not cut
+            used[r.y] += r.n
+            keep.append(r.doc_id)
+    if len(keep) < len(lengths):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keep], "doc_id long")), "doc_id", "left_semi")
+    return rows, total

@@ -256,15 +256,6 @@ def test_archives(spark, version):
     assert warc.through_archives(df.limit(0), version).count() == 0
 
 
-def test_sample_is_taken_from_the_given_documents(spark):
-    """Labels of documents that an earlier stage rejected take no place in the sample."""
-    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
-    docs = spark.createDataFrame([(i, "words") for i in range(0, 400, 5)], "doc_id long, text string")
-    for v in (0, 1):
-        assert shared.labelled_sample(docs, labels, "toxic", 12).where(F.col("y") == v).count() == 12
-    assert shared.labels_of(docs, labels).count() == 80
-
-
 @pytest.mark.parametrize(("op", "column"), [(toxicity, "toxicity"), (quality, "quality_score")])
 def test_classifiers_on_odd_tables(spark, op, column):
     docs = spark.createDataFrame(make_docs(6), SCHEMA)
