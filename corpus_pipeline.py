@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import ngram_join, packing, quality, substrings, toxicity
-from lodeweave.llm.shared import table, written
+from lodeweave.llm.shared import table, unused, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score below 0.7) go."""
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("quality_score") >= quality.CUT_AT).select(*docs.columns)
+    score = unused(docs, "quality_score")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) >= quality.CUT_AT).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above their language's toxicity threshold go."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("toxic") == 0).select(*docs.columns)
+    score, threshold, toxic = (unused(docs, name) for name in ("toxicity", "toxic_threshold", "toxic"))
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), (score, threshold, toxic))
+    return scored.where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
