@@ -32,23 +32,26 @@ SHORT = (6, 2)
 
 def anchors(buf: np.ndarray, offs: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and 32-bit hashes of the kept k-mers of every row, and the rows' anchor offsets."""
-    n = len(buf)
-    if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-    h = text.running(buf)
-    starts = np.arange(n - s + 1)
-    small = (text.spans(h, starts, starts + s) >> np.uint64(32)).astype(np.uint32)
-    width, reach, low = k - s + 1, 1, small
-    while reach * 2 <= width:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if reach < width:
-        low = np.minimum(low[: n - k + 1], low[width - reach :][: n - k + 1])
-    low = low[: n - k + 1]
-    kept = np.flatnonzero((small[: n - k + 1] == low) | (small[width - 1 :][: n - k + 1] == low))
-    row = np.searchsorted(offs, kept, "right") - 1
-    kept = kept[kept + k <= offs[row + 1]]
-    return kept, (text.spans(h, kept, kept + k) >> np.uint64(32)).astype(np.uint32), np.searchsorted(kept, offs)
+    n, width = len(buf), k - s + 1
+    places, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for lo in range(0, n - k + 1, text.PASS_BYTES):
+        part = buf[lo : lo + text.PASS_BYTES + k - 1]
+        small = (text.short_grams(part, s) >> np.uint64(32)).astype(np.uint32)
+        reach, low = 1, small
+        while reach * 2 <= width:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        last = len(part) - k + 1
+        if reach < width:
+            low = np.minimum(low[:last], low[width - reach :][:last])
+        low = low[:last]
+        kept = np.flatnonzero((small[:last] == low) | (small[width - 1 :][:last] == low))
+        row = np.searchsorted(offs, kept + lo, "right") - 1
+        kept = kept[kept + lo + k <= offs[row + 1]]
+        places.append(kept + lo)
+        marks.append((text.hashes(part, kept, kept + k) >> np.uint64(32)).astype(np.uint32))
+    place = np.concatenate(places)
+    return place, np.concatenate(marks), np.searchsorted(place, offs)
 
 
 def whole_hash(data: bytes) -> np.ndarray:

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from lodeweave.llm.shared import only_wanted, unused, written
 WORDS = 5
 SKETCH = 1 << 20
 SKETCH_PARTS = 64
+#: Tasks whose counters meet in one group.
+FAN = 1024
 #: Nodes of one n-gram, or candidates of one probe, that meet in one group at most; more are dealt over several.
 BLOCK = 1024
 #: Nodes of each n-gram that all others meet first.
@@ -45,12 +48,14 @@ HUBS = 1
 PARTS, COARSE = 256, 64
 #: Tokens of a set that are counted between two looks at the bound.
 STRIDE = 64
+#: Two sums of scrambled hashes name a set.
+_KEYS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
     """Every row's distinct n-gram hashes, in no particular order of rarity."""
     starts, ends, rows = text.words(buf, offs)
-    h = text.spans(text.running(buf, text.LOWER), starts, ends)
+    h = text.hashes(buf, starts, ends, text.LOWER)
     grams = text.sequences(h, width)
     out = []
     for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
@@ -61,7 +66,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = WORDS) -> list[
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents' n-grams fall into each of SKETCH counters; only their sums reach the driver."""
+    """How many documents' n-grams fall into each of SKETCH counters: summed over FAN tasks at a time, then over those; only the sums reach the driver."""
     part = SKETCH // SKETCH_PARTS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +75,21 @@ def sketch(docs: DataFrame) -> np.ndarray:
             for _, _, buf, offs in text.groups(batch.column("text")):
                 grams = np.concatenate([*shingle_sets(buf, offs), np.zeros(0, np.uint64)])
                 counts += np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        rows = [counts[k * part : (k + 1) * part].astype(np.int32).tobytes() for k in range(SKETCH_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(rows, pa.binary())], ["part", "counts"])
+        rows = [counts[k * part : (k + 1) * part].tobytes() for k in range(SKETCH_PARTS)]
+        some = TaskContext.get().partitionId() // FAN
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([some] * SKETCH_PARTS, pa.int32()), pa.array(rows, pa.binary())], ["part", "some", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
         total = np.zeros(part, np.int64)
         for row in table.column("counts"):
-            total += np.frombuffer(row.as_py(), np.int32)
+            total += np.frombuffer(row.as_py(), np.int64)
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(counted, "part int, counts binary").groupBy("part").applyInArrow(summed, "part int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(counted, "part int, some int, counts binary")
+    for by in (["part", "some"], ["part"]):
+        parts = parts.groupBy(*by).applyInArrow(summed, "part int, counts binary")
     out = np.zeros(SKETCH, np.int64)
-    for r in parts:
+    for r in parts.collect():
         out[r.part * part : (r.part + 1) * part] = np.frombuffer(bytes(r.counts), np.int64)
     return out
 
@@ -269,8 +277,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 for grams in shingle_sets(buf, offs):
                     own = ordered(grams, level.value)
                     n.append(len(own))
-                    up, _ = text.powers(len(own) + 1)
-                    keys.append([int(np.sum(v, dtype=np.uint64).view(np.int64)) for v in (text.mix(grams) * up[1:], text.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))])
+                    keys.append([int(np.sum(text.mix(grams ^ seed), dtype=np.uint64).view(np.int64)) for seed in _KEYS])
                     shares.append(histogram(grams))
                     brief.append(coarse(shares[-1]))
                     prefixes.append(own[: len(own) + -percent * len(own) // 100 + 1].astype(np.int64))
@@ -309,20 +316,27 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     grouped = rows.where("held > 2").join(tied, "node", "left").withColumn("group", F.coalesce("component", "node"))
     mixed = grouped.groupBy(F.col("token").alias("_token")).agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("_token")
-    blocks = F.floor((F.col("held") - 1) / BLOCK) + 1
-    block = F.pmod(F.xxhash64("node"), blocks)
     grouped = grouped.join(mixed, F.col("token") == F.col("_token"), "left_semi")
     grouped = grouped.join(nodes.select(F.col("node").alias("_node"), "brief"), F.col("node") == F.col("_node"))
-    grouped = grouped.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = grouped.select("token", (F.least(block, "k") * blocks + F.greatest(block, "k")).alias("sub"), "node", "n", "at", "group", "brief")
-    dealt = dealt.repartition("token", "sub").sortWithinPartitions("token", "sub", "n", "node")
+    grouped = grouped.select("token", "held", "node", "n", "at", "group", "brief")
+    # Sizes of linked sets lie in one band or in two next to each other; each pair of bands of an n-gram with many nodes meets by itself.
+    band = F.floor(F.ln("n") / np.log(100 / percent * 1.0001))
+    large = grouped.where(F.col("held") > BLOCK).withColumn("band", F.explode(F.array(band - 1, band)))
+    crowd = large.groupBy(F.col("token").alias("_token"), F.col("band").alias("_band")).agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
+    large = large.join(crowd, (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_band"))).drop("_token", "_band")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    large = large.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.withColumn("sub", F.least(block, "k") * F.col("blocks") + F.greatest(block, "k"))
+    small = grouped.where(F.col("held") <= BLOCK).withColumns({"band": F.lit(0).cast("long"), "sub": F.lit(0).cast("long")})
+    kept = ["token", "band", "sub", "node", "n", "at", "group", "brief"]
+    dealt = small.select(*kept).unionByName(large.select(*kept)).repartition("token", "band", "sub").sortWithinPartitions("token", "band", "sub", "n", "node")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            token, sub, node, n, at, group = (t.column(c).to_numpy() for c in ("token", "sub", "node", "n", "at", "group"))
-            key = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))]) if len(token) else token
+            token, band, sub, node, n, at, group = (t.column(c).to_numpy() for c in ("token", "band", "sub", "node", "n", "at", "group"))
+            key = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (band[1:] != band[:-1]) | (sub[1:] != sub[:-1]))]) if len(token) else token
             brief = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, COARSE)
             found = meetings(key, node, n, at.astype(np.int64), group, brief, percent)
             return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["probe", "member"])
@@ -330,8 +344,8 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            token, sub = (held.column(c).to_numpy() for c in ("token", "sub"))
-            last = np.flatnonzero((token == token[-1]) & (sub == sub[-1]))[0] if len(token) else 0  # the last group may go on in the next batch
+            token, band, sub = (held.column(c).to_numpy() for c in ("token", "band", "sub"))
+            last = np.flatnonzero((token == token[-1]) & (band == band[-1]) & (sub == sub[-1]))[0] if len(token) else 0  # the last group may go on in the next batch
             yield pairs(held.slice(0, last))
             held = held.slice(last)
         if held is not None:

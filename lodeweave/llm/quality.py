@@ -40,22 +40,18 @@ _UPPER[65:91] = 1
 
 def token_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An n x 3 table of buckets (token, shape, pair with the next) and the rows' token offsets."""
-    kind = _KIND[buf]
-    cut = np.zeros(len(buf), bool)
-    if len(buf):
-        cut[1:] = kind[1:] != kind[:-1]
-    starts, ends, rows = text.runs(kind > 0, offs, cut)
+    starts, ends, rows = text.runs(buf, offs, _KIND)
     out = np.zeros((len(starts), KINDS), np.int32)
     if len(starts):
         keep = np.uint64(BUCKETS - 1)
-        token = text.spans(text.running(buf), starts, ends)
-        upper = np.concatenate([[0], np.cumsum(_UPPER[buf])])
+        token = text.hashes(buf, starts, ends)
+        upper = np.concatenate([np.zeros(1, np.int32), np.cumsum(_UPPER[buf], dtype=np.int32)])
         capitals = upper[ends] - upper[starts]
-        first = _UPPER[buf[starts]]
-        shape = kind[starts].astype(np.uint64) * np.uint64(64) + (first + 2 * (capitals > first)).astype(np.uint64) * np.uint64(8) + np.minimum(ends - starts, 7).astype(np.uint64)
+        kind, first = _KIND[buf[starts]], _UPPER[buf[starts]]
+        shape = kind.astype(np.uint64) * np.uint64(64) + (first + 2 * (capitals > first)).astype(np.uint64) * np.uint64(8) + np.minimum(ends - starts, 7).astype(np.uint64)
         pair = np.zeros_like(token)
         pair[:-1] = text.mix(token[:-1] * np.uint64(3) + token[1:] * np.uint64(0x9E3779B97F4A7C15))
-        pair[:-1][(token[:-1] == token[1:]) & (kind[starts[:-1]] == 1)] = 11
+        pair[:-1][(token[:-1] == token[1:]) & (kind[:-1] == 1)] = 11
         last = rows[1:][np.diff(rows) > 0] - 1
         pair[last] = 12
         for k, h in enumerate((token, text.mix(shape + np.uint64(1 << 20)), pair)):

@@ -81,7 +81,8 @@ class FingerprintIndex:
 
     def repeated(self, rows: DataFrame) -> DataFrame:
         """The rows of a batch whose hash (column a) occurs more than once in all that was added."""
-        often = self.counts().where("n > 1").select("hash")
+        # Written, so that the join deals rows anew and a hot hash can be split.
+        often = written(self.counts().where("n > 1").select("hash"), "often")
         return rows.join(often, F.col("a") == F.col("hash")).drop("hash")
 
 
@@ -120,7 +121,7 @@ def stretches(words: np.ndarray, rows: np.ndarray, window: int = WINDOW, short:
 def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for lo, _, buf, offs in text.groups(column):
         starts, ends, rows = text.words(buf, offs)
-        yield lo, buf, starts, ends, text.spans(text.running(buf), starts, ends), rows
+        yield lo, buf, starts, ends, text.hashes(buf, starts, ends), rows
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -176,13 +177,13 @@ def _hashed_stretches(found: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             asked, out = batch.column("runs").to_pylist(), []
             for lo, _, _, _, words, rows in _word_hashes(batch.column("text")):
-                up, down = text.powers(len(words) + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[1:], dtype=np.uint64)])
+                every = text.sequences(words, window)
                 for i in range(len(rows) - 1):
                     runs = sorted({(r["f"], r["a"]) for r in asked[lo + i]})
                     f = np.array([f for f, _ in runs], np.int64)
                     first, n = rows[i] + f // STRETCH, f % STRETCH
-                    sig = text.mix((total[first + n + window - 1] - total[first]) * down[first] + n.astype(np.uint64))
+                    # The first and the last window hold all words of a stretch, which has at most `window` windows.
+                    sig = text.mix(text.mix(every[first] + n.astype(np.uint64)) ^ every[first + n - 1])
                     out.append([{"a": a, "f": p, "sig": s} for (p, a), s in zip(runs, sig.astype(np.int64).tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "text")), pa.array(out, kind)], ["doc_id", "th", "text", "runs"])
 
@@ -245,9 +246,9 @@ def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> N
     if len(index.docs) == 1:
         found = index.repeated(places(index.known[0]))
     else:  # earlier stretches count again where the batch has their anchor; all others are settled
-        often = index.counts().where("n > 1").select("hash").join(run.select("hash"), "hash", "left_semi")
+        often = written(index.counts().where("n > 1").select("hash").join(run.select("hash"), "hash", "left_semi"), "often")
         found = places(_all(index.known)).join(often, F.col("a") == F.col("hash")).drop("hash")
-    asked = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f")).alias("runs"))
+    asked = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "f")).alias("runs"))
     held = written(_hashed_stretches(_same_document(_all(index.docs), asked), window), "held")
 
     runs = held.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.a", "r.f", "r.sig", F.xxhash64("doc_id", "th", "r.f").alias("own"))
@@ -259,7 +260,7 @@ def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> N
     judged = judged.select("doc_id", "th", "a", "f", "c", (F.col("open") & (F.col("own") == F.col("chosen"))).alias("asked")).where("c > 1 OR asked")
     judged = written(judged, "judged")
 
-    asked = judged.where("asked").groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f", "c")).alias("asked"))
+    asked = judged.where("asked").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "f", "c")).alias("asked"))
     windows = written(_windows(_same_document(held.select("doc_id", "th", "text"), asked), window), "windows")
     again = windows.groupBy(F.col("a").alias("_a"), F.col("h").alias("_h")).agg(F.sum("c").alias("n")).where("n > 1").select("_a", "_h")
     single = windows.where("c = 1").join(again, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")

@@ -1,24 +1,29 @@
 """Byte-level text kernels shared by the operators of this subpackage.
 
-Texts are read straight from Arrow buffers: word borders, word hashes and shingle
-hashes of a whole group of documents come from a few numpy passes over its bytes, so
-no Python string is made for a word. All hashes are 64-bit polynomials over bytes,
-taken as differences of one running sum and then mixed.
+Texts are read straight from Arrow buffers: word borders, word hashes and hashes of word
+sequences of a whole group of documents come from a few numpy passes over its bytes, so
+no Python string is made for a word. A hash takes eight bytes at a time and scrambles
+them before the next are added, so no pattern of repeated bytes or words makes two texts
+equal; words of up to eight bytes have a hash of their own each.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass handles; a longer document makes a group of its own.
+#: Bytes of text that one group of documents has at most; a longer document makes a group of its own.
 CHUNK_BYTES = 1 << 18
+#: Bytes of a long document that one numpy pass handles.
+PASS_BYTES = 1 << 20
+#: Byte ranges longer than this are hashed by a library call each.
+LONG = 256
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: White space is \x20 and \x09-\x0D, in every contract of this subpackage.
 SPACE = np.zeros(256, bool)
@@ -32,17 +37,6 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and those of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = h.astype(np.uint64, copy=True)
@@ -54,32 +48,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def running(buf: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
-    """H with H[j] - H[i] the unscaled hash of bytes i..j-1."""
-    up, _ = powers(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, np.uint64)
-    values = table[buf].astype(np.uint64)
-    values += np.uint64(1)
-    values *= up[1:]
-    np.cumsum(values, out=out[1:])
+def eights(buf: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
+    """The eight bytes from each place on as one number, as a view; zeros lie behind the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf if table is SAME else table[buf]
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
+    """Hashes of the byte ranges [start, end), their bytes taken through `table`."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at, n = eights(buf, table), end - start
+    out = n.astype(np.uint64) * _STEP
+    out ^= at[start] & _MASK[np.minimum(n, 8)]
+    out = mix(out)
+    alive = np.flatnonzero((n > 8) & (n <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(alive):
+            break
+        out[alive] = mix(out[alive] ^ (at[start[alive] + k] & _MASK[np.minimum(n[alive] - k, 8)]))
+        alive = alive[n[alive] > k + 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        data = table[buf[start[i] : end[i]]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
     return out
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hashes of the byte ranges [start, end)."""
-    _, down = powers(len(h))
-    return mix((h[end] - h[start]) * down[start])
+def short_grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every `width` consecutive bytes, 8 at most."""
+    at = eights(buf)[: len(buf) - width + 1]
+    return mix((at & _MASK[width]) ^ np.uint64(width * int(_STEP) % (1 << 64)))
+
+
+def _joined(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of sequences from those of their first parts and of their last `size` values."""
+    out = first ^ (first >> np.uint64(32))
+    out *= _STEP + np.uint64(2 * size)
+    out ^= out >> np.uint64(29)
+    out += second
+    return out
 
 
 def sequences(values: np.ndarray, width: int) -> np.ndarray:
-    """Mixed hashes of every `width` consecutive values (64-bit); none if there are fewer."""
+    """Hashes of every `width` consecutive values (64-bit); none if there are fewer."""
     n = len(values) - width + 1
-    if n <= 0:
+    if n <= 0 or width <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(values) + 1)
-    h = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[1:], out=h[1:])
-    return mix((h[width:] - h[:n]) * down[:n])
+    part, size, out, done, rest = values, 1, None, 0, width
+    while rest:
+        if rest & 1:
+            out = part if out is None else _joined(out[: len(part) - done], part[done:], size)
+            done += size
+        rest >>= 1
+        if rest:
+            part = _joined(part[:-size], part[size:], size)
+            size *= 2
+    return mix(out[:n])
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,28 +135,30 @@ def groups(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def runs(member: np.ndarray, offs: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of member bytes, and the n + 1 run offsets of the rows.
+def runs(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of one kind, and the n + 1 run offsets of the rows.
 
-    A run never crosses a row; where `cut` is true it also ends before that byte.
+    kind: a table by byte, in which 0 belongs to no run. A run never crosses a row.
     """
-    n = len(member)
-    if not n:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(len(offs), np.int64)
-    fresh = np.zeros(n + 1, bool)
-    fresh[offs] = True
-    if cut is not None:
-        fresh[:n] |= cut
-    before = np.zeros(n, bool)
-    before[1:] = member[:-1]
-    starts = np.flatnonzero(member & (~before | fresh[:n]))
-    after = np.zeros(n, bool)
-    after[:-1] = member[1:]
-    ends = np.flatnonzero(member & (~after | fresh[1:])) + 1
-    return starts, ends, np.searchsorted(starts, offs)
+    n, starts, ends = len(buf), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, n, PASS_BYTES):
+        hi = min(n, lo + PASS_BYTES)
+        here = np.zeros(hi - lo + 2, np.uint8)
+        here[1:-1] = kind[buf[lo:hi]]
+        here[0] = kind[buf[lo - 1]] if lo else 0
+        here[-1] = kind[buf[hi]] if hi < n else 0
+        turn = here[1:] != here[:-1]
+        turn[offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi, "right")] - lo] = True
+        inside = here[1:-1] > 0
+        starts.append(np.flatnonzero(turn[:-1] & inside) + lo)
+        ends.append(np.flatnonzero(turn[1:] & inside) + (lo + 1))
+    first = np.concatenate(starts)
+    return first, np.concatenate(ends), np.searchsorted(first, offs)
+
+
+_NOT_SPACE = (~SPACE).astype(np.uint8)
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+`: starts, ends, row offsets."""
-    return runs(~SPACE[buf], offs)
+    return runs(buf, offs, _NOT_SPACE)
