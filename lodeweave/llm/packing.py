@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm import text
 from lodeweave.llm.shared import written
 
 END_ID = 1
@@ -34,37 +34,95 @@ END_ID = 1
 GROUP_ITEMS = 20_000
 #: A bin with at most this many free places is nearly full and leaves.
 SLACK = 8
-#: Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 150_000
+#: Words, and parts of them, whose ids a worker remembers; beyond it starts afresh.
+CACHE_WORDS, CACHE_PARTS = 800_000, 200_000
 
 _state: dict[str, object] = {}
-#: Where a text can't be cut at white space as Python sees it without changing its tokens.
-_WHOLE = re.compile("<\\||[\x1c-\x1f]")
 # The normalizer and the pre-tokenizer's pattern of word_bpe_49k.json.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CUT = regex.compile(f"{_PRE_TOKENS}| ")
+#: Bytes of texts that can't be taken word by word: separators that are no white space here, and first bytes of characters from
+#: U+0530 on, whose classes differ between versions of Unicode. Up to there the tests hold every character against the tokenizer.
+_ASIDE = np.zeros(256, bool)
+_ASIDE[[*range(0x1C, 0x20), *range(0xD5, 0x100)]] = True
+_ASIDE[0xE2] = False  # punctuation, see `aside`
+
+
+def aside(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which rows hold something that only the tokenizer itself should read."""
+    bad = _ASIDE[buf]
+    after = np.concatenate([buf[1:], np.zeros(2, np.uint8)])
+    wide = np.flatnonzero((buf == 0xC2) | (buf == 0xD4) | (buf == 0xE2) | (buf == 0x3C))
+    one, two, three = buf[wide], after[wide], after[wide + 1]
+    bad[wide] |= (one == 0xC2) & ((two == 0x85) | (two == 0xA0))  # white space beyond ASCII
+    bad[wide] |= (one == 0xD4) & (two >= 0xB0)
+    bad[wide] |= (one == 0x3C) & (two == 0x7C)  # perhaps a special token
+    # U+2010 to 2027, U+2030 to 203E, U+20AC
+    fine = (two == 0x80) & ((three >= 0x90) & (three <= 0xA7) | (three >= 0xB0) & (three <= 0xBE)) | (two == 0x82) & (three == 0xAC)
+    bad[wide] |= (one == 0xE2) & ~fine
+    sums = np.concatenate([[0], np.cumsum(bad)])
+    return sums[offs[1:]] > sums[offs[:-1]]
+
+
+class _Known:
+    """Numbers 0, 1, ... of 64-bit hashes in order of arrival, by open addressing in arrays."""
+
+    def __init__(self):
+        self.n = 0
+        self._clear(1 << 12)
+
+    def _clear(self, size: int) -> None:
+        self.key, self.number, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.uint64(size - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes' numbers, -1 where unknown."""
+        h = np.maximum(hashes, np.uint64(1))
+        slot, out, todo = (h & self.mask).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(todo):
+            there = self.key[slot[todo]]
+            hit = there == h[todo]
+            out[todo[hit]] = self.number[slot[todo[hit]]]
+            todo = todo[~hit & (there > 0)]
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number hashes that are distinct and unknown."""
+        h, first = np.maximum(hashes, np.uint64(1)), self.n
+        self.n += len(h)
+        if 2 * self.n > len(self.key):
+            known = self.key > 0
+            old, numbers = self.key[known], self.number[known]
+            self._clear(1 << int(4 * self.n).bit_length())
+            self._put(old, numbers)
+        self._put(h, np.arange(first, self.n))
+
+    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        slot, todo = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.key[slot[todo]] == 0]
+            self.key[slot[free]] = h[free]  # of several for one place the last gets it
+            won = self.key[slot[todo]] == h[todo]
+            self.number[slot[todo[won]]] = numbers[todo[won]]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
 
 
 class _Ids:
     """The ids of many strings, by number, in one growing array."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.start, self.n, self.used, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0, 0
 
-    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        k, more = len(self.number), len(keys)
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, more = self.count, len(sizes)
         self.start, self.n, self.flat = _grown(self.start, k + more), _grown(self.n, k + more), _grown(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[k : k + more] = self.used + np.cumsum(sizes) - sizes
         self.n[k : k + more] = sizes
         self.used += len(ids)
-        self.number.update(zip(keys, range(k, k + more), strict=True))
-
-    def numbers(self, keys: list[str]) -> np.ndarray:
-        """The keys' numbers, -1 where unknown."""
-        return np.fromiter(map(self.number.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        self.count += more
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         n = self.n[numbers]
@@ -95,76 +153,109 @@ def _tokenizer(path: str):
             last = np.zeros(max(parts["model"]["vocab"].values()) + 1, bool)
             last[[k for word, k in parts["model"]["vocab"].items() if word.endswith("</w>")]] = True
             parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-            _state.update(lean=Tokenizer.from_str(json.dumps(parts)), last=last, words=_Ids(), parts=_Ids())
+            _state.update(lean=Tokenizer.from_str(json.dumps(parts)), last=last)
+            _forget()
+            _forget_parts()
     return _state["tokenizer"], _state["lean"] is not None
 
 
-def _learn(missing: list[str]) -> None:
-    """Remember the ids of words: white space always ends a token, so a text's ids are those of its words in turn."""
-    whole = " ".join(missing)
+def _forget() -> None:
+    _state.update(known=_Known(), words=_Ids())
+
+
+def _forget_parts() -> None:
+    _state.update(numbers={}, parts=_Ids())
+
+
+def _learn(words: bytes) -> None:
+    """Remember the ids of words, given with one space between: white space always ends a token, so a text's ids are those of its words in turn."""
+    whole = words.decode()
     if not whole.isascii():
         whole = unicodedata.normalize("NFC", whole).replace("\u03a3", "\u03c3")  # lower() makes a final sigma, the tokenizer doesn't
     found = _CUT.findall(whole.lower())
     gaps = np.array([t == " " for t in found])
     tokens = [t for t in found if t != " "]
     per_word = np.diff(np.concatenate([[-1], np.flatnonzero(gaps), [len(found)]])) - 1
-    parts = _state["parts"]
-    if len(parts.number) > CACHE_WORDS:
-        parts = _state["parts"] = _Ids()
-    numbers = parts.numbers(tokens)
-    fresh = sorted({tokens[j] for j in np.flatnonzero(numbers < 0).tolist()})
+    if len(_state["numbers"]) > CACHE_PARTS:
+        _forget_parts()
+    number, parts = _state["numbers"], _state["parts"]
+    look = lambda: np.fromiter(map(number.get, tokens, itertools.repeat(-1)), np.int64, len(tokens))
+    numbers = look()
+    fresh = list(dict.fromkeys(tokens[j] for j in np.flatnonzero(numbers < 0).tolist()))
     if fresh:
         # All are encoded as one text; an id that ends a word shows where the next one begins.
         ids = np.array(_state["lean"].encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(_state["last"][ids]) + 1
-        parts.add(fresh, ids, np.diff(np.concatenate([[0], ends])))
-        numbers = parts.numbers(tokens)
+        number.update(zip(fresh, range(parts.count, parts.count + len(fresh)), strict=True))
+        parts.add(ids, np.diff(np.concatenate([[0], ends])))
+        numbers = look()
     sizes = np.concatenate([[0], np.cumsum(parts.n[numbers])])
     borders = np.concatenate([[0], np.cumsum(per_word)])
-    _state["words"].add(missing, parts.of(numbers), np.diff(sizes[borders]))
+    _state["words"].add(parts.of(numbers), np.diff(sizes[borders]))
+
+
+def group_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts given by their bytes, as uint32 in turn, without special tokens added, and the texts' n + 1 offsets among them."""
+    tokenizer, by_word = _tokenizer(path)
+    alone = aside(buf, offs) if by_word else np.ones(len(offs) - 1, bool)
+    counts, ids, numbers = np.zeros(len(offs) - 1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    if not alone.all():
+        starts, ends, rows = text.words(buf, offs)
+        own = np.repeat(~alone, np.diff(rows))
+        starts, ends = starts[own], ends[own]
+        hashes = text.hashes(buf, starts, ends)
+        if _state["known"].n > CACHE_WORDS:
+            _forget()
+        numbers = _state["known"].find(hashes)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            distinct, at = np.unique(hashes[new], return_index=True)
+            _learn(text.joined(buf, starts[new[at]], ends[new[at]]))
+            _state["known"].add(distinct)
+            numbers[new] = _state["known"].find(hashes[new])
+        ids = _state["words"].of(numbers)
+        borders = np.concatenate([[0], np.cumsum(np.where(alone, 0, np.diff(rows)))])
+        counts = np.diff(np.concatenate([[0], np.cumsum(_state["words"].n[numbers], dtype=np.int64)])[borders])
+    if alone.any():
+        parts, at = [], 0
+        for i in range(len(counts)):
+            if alone[i]:
+                found = np.array(tokenizer.encode(buf[offs[i] : offs[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                counts[i] = len(found)
+            else:
+                found = ids[at : at + counts[i]]
+                at += counts[i]
+            parts.append(found)
+        ids = np.concatenate(parts)
+    return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Every text's ids, as uint32, without special tokens added."""
-    tokenizer, by_word = _tokenizer(path)
-    if not by_word:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    if len(_state["words"].number) > CACHE_WORDS:
-        _state["words"] = _Ids()
-    known = _state["words"]
-    cut = [None if _WHOLE.search(t) else t.split() for t in texts]
-    places = [None if ws is None else known.numbers(ws) for ws in cut]
-    unknown = [None if k is None else np.flatnonzero(k < 0) for k in places]
-    missing = {cut[i][j] for i, at in enumerate(unknown) if at is not None for j in at.tolist()}
-    if missing:
-        _learn(sorted(missing))
     out = []
-    for t, ws, k, at in zip(texts, cut, places, unknown, strict=True):
-        if k is None:
-            out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-        else:
-            k[at] = [known.number[ws[j]] for j in at.tolist()]
-            out.append(known.of(k))
+    for _, _, buf, offs in text.groups(pa.array(texts, pa.string())):
+        ids, ends = group_ids(buf, offs, path)
+        out += [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
     return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and end mark, cut at `capacity`."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = 256
-            for lo in range(0, batch.num_rows, size):
+            for lo, hi, buf, offs in text.groups(batch.column("text"), 4 * text.CHUNK_BYTES):
                 rows: list[tuple] = []
-                part = batch.slice(lo, size)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(texts, path), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        rows.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes())))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                ids, ends = group_ids(buf, offs, path)
+                ids = ids.astype("<u4", copy=False)
+                for doc_id, (a, b) in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), itertools.pairwise(ends.tolist()), strict=True):
+                    own = ids[a:b].tobytes() + end
+                    for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                        part = own[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

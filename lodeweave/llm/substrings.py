@@ -124,18 +124,6 @@ def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield lo, buf, starts, ends, text.hashes(buf, starts, ends), rows
 
 
-def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """The words joined by one space."""
-    if not len(starts):
-        return b""
-    size = ends - starts
-    out = np.full(int(size.sum()) + len(size) - 1, 0x20, np.uint8)
-    to = np.cumsum(size + 1) - size - 1
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(to, size) + step] = buf[np.repeat(starts, size) + step]
-    return out.tobytes()
-
-
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text): rows with equal ids and texts have equal results, so both together name a document."""
     body = F.coalesce("text", F.lit(""))
@@ -154,7 +142,7 @@ def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 places.append(first * STRETCH + count)
                 sizes += np.diff(of).tolist()
                 n += np.diff(rows).tolist()
-                digest += [hashlib.sha256(_joined(buf, starts[i:j], ends[i:j])).digest() for i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+                digest += [hashlib.sha256(text.joined(buf, starts[i:j], ends[i:j])).digest() for i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in (marks, places)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists], ["doc_id", "th", "n_words", "digest", "a", "f"])
@@ -224,7 +212,7 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
                     np.add.at(edge, f // STRETCH + f % STRETCH + window - 1, -1)
                     left = rows[i] + np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     removed.append(int(size - len(left)))
-                    kept.append(_joined(buf, starts[left], ends[left]).decode())
+                    kept.append(text.joined(buf, starts[left], ends[left]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "th", "n_removed", "kept"])
 
     return found.mapInArrow(run, "doc_id long, th long, n_removed long, kept string")

@@ -81,7 +81,7 @@ def short_grams(buf: np.ndarray, width: int) -> np.ndarray:
     return mix((at & _MASK[width]) ^ np.uint64(width * int(_STEP) % (1 << 64)))
 
 
-def _joined(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+def _chained(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
     """Hashes of sequences from those of their first parts and of their last `size` values."""
     out = first ^ (first >> np.uint64(32))
     out *= _STEP + np.uint64(2 * size)
@@ -98,11 +98,11 @@ def sequences(values: np.ndarray, width: int) -> np.ndarray:
     part, size, out, done, rest = values, 1, None, 0, width
     while rest:
         if rest & 1:
-            out = part if out is None else _joined(out[: len(part) - done], part[done:], size)
+            out = part if out is None else _chained(out[: len(part) - done], part[done:], size)
             done += size
         rest >>= 1
         if rest:
-            part = _joined(part[:-size], part[size:], size)
+            part = _chained(part[:-size], part[size:], size)
             size *= 2
     return mix(out[:n])
 
@@ -162,3 +162,15 @@ _NOT_SPACE = (~SPACE).astype(np.uint8)
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+`: starts, ends, row offsets."""
     return runs(buf, offs, _NOT_SPACE)
+
+
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words joined by one space."""
+    if not len(starts):
+        return b""
+    size = ends - starts
+    out = np.full(int(size.sum()) + len(size) - 1, 0x20, np.uint8)
+    to = np.cumsum(size + 1) - size - 1
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + step] = buf[np.repeat(starts, size) + step]
+    return out.tobytes()

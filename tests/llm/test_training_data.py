@@ -196,6 +196,34 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], SCHEMA), path)).count() == 0
 
 
+def test_ids_equal_the_tokenizers():
+    """Every character that is taken word by word, in several surroundings, and many others; then random mixtures."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(8)
+    near = [*map(chr, range(0x530)), *map(chr, range(0x2000, 0x2070)), "\u20ac", "\u20ab"]
+    far = [chr(c) for c in range(0x530, 0x20000, 37) if not 0xD800 <= c < 0xE000]
+    texts = [t for c in near + far for t in (c, f"a{c}b 1{c}'s {c}{c}!")]
+    texts += ["".join(rng.choice(near) if rng.random() < 0.5 else rng.choice("ab'S 1\n.Σß") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", " ", "<|endoftext|> a", "a <|startoftext|>", "<| a |>", "x" * 500 + " y"]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = packing.token_ids(texts, path)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w] == []
+
+
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"word{i % 70} some{i} more" for i in range(300)]
+    want = [x.tolist() for x in packing.token_ids(texts, path)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    monkeypatch.setattr(packing, "CACHE_PARTS", 20)
+    assert [x.tolist() for t in texts for x in packing.token_ids([t], path)] == want
+
+
 def test_best_fit_where_nothing_fits():
     bins, place, fill = packing.best_fit(np.array([40] * 10), 64)
     assert len(fill) == 10 and set(place) == {0}
