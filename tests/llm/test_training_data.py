@@ -136,39 +136,52 @@ def test_syncmers_are_context_free():
 
 
 def topk_spec(rows, k):
-    vec = {}
+    known = []
     for i, v, _ in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        w = [int(np.floor(64.0 * float(np.float32(x)))) for x in v]
-        vec[i] = min(vec.get(i, w), w)
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            known.append((i, [int(np.floor(64.0 * float(np.float32(x)))) for x in v]))
     out = []
-    for q in vec:
+    for n, (q, v) in enumerate(known):
         if q % 20 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(vec[q], vec[c], strict=False)), c) for c in vec if c != q))[:k]
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for m, (c, w) in enumerate(known) if m != n)[:k]
             out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(16384, 4096), (13, 2)])
-def test_topk_against_all_pairs(spark, blocks):
+@pytest.mark.parametrize("sizes", [{}, {"pivots": 6, "n_candidates": 13, "n_queries": 2, "cell_rows": 20}, {"pivots": 3, "n_candidates": 50, "n_queries": 3, "cell_rows": 1}])
+def test_topk_against_all_pairs(spark, sizes):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 4], 1) for i in range(120)]
     rows += [(200, None, 1), (220, [None, 1.0], 1), (240, [float("nan")], 1), (260, [float("inf"), 0.0], 1), (280, [], 1), (300, [1.5], 1), (0, [0.25] * 8, 2), (0, [0.25] * 8, 2), (None, [1.0], 1), (320, [1e7, 2.0, -1e7], 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     ready = df.where(topk.usable(F.col("embedding"))).select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v"))
-    got = topk.top_k(ready, F.col("vec_id") % 20 == 0, 20, 6, *blocks)
+    got = topk.top_k(ready, F.col("vec_id") % 20 == 0, 20, **sizes)
     assert sorted(tuple(r) for r in got.collect()) == topk_spec(rows, 20)
     assert topk.top_k(ready.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_pivots_spare_work():
-    rng = np.random.default_rng(1)
-    c = (rng.normal(0, 2, (2000, 8)) + rng.choice([-200, 200], (2000, 1))).astype(np.int64)
-    pivots = topk.choose_pivots(c, 8)
-    far = np.stack([np.linalg.norm(c - p, axis=1) for p in pivots], axis=1)
-    ids = np.arange(2000)
-    assert topk.block_best(c[:50], ids[:50], far[:50], c, ids, far, 20)[3] < 50 * 2000 * 0.7
+def clustered(n, clusters, dim, seed=1):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 60, (clusters, dim))
+    return (middle[rng.integers(0, clusters, n)] + rng.normal(0, 6, (n, dim))).astype(np.int64)
+
+
+def test_pivots_spare_work_in_a_block():
+    c = clustered(2000, 12, 16)
+    rows, floor = np.arange(2000), np.full(100, -np.inf)
+    got = topk.block_best(c[:100], rows[:100], floor, c, rows, rows, topk.choose_pivots(c, 24), 20)
+    assert got[3] < 100 * 2000 * 0.5
+    want = [sorted((-int(s), i) for i, s in enumerate(c @ c[q]) if i != q)[:20] for q in range(100)]
+    assert sorted(zip(got[0], got[2], got[1], strict=True)) == sorted((q, -s, i) for q, w in enumerate(want) for s, i in w)
+
+
+def test_cells_spare_most_pairs_of_clustered_vectors(spark):
+    c = clustered(3000, 20, 16)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(c.tolist())], "vec_id long, v array<long>")
+    found, share = topk.search(df, F.col("vec_id") % 20 == 0, n_candidates=200, n_queries=50, cell_rows=150)
+    assert share.first().evaluated < 0.3
+    want = [(q, r, i, -s) for q in range(0, 3000, 20) for r, (s, i) in enumerate(sorted((-int(s), i) for i, s in enumerate(c @ c[q]) if i != q)[:20], 1)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
 def test_packing(spark):
