@@ -31,9 +31,11 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset and everything runs on this machine, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodeweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
