@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The retry settings with their defaults, and below the names of errors.
 @dataclass(frozen=True)
 class RetryConfig:
     max_retries: int = 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What Python's str.isspace calls white space, as a class of Java and RE2 patterns.
@@ -150,6 +150,7 @@ def preview(text: Column, n: int) -> Column:
 def trim_snippet(text: Column, least: int = 200, tail: int = 200, gate: int = 0) -> Column:
     """A text longer than `least` ends at the next sentence end within `tail` characters, else at `least` with an ellipsis."""
     window = F.substring(text, least + 1, tail)
+    # Fixed value: what ends a sentence.
     stop = F.regexp_extract(window, rf"(?ds)^(.*?[.!?…](?:['\")\]]+)?)(?={WS}|\z)", 1)
     rstrip = lambda c: F.regexp_replace(c, f"{WS}+$", "")
     cut = F.when(stop != "", rstrip(F.concat(F.left(text, F.lit(least)), stop))).otherwise(F.concat(rstrip(F.left(text, F.lit(least))), F.lit("…")))
@@ -169,9 +170,33 @@ def page_text(text: Column, cap: int = 2000) -> Column:
 
 
 def is_email(address: Column) -> Column:
+    # Fixed value: the pattern of addresses.
     return F.coalesce(address.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\n?\z"), F.lit(False))
 
 
 def padded(text: Column, n: int) -> Column:
     """At least n characters wide; never shortened."""
     return F.when(F.length(text) < n, F.rpad(text, n, " ")).otherwise(text)
+
+
+def clean_document(docs: DataFrame, content: str = "content") -> DataFrame:
+    """`docs` with the text cleaned, repeated lines dropped, and is_substantial, word_count and char_count of what is left; a null text stays null."""
+    cleaned = drop_repeated_lines(clean_text(F.col(content)))
+    c = F.col(content)
+    return docs.withColumn(content, cleaned).withColumns({"is_substantial": is_substantial(c), "word_count": F.when(c.isNotNull(), word_count(c)), "char_count": F.length(c)})
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key, the right one's value holds. A null map is empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(left, empty), F.coalesce(right, empty)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def scalars_only(rows: DataFrame, key: str, metadata: str, fixed: list[str]) -> DataFrame:
+    """(key, name, value) of the entries of a JSON object that are texts, numbers or booleans; names in `fixed` are left to others."""
+    spark = rows.sparkSession
+    parsed = rows.select(F.col(key).alias("_key"), F.try_parse_json(metadata).alias("_v"))
+    out = spark.sql("SELECT p._key, v.key AS name, schema_of_variant(v.value) AS kind, v.value AS value FROM {p} AS p, LATERAL variant_explode(p._v) AS v", p=parsed)
+    scalar = F.col("kind").rlike("^(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL)")
+    return out.where(scalar & ~F.col("name").isin(fixed)).select(F.col("_key").alias(key), "name", F.col("value").cast("string").alias("value"))

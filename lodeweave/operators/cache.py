@@ -28,9 +28,9 @@ def older_than(now: Column, then: Column, days: Column) -> Column:
 
 
 def latest(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The last row of each url; a later put replaces an earlier one."""
-    w = Window.partitionBy("url").orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each url; a later put replaces an earlier one. An aggregate, so most rows go before the shuffle."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy("url").agg(last.alias("_last")).select("_last.*")
 
 
 def put(cache: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def bucket_counts(decided: DataFrame) -> DataFrame:
 
 
 def prioritised(urls: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """urls with their score from 0 to 100; the larger comes first, ties in the order of column position."""
+    """urls with their score from 0 to 100."""
     rows = _with_cache(urls, cache)
     age = age_days(now, F.col("last_scraped"))
     bonus = F.when(~F.col("cached"), 30).when(age > 90, 20).when(age > 30, 10).when(age < 7, -20).otherwise(0)
@@ -130,6 +130,11 @@ def prioritised(urls: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("score", score).select(*urls.columns, "score")
 
 
+def in_order(scored: DataFrame, position: str = "url") -> DataFrame:
+    """The larger score first; ties in the order of a column that tells each row's place."""
+    return scored.orderBy(F.desc("score"), position)
+
+
 def changes(docs: DataFrame, cache: DataFrame) -> DataFrame:
     """Documents (url, content, word_count) against the cache: change_type, and word counts for modified ones."""
     known = cache.select(F.col("url").alias("_url"), F.col("content_hash").alias("old_hash"), F.col("word_count").alias("word_count_old"), "last_scraped")
@@ -145,8 +150,15 @@ def changes(docs: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def text_report(cache: DataFrame, now: Column) -> DataFrame:
-    """Lines of the cache report, in order."""
+    """(pos, line): the lines of the cache report, in order of pos."""
     s = statistics(cache, now).select(F.posexplode(F.array(*[F.concat(F.lit(f"{name}: "), F.col(name).cast("string")) for name in ("total", "successful", "failed", "fresh", "expired")])).alias("pos", "line"))
     c = by_category(cache).where("category IS NOT NULL AND category <> ''").select((F.row_number().over(Window.orderBy(F.desc("cnt"), "category")) + 100).alias("pos"), F.concat("category", F.lit(": "), F.col("cnt").cast("string")).alias("line"))
     table = cache.sparkSession.createDataFrame([(1000 + i, f"{k}: {v}") for i, (k, v) in enumerate(sorted(U.CATEGORY_AGE.items()))], "pos int, line string")
-    return s.unionByName(c).unionByName(table)
+    return s.unionByName(c).unionByName(table).orderBy("pos")
+
+
+def incremental_statistics(changed: DataFrame, decided: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """One row: how many pages changed, how many urls were skipped, and the cache's own statistics."""
+    a = changed.agg(F.count_if("changed").alias("changes_detected"))
+    b = decided.agg(F.count_if(~F.col("should_scrape")).alias("urls_skipped"))
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(statistics(cache, now)))  # one row each

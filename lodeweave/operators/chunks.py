@@ -125,8 +125,9 @@ def exploded(docs: DataFrame, text: str, preserve_headers: bool = True, size: in
 
 
 def chunk_documents(chunks: DataFrame) -> DataFrame:
-    """Chunk rows of pages (url, title, text, header, chunk_index, total) as pages of their own."""
+    """Chunk rows of pages (url, title, text, header, chunk_index, total) as pages of their own; a page's category goes along."""
     return chunks.select(
+        *[c for c in ("category",) if c in chunks.columns],
         F.concat("url", F.lit("#chunk_"), F.col("chunk_index").cast("string")).alias("url"),
         F.concat("title", F.lit(" (Teil "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")")).alias("title"),
         F.col("text").alias("content"), "chunk_index", F.col("total").alias("total_chunks"), F.col("url").alias("original_url"), "header",

@@ -45,6 +45,18 @@ def pdf_metrics(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("pdfs_found"), F.count_if("success").alias("pdfs_extracted"), F.count_if(~F.col("success")).alias("pdfs_failed"))
 
 
+def pdf_methods(log: DataFrame) -> DataFrame:
+    """How many PDFs each method extracted."""
+    return log.where("success").groupBy("extraction_method").agg(F.count("*").alias("cnt"))
+
+
+def duplicate_metrics(judged: DataFrame) -> DataFrame:
+    """How many documents were duplicates, by reason (duplicate_<reason>), and in all."""
+    gone = judged.where("NOT is_unique")
+    by_reason = gone.groupBy(F.concat(F.lit("duplicate_"), "reason").alias("name")).agg(F.count("*").alias("cnt"))
+    return by_reason.unionByName(gone.agg(F.lit("duplicates_removed").alias("name"), F.count("*").alias("cnt")))
+
+
 def last_rows(log: DataFrame, order: str, n: int = 100) -> DataFrame:
     """The last n rows by order, for reports: the feature is a bounded tail."""
     return log.orderBy(F.desc(order)).limit(n).orderBy(order)

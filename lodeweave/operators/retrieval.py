@@ -7,17 +7,20 @@ the limit and thresholds after it.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 
 PER_COLLECTION, TOTAL, RELEVANT, SIMILAR, RESULTS = 3, 5, 0.1, 0.1, 10
+# Words of a question that call for the hint.
 HINT_WORDS = ["bewerbung", "fachsemester", "höher"]
 
 
@@ -79,7 +82,23 @@ def relevance(distance: Column) -> Column:
 
 
 def distances(store: DataFrame, query: list[float]) -> DataFrame:
-    return store.withColumn("distance", cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
+    """Cosine distances to one query, whose length is taken once; arrow batches, so a row is one numpy dot product."""
+    q = np.array(query, np.float64)
+    length = float(np.sqrt(q @ q))
+
+    @F.arrow_udf("double")
+    def distance(column: pa.Array) -> pa.Array:
+        out = np.full(len(column), 1.0)
+        sizes = np.diff(column.offsets.to_numpy())
+        whole = np.flatnonzero((sizes == len(q)) & column.is_valid().to_numpy(zero_copy_only=False))
+        if len(whole):
+            v = column.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            norms = np.sqrt(np.einsum("ij,ij->i", v, v)) * length
+            dots = v @ q
+            out[whole] = np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0)
+        return pa.array(out)
+
+    return store.withColumn("distance", distance("embedding"))
 
 
 def search(store: DataFrame, query: list[float], k: int = RESULTS, where: Column | None = None, threshold: float = SIMILAR, key: str = "id") -> DataFrame:
@@ -97,17 +116,57 @@ def across_collections(store: DataFrame, query: list[float], key: str = "id", pe
     return ranked.withColumn("relevance", relevance(F.col("distance"))).where(F.col("relevance") > relevant)
 
 
-def answer(hits: DataFrame, question: str, collections: list[str]) -> DataFrame:
-    """One row with the answer text from hits (rank, text, collection, title, source_url); ranks keep their gaps."""
+@dataclass(frozen=True)
+class AnswerText:
+    """The wording of an answer; {} are filled in."""
+
+    head: str = "Found in the knowledge base (collections: {}):"
+    block: str = "Result {}{} [from {}]:"
+    source: str = " (source: {})"
+    unknown: str = "unknown"
+    hint: str = "Note: applications for later semesters often need certificates from the examination office."
+    nothing: str = "Nothing that was found on '{}' is relevant enough."
+
+
+def _filled(template: str, *values: Column) -> Column:
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        out += [value, F.lit(part)]
+    return F.concat(*out)
+
+
+def answer(hits: DataFrame, question: str, collections: list[str], wording: AnswerText = AnswerText()) -> DataFrame:  # noqa: B008
+    """One row with the answer text from hits (rank, text, collection, title, source_url), at most as many as a search gives; ranks keep their gaps."""
     source = F.coalesce(F.nullif("title", F.lit("")), F.nullif("source_url", F.lit("")))
-    origin = F.when(source.isNotNull(), F.concat(F.lit(" (Quelle: "), source, F.lit(")"))).otherwise(F.lit(""))
-    block = F.concat(F.lit("**Information "), F.col("rank").cast("string"), F.lit("**"), origin, F.lit(" [aus: "), F.coalesce("collection", F.lit("unbekannt")), F.lit("]:\n"), T.strip(F.col("text")))
-    hint = "\n\nHinweis: Für höhere Fachsemester sind oft Bescheinigungen des Prüfungsamts nötig." if any(w in question.lower() for w in HINT_WORDS) else ""
+    origin = F.when(source.isNotNull(), _filled(wording.source, source)).otherwise(F.lit(""))
+    block = F.concat(_filled(wording.block, F.col("rank").cast("string"), origin, F.coalesce("collection", F.lit(wording.unknown))), F.lit("\n"), T.strip(F.col("text")))
+    hint = f"\n\n{wording.hint}" if any(w in question.lower() for w in HINT_WORDS) else ""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]), "\n\n")
-    head = f"Informationen (durchsuchte Collections: {', '.join(collections)}):\n\n"
-    none = f"Die gefundenen Informationen zu '{question}' sind nicht relevant genug."
+    head = wording.head.format(", ".join(collections)) + "\n\n"
+    none = wording.nothing.format(question)
     return hits.agg(F.when(F.count("*") == 0, F.lit(none)).otherwise(F.concat(F.lit(head), body, F.lit(hint))).alias("answer"))
 
 
 def store_statistics(store: DataFrame, config: StoreConfig) -> DataFrame:
     return store.agg(F.count("*").alias("document_count"), F.lit(config.collection_name).alias("collection_name"), F.lit(config.embedding_provider).alias("embedding_provider"), F.lit(config.chunk_size).alias("chunk_size"))
+
+
+def from_environment(env: Mapping[str, str]) -> StoreConfig:
+    """A configuration from settings such as VECTOR_STORE_BACKEND or CHUNK_SIZE; what isn't set keeps its default."""
+    known = {"backend": "VECTOR_STORE_BACKEND", "collection_name": "COLLECTION_NAME", "persist_directory": "PERSIST_DIRECTORY", "chunk_size": "CHUNK_SIZE", "chunk_overlap": "CHUNK_OVERLAP", "embedding_provider": "EMBEDDING_PROVIDER", "dimension": "EMBEDDING_DIMENSION", "similarity_threshold": "SIMILARITY_THRESHOLD", "max_results": "MAX_RESULTS"}
+    plain = StoreConfig()
+    given = {name: type(getattr(plain, name))(env[key]) for name, key in known.items() if env.get(key)}
+    return replace(plain, **given)
+
+
+class StoreBackend(Protocol):
+    """What a vector store offers; sources.files.ParquetStore is one."""
+
+    def add(self, rows: DataFrame) -> int: ...
+
+    def search(self, query: list[float], k: int = RESULTS, where: Column | None = None, threshold: float = SIMILAR) -> DataFrame: ...
+
+    def delete_by_source(self, source_url: str) -> None: ...
+
+    def count(self) -> int: ...

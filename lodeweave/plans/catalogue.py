@@ -12,7 +12,8 @@ from lodeweave.functions import retry as R
 from lodeweave.functions import text as T
 from lodeweave.functions import urls as U
 from lodeweave.operators import cache as C
-from lodeweave.operators import chunks, crawl, dedupe, metrics, retrieval
+from lodeweave.functions import mail as M
+from lodeweave.operators import chunks, crawl, dedupe, metrics, reports, retrieval
 from lodeweave.plans import ingest
 from lodeweave.plans import tables as D
 
@@ -71,7 +72,12 @@ def vector_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT vec_id, CAST(label AS VARCHAR) AS collection, {_DISTANCE} AS distance FROM embeddings),
+    b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY collection ORDER BY distance, vec_id) <= 3),
+    t AS (SELECT *, row_number() OVER (ORDER BY distance, collection, vec_id) AS rank FROM b),
+    h AS (SELECT rank, 'Result ' || rank || ' (source: https://host.test) [from ' || collection || ']:' || chr(10) || 'vector ' || vec_id AS block FROM t WHERE rank <= 5 AND greatest(0, 1 - distance) > 0.1)
+    SELECT CASE WHEN count(*) = 0 THEN 'Nothing that was found on ''Bewerbung für höhere Fachsemester'' is relevant enough.' ELSE 'Found in the knowledge base (collections: 0, 1):' || chr(10) || chr(10)
+        || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || {D.quoted(retrieval.AnswerText().hint)} END AS answer FROM h""")
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.across_collections(_store(spark, sf_dir), _first_vector(spark, sf_dir), "vec_id")
     rows = hits.withColumns({"text": F.concat(F.lit(" vector "), F.col("vec_id").cast("string")), "title": F.lit(""), "source_url": F.lit("https://host.test")})
@@ -168,16 +174,50 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.near_pairs(rows).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE f AS (SELECT doc_id, {D.sql_strip('lower(text)')} AS h, {D.sql_words('lower(text)')} AS w FROM documents), c AS (SELECT doc_id, {D.sql_words('lower(text[1:5000])')} AS w FROM documents),
+    a AS (SELECT doc_id, h, {_SHINGLES} AS s FROM f), b AS (SELECT doc_id, {_SHINGLES} AS s FROM c),
+    x AS (SELECT doc_id AS i, len(s) AS n, unnest(s) AS g FROM a), y AS (SELECT doc_id AS j, len(s) AS m, unnest(s) AS g FROM b),
+    p AS (SELECT i, j, count(*) AS k, any_value(n) AS n, any_value(m) AS m FROM x JOIN y USING (g) WHERE j < i GROUP BY i, j),
+    e AS (SELECT i, j, false AS exact, k / (n + m - k) AS jaccard FROM p WHERE k / (n + m - k) >= 0.85
+        UNION ALL SELECT a.doc_id, b.doc_id, false, 1.0 FROM a JOIN b ON b.doc_id < a.doc_id WHERE len(a.s) = 0 AND len(b.s) = 0
+        UNION ALL SELECT a.doc_id, o.doc_id, true, NULL FROM a JOIN a o ON a.h = o.h AND o.doc_id < a.doc_id),
+    o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce((SELECT list(j) FROM e WHERE i = doc_id), []) AS js FROM documents),
+    g AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.r, CASE WHEN len(list_intersect(g.kept, o.js)) = 0 THEN list_append(g.kept, o.doc_id) ELSE g.kept END FROM g JOIN o ON o.r = g.r + 1),
+    kept AS (SELECT unnest(kept) AS j FROM (SELECT kept FROM g ORDER BY r DESC LIMIT 1)),
+    why AS (SELECT i, bool_or(exact) AS exact, min(j) FILTER (exact) AS same, min(j) FILTER (NOT exact) AS near, arg_min(jaccard, j) FILTER (NOT exact) AS jaccard FROM e JOIN kept USING (j) GROUP BY i),
+    greedy AS (SELECT doc_id AS id, i IS NULL AS is_unique, CASE WHEN exact THEN same ELSE near END AS duplicate_of,
+        CASE WHEN i IS NULL THEN NULL WHEN exact THEN 'exact_duplicate' ELSE 'near_duplicate' END AS reason, round(CASE WHEN NOT exact THEN jaccard END, 6) AS jaccard FROM documents LEFT JOIN why ON why.i = doc_id)"""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+@query(f"{_GREEDY} SELECT * FROM greedy")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.greedy(D.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return dedupe.greedy(_contents(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+@query(f"{_GREEDY} SELECT count(*) AS total_seen, count(*) FILTER (is_unique) AS unique_urls, 0.85 :: DOUBLE AS similarity_threshold, 3 AS shingle_size FROM greedy")
 def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.statistics(greedy_dedupe(spark, sf_dir))
 
 
+@query(f"{_GREEDY} SELECT id, CASE WHEN reason = 'near_duplicate' THEN printf('near_duplicate_%.2f', jaccard) ELSE reason END AS duplicate_reason, duplicate_of FROM greedy WHERE NOT is_unique")
+def dedupe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table in two batches, the second judged against what the first accepted."""
+    docs = _contents(spark, sf_dir)
+    middle = docs.agg(F.max("id")).first()[0] // 2
+    _, first, accepted = dedupe.batch(docs.where(F.col("id") <= middle))
+    _, second, _ = dedupe.batch(docs.where(F.col("id") > middle), accepted)
+    return first.unionByName(second).select("id", "duplicate_reason", "duplicate_of")
+
+
+@query(f"{_GREEDY} SELECT 'duplicate_' || reason AS name, count(*) AS cnt FROM greedy WHERE NOT is_unique GROUP BY 1 UNION ALL SELECT 'duplicates_removed', count(*) FROM greedy WHERE NOT is_unique")
+def duplicate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.duplicate_metrics(greedy_dedupe(spark, sf_dir))
+
+
 # Addresses
 
 _NETLOC = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
@@ -291,7 +331,7 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_URLS}, s AS (SELECT url, {D.sql_first_match('lower(url)', U.SCORES, U.BASE_SCORE)} + CASE WHEN NOT cached THEN 30 WHEN {SQL_AGE} > 90 THEN 20 WHEN {SQL_AGE} > 30 THEN 10 WHEN {SQL_AGE} < 7 THEN -20 ELSE 0 END AS s FROM j)
     SELECT url, CAST(least(100, greatest(0, s)) AS INTEGER) AS score FROM s""")
 def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prioritised(_urls(spark, sf_dir), _cache(spark, sf_dir), now()).orderBy(F.desc("score"), "url")
+    return C.in_order(C.prioritised(_urls(spark, sf_dir), _cache(spark, sf_dir), now()))
 
 
 @query(f"""WITH {D.FETCH_LOG}, cache AS (SELECT * FROM fetch_log WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_scraped DESC, event_id DESC) = 1),
@@ -331,7 +371,13 @@ def recent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent(_cache(spark, sf_dir)).select("url", "last_scraped")
 
 
-@query()
+_STATS = f"SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, count(*) FILTER ({SQL_FRESH}) AS fresh, count(*) FILTER (NOT {SQL_FRESH}) AS expired FROM cache"
+_STRATEGY = " UNION ALL ".join(f"SELECT {1000 + i} AS pos, {D.quoted(f'{k}: {v}')} AS line" for i, (k, v) in enumerate(sorted(U.CATEGORY_AGE.items())))
+
+
+@query(f"""WITH {D.CACHE}, s AS ({_STATS}), c AS (SELECT category, count(*) AS cnt FROM cache WHERE category <> '' GROUP BY category)
+    SELECT pos, line FROM (SELECT 0 AS pos, 'total: ' || total AS line FROM s UNION ALL SELECT 1, 'successful: ' || successful FROM s UNION ALL SELECT 2, 'failed: ' || failed FROM s UNION ALL SELECT 3, 'fresh: ' || fresh FROM s
+    UNION ALL SELECT 4, 'expired: ' || expired FROM s UNION ALL SELECT 100 + CAST(row_number() OVER (ORDER BY cnt DESC, category) AS INTEGER), category || ': ' || cnt FROM c UNION ALL {_STRATEGY})""")
 def cache_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.text_report(_cache(spark, sf_dir), now())
 
@@ -406,9 +452,21 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.profile(D.table(spark, sf_dir, "documents")).drop("avg_length")
 
 
-@query()
+_RATES = "[count(doc_id) / count(*), count(*) FILTER (text <> '') / count(*), count(*) FILTER (lang <> '') / count(*), count(*) FILTER (source <> '') / count(*), count(n_chars) / count(*)]"
+
+
+@query(f"""WITH r AS (SELECT count(*) AS total_documents, avg(length(text)) AS l, count(DISTINCT source) AS unique_sources, list_avg({_RATES}) AS c FROM documents)
+    SELECT total_documents, round(l, 6) AS avg_text_length, unique_sources, round(c, 6) AS avg_completeness,
+    array_to_string(list_filter([CASE WHEN c < 0.8 THEN 'fill missing fields' END, CASE WHEN l > 1500 THEN 'chunk long texts' END, CASE WHEN unique_sources < 2 THEN 'add sources' END], lambda x: x IS NOT NULL), '; ') AS optimization_suggestions FROM r""")
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.profile_summary(D.table(spark, sf_dir, "documents"), "text", "source")
+    out = metrics.profile_summary(D.table(spark, sf_dir, "documents"), "text", "source")
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_text_length", "avg_completeness")})
+
+
+@query("""WITH f AS (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS field_name, unnest(['bigint', 'string', 'string', 'string', 'bigint']) AS kind, unnest(%s) AS rate FROM documents)
+    SELECT field_name, '| ' || field_name || ' | ' || kind || ' | ' || printf('%%.2f', rate) || ' |' AS line FROM f""" % _RATES)
+def profile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.profile_lines(metrics.profile(D.table(spark, sf_dir, "documents")))
 
 
 # Retries
@@ -427,11 +485,51 @@ def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunks
 
 
-@query()
+_DONE = f"CASE WHEN a.now <> '' THEN list_append(a.done, {D.sql_strip('a.now')}) ELSE a.done END"
+_LONGER = "CASE WHEN a.now <> '' THEN a.now || '. ' || b.now ELSE b.now END"
+_FOLD = f"""list_reduce(list_transform(string_split(text, '. '), lambda x: {{'done': CAST([] AS VARCHAR[]), 'now': x}}), lambda a, b: {{'done': CASE WHEN length({_LONGER}) <= 1500 THEN a.done ELSE {_DONE} END,
+    'now': CASE WHEN length({_LONGER}) <= 1500 THEN {_LONGER} WHEN len({_DONE}) > 0 THEN right(a.now, 300) || '. ' || b.now ELSE b.now END}})"""
+#: Chunks of a table (key, text) by SQL.
+_CHUNKS = f"""folded AS (SELECT key, {_FOLD} AS s FROM texts), packed AS (SELECT key, CASE WHEN s.now <> '' THEN list_append(s.done, {D.sql_strip('s.now')}) ELSE s.done END AS chunks FROM folded),
+    chunked AS (SELECT key, CAST(len(chunks) AS INTEGER) AS total_chunks, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index, unnest(chunks) AS chunk FROM packed)"""
+
+
+@query(f"WITH texts AS (SELECT doc_id AS key, text FROM documents), {_CHUNKS} SELECT key AS doc_id, chunk_index, chunk AS text FROM chunked")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.docs(spark, sf_dir).select("doc_id", F.posexplode(chunks.packed(F.col("text"))).alias("chunk_index", "text"))
 
 
+_STORED = f"""WITH {D.ADDRESSES}, texts AS (SELECT url AS key, text FROM documents JOIN addresses USING (doc_id) WHERE {D.sql_strip('text')} <> '' AND doc_id % 9 <> 0), {_CHUNKS},
+    stored AS (SELECT sha256(key || '#' || chunk_index)[1:16] AS id, key AS source_url, chunk AS text, chunk_index, total_chunks, {D.sql_first_match('lower(key)', [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)} AS category FROM chunked)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store rows of all documents as pages with made-up addresses; every ninth failed to load."""
+    pages = D.docs(spark, sf_dir).join(D.addresses(spark, sf_dir), "doc_id")
+    return chunks.stored_chunks(pages.select("url", F.col("text").alias("content"), U.category(F.col("url")).alias("category"), F.lit("t").alias("title"), (F.col("doc_id") % 9 != 0).alias("success")))
+
+
+@query(f"{_STORED} SELECT id, source_url, md5(text) AS digest, chunk_index, total_chunks FROM stored")
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).select("id", "source_url", F.md5("text").alias("digest"), "chunk_index", "total_chunks")
+
+
+@query(f"{_STORED} SELECT category, count(*) AS chunks FROM stored GROUP BY category")
+def chunks_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.chunks_per_category(_stored(spark, sf_dir))
+
+
+@query(f"""{_STORED} SELECT id, md5('ID: ' || id || chr(10) || 'Source: ' || source_url || chr(10) || 'Chunk: ' || (chunk_index + 1) || '/' || total_chunks || chr(10) || 'Length: ' || length(text) || ' characters' || chr(10) || 'Title: t' || chr(10)
+    || repeat('-', 50) || chr(10) || text || chr(10) || repeat('-', 50)) AS digest FROM stored""")
+def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.chunk_lines(_stored(spark, sf_dir)).select("id", F.md5("line").alias("digest"))
+
+
+@query(f"""{_STORED}, one AS (SELECT count(*) AS document_count FROM stored) SELECT document_count, 'documents' AS collection_name, 'hashing' AS embedding_provider, 1500 AS chunk_size FROM one""")
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.store_statistics(_stored(spark, sf_dir), retrieval.StoreConfig())
+
+
 @query()
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.docs(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
@@ -499,3 +597,212 @@ def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.report(spark, sf_dir)
+
+
+# Reports, failures and metadata
+
+_KINDS, _STATUS = ["connection", "timeout", "response", "other"], [404, 403, 429, 500, 503, 418]
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three attempts for every event's url; all but the last timed out, and the last failed for two of three."""
+    e = D.table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("attempt"))
+    n, last = F.col("event_id"), F.col("attempt") == F.col("event_id") % 3
+    kind = F.when(last, D.pick(_KINDS, F.floor(n / 3))).otherwise(F.lit("timeout"))
+    status = F.element_at(F.array(*[F.lit(x) for x in _STATUS]), (F.floor(n / 12) % 6 + 1).cast("int"))
+    return e.select(F.concat(F.lit("https://host.test/"), n.cast("string")).alias("url"), "attempt", (last & (F.floor(n / 2) % 3 == 0)).alias("success"), kind.alias("kind"), F.when(kind == "response", status).alias("status"), F.concat(F.lit("try "), F.col("attempt").cast("string")).alias("message"))
+
+
+_ATTEMPTS = f"""e AS (SELECT event_id AS n, CAST(unnest(range(event_id % 3 + 1)) AS INTEGER) AS attempt, CAST(event_id % 3 AS INTEGER) AS last FROM events),
+    k AS (SELECT 'https://host.test/' || n AS url, attempt, attempt = last AND (n // 2) % 3 = 0 AS success, CASE WHEN attempt = last THEN {D.sql_pick(_KINDS, '(n // 3)')} ELSE 'timeout' END AS kind, ({_STATUS})[CAST((n // 12) % 6 + 1 AS BIGINT)] AS code, 'try ' || attempt AS message FROM e),
+    attempts AS (SELECT *, CASE WHEN success THEN NULL ELSE CASE kind WHEN 'connection' THEN 'connection_error' WHEN 'timeout' THEN 'timeout' WHEN 'response' THEN CASE code WHEN 404 THEN 'not_found' WHEN 403 THEN 'forbidden' WHEN 429 THEN 'rate_limited'
+        ELSE CASE WHEN code >= 500 THEN 'server_error' ELSE 'http_' || code END END ELSE 'unknown_error' END END AS error_type, kind IN ('connection', 'timeout') OR (kind = 'response' AND code >= 500) AS retryable FROM k),
+    final AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY url ORDER BY attempt DESC) = 1),
+    gone AS (SELECT url, error_type, message FROM final WHERE NOT success AND (NOT retryable OR attempt >= 2)), errors AS (SELECT error_type, count(*) AS cnt FROM attempts WHERE NOT success GROUP BY error_type)"""
+
+
+@query(f"WITH {_ATTEMPTS} SELECT * FROM gone")
+def failed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.failed_urls(_attempts(spark, sf_dir))
+
+
+@query(f"WITH {_ATTEMPTS} SELECT url, attempt + 1 AS attempt, least(pow(2.0, attempt), 60.0) AS delay FROM final WHERE NOT success AND retryable AND attempt < 2")
+def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.retry_queue(_attempts(spark, sf_dir), config=R.RetryConfig(jitter=False))
+
+
+@query(f"WITH {_ATTEMPTS} SELECT * FROM errors")
+def error_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.error_statistics(_attempts(spark, sf_dir))
+
+
+@query(f"""WITH {_ATTEMPTS} SELECT 'summary' AS section, 'failed_count' AS name, CAST(count(*) AS VARCHAR) AS value FROM gone UNION ALL SELECT 'error_statistics', error_type, CAST(cnt AS VARCHAR) FROM errors
+    UNION ALL SELECT 'failed_urls', url, error_type || ': ' || message FROM gone""")
+def failed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.failed_report(_attempts(spark, sf_dir))
+
+
+@query(f"WITH {D.ADDRESSES} SELECT 'summary' AS section, 'total_urls' AS name, CAST(count(*) AS VARCHAR) AS value FROM addresses UNION ALL SELECT 'urls', url, NULL FROM addresses")
+def discovered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.discovered(D.addresses(spark, sf_dir))
+
+
+def _sql_rows(section: str, names: list[str], table: str) -> str:
+    """A one-row table's columns as rows of a report."""
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{n}' AS name, CAST({n} AS VARCHAR) AS value FROM {table}" for n in names)
+
+
+@query(f"""SELECT count(*) FILTER (changed) AS changes_detected, any_value(s.n) AS urls_skipped, any_value(c.total) AS total, any_value(c.successful) AS successful, any_value(c.failed) AS failed, any_value(c.fresh) AS fresh, any_value(c.expired) AS expired
+    FROM ({ORACLE_SQL['changes']}), (SELECT count(*) AS n FROM ({ORACLE_SQL['rescrape_plan']}) WHERE NOT should_scrape) s, ({ORACLE_SQL['cache_stats']}) c""")
+def incremental_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.incremental_statistics(changes(spark, sf_dir), rescrape_plan(spark, sf_dir), _cache(spark, sf_dir), now())
+
+
+@query(f"""SELECT 'statistics' AS section, 'changes_detected' AS name, CAST(count(*) FILTER (changed) AS VARCHAR) AS value FROM ({ORACLE_SQL['changes']}) UNION ALL SELECT 'statistics', 'urls_skipped', CAST(count(*) AS VARCHAR) FROM ({ORACLE_SQL['rescrape_plan']}) WHERE NOT should_scrape
+    UNION ALL {_sql_rows('cache_stats', ['total', 'successful', 'failed', 'fresh', 'expired'], f"({ORACLE_SQL['cache_stats']})")}
+    UNION ALL SELECT 'changes_detected', url, change_type FROM ({ORACLE_SQL['changes']}) WHERE changed UNION ALL SELECT 'skipped_urls', url, reason FROM ({ORACLE_SQL['rescrape_plan']}) WHERE NOT should_scrape""")
+def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.change_report(changes(spark, sf_dir), rescrape_plan(spark, sf_dir), C.statistics(_cache(spark, sf_dir), now()))
+
+
+_MEASURED = ["urls_crawled", "urls_successful", "urls_failed", "success_share", "success_rate", "avg_response_time", "avg_content_size", "total_content_size", "crawl_rate"]
+_METRICS = f"""{_sql_rows('summary', _MEASURED, f"({ORACLE_SQL['fetch_metrics']})")} UNION ALL SELECT 'categories', category, CAST(count(*) AS VARCHAR) FROM fetch_log WHERE category <> '' GROUP BY category
+    UNION ALL SELECT 'errors', error, CAST(count(*) AS VARCHAR) FROM fetch_log WHERE error IS NOT NULL GROUP BY error UNION ALL SELECT 'status_codes', CAST(status_code AS VARCHAR), CAST(count(*) AS VARCHAR) FROM fetch_log WHERE status_code <> 0 GROUP BY status_code
+    UNION ALL SELECT 'url_details', CAST(event_id AS VARCHAR), url || ' ' || success FROM"""
+
+
+@query(f"WITH {D.FETCH_LOG} {_METRICS} (SELECT * FROM fetch_log ORDER BY event_id DESC LIMIT 100)")
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.metrics_report(D.fetch_log(spark, sf_dir), fetch_metrics(spark, sf_dir), "event_id")
+
+
+@query(f"WITH {D.FETCH_LOG} {_METRICS} fetch_log")
+def metrics_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the details of all urls."""
+    return reports.metrics_report(D.fetch_log(spark, sf_dir), fetch_metrics(spark, sf_dir), "event_id", None)
+
+
+_METHODS = ["pdfplumber", "pypdf", "none"]
+
+
+@query(f"WITH {D.FETCH_LOG} SELECT {D.sql_pick(_METHODS, 'event_id')} AS extraction_method, count(*) AS cnt FROM fetch_log WHERE success GROUP BY 1")
+def pdf_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pdf_methods(D.fetch_log(spark, sf_dir).withColumn("extraction_method", D.pick(_METHODS, F.col("event_id"))))
+
+
+_DOMAINS = ["host.test", "en.other.test"]
+_FIRST_CATEGORY = D.sql_first_match("lower(url)", [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)
+_DOCUMENT_TYPE = D.sql_first_match("lower(url)", [(k, v) for v, k in U.DOCUMENT_TYPES.items()])
+_SITE = f"""{D.ADDRESSES}, site AS (SELECT doc_id, url, text, CASE WHEN lower(url) LIKE '%.pdf' THEN CASE WHEN {_NETLOC} IN ('host.test', 'en.other.test') THEN 'pdf' END WHEN {_ALLOWED} THEN 'page' END AS kind, doc_id % 5 = 0 AS skipped, doc_id % 7 <> 0 AS success,
+    {_FIRST_CATEGORY} AS category, {_DOCUMENT_TYPE} AS document_type FROM addresses JOIN documents USING (doc_id))"""
+
+
+def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as pages and PDFs of a made-up site."""
+    u = F.col("url")
+    rows = D.addresses(spark, sf_dir).join(D.docs(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "url", "text", U.link_kind(u, _DOMAINS).alias("kind"), (F.col("doc_id") % 5 == 0).alias("skipped"), (F.col("doc_id") % 7 != 0).alias("success"), U.document_type(u).alias("document_type"))
+
+
+@query(f"""WITH {_SITE} SELECT url, md5(text) AS digest, 'html' AS content_type, category, NULL AS document_type FROM site WHERE kind = 'page' AND success
+    UNION ALL SELECT url, md5(text), 'pdf', CASE WHEN contains(lower(url), 'pruefungsordnung') OR document_type IS NOT NULL THEN 'pruefungsordnungen' ELSE category END, document_type FROM site WHERE kind = 'pdf' AND success""")
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    site = _site(spark, sf_dir)
+    pages = site.where("kind = 'page'").select("url", F.col("text").alias("content"), "success")
+    out = ingest.with_pdfs(pages, site.where("kind = 'pdf'").select("url", "text", "success", "document_type"))
+    return out.select("url", F.md5("content").alias("digest"), "content_type", "category", "document_type")
+
+
+@query(f"WITH {D.ADDRESSES} SELECT url, CASE WHEN contains(lower(url), 'pruefungsordnung') OR {_DOCUMENT_TYPE} IS NOT NULL THEN 'pruefungsordnungen' ELSE {_FIRST_CATEGORY} END AS category FROM addresses")
+def pdf_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.addresses(spark, sf_dir).select("url", U.pdf_category(F.lower("url"), U.document_type(F.col("url"))).alias("category"))
+
+
+@query(f"""{_STORED.replace("WITH ", f"WITH {D.FETCH_LOG}, ", 1)}, {_SITE[len(D.ADDRESSES) + 2 :]}, u AS (SELECT * FROM site WHERE kind = 'page' AND doc_id % 11 <> 0),
+    r AS (SELECT count(*) FILTER (kind = 'page') AS urls_discovered, count(*) FILTER (kind = 'page' AND NOT skipped) AS urls_scraped, count(*) FILTER (kind = 'page' AND skipped) AS urls_skipped_cache, count(*) FILTER (kind = 'pdf') AS pdfs_found,
+        count(*) FILTER (kind = 'page') AS pages_scraped, count(*) FILTER (kind = 'page' AND success) AS successful_scrapes, count(*) FILTER (kind = 'page' AND NOT success) AS failed_scrapes,
+        count(*) FILTER (kind = 'page' AND success AND doc_id % 11 = 0) AS duplicates_removed, count(*) FILTER (kind = 'pdf' AND success) AS pdfs_extracted, count(*) FILTER (kind = 'pdf' AND NOT success) AS pdfs_failed FROM site),
+    c AS (SELECT count(DISTINCT category) AS categories_found FROM u WHERE success), t AS (SELECT count(*) AS total_chunks_created, count(*) AS total_documents_stored FROM stored),
+    m AS (SELECT round(avg(CAST(success AS INTEGER)) * 100, 6) AS success_rate, round(avg(response_time), 6) AS average_response_time, CAST(sum(content_size) AS BIGINT) AS total_content_size FROM fetch_log)
+    {_sql_rows('results', ['urls_discovered', 'urls_scraped', 'urls_skipped_cache', 'pdfs_found', 'pages_scraped', 'successful_scrapes', 'failed_scrapes', 'duplicates_removed', 'pdfs_extracted', 'pdfs_failed'], 'r')}
+    UNION ALL {_sql_rows('results', ['categories_found'], 'c')} UNION ALL {_sql_rows('results', ['total_chunks_created', 'total_documents_stored'], 't')} UNION ALL SELECT 'category_distribution', category, CAST(count(*) AS VARCHAR) FROM u WHERE success GROUP BY category
+    UNION ALL {_sql_rows('metrics', ['success_rate', 'average_response_time', 'total_content_size'], 'm')} UNION ALL SELECT 'error_summary', error, CAST(count(*) AS VARCHAR) FROM fetch_log WHERE error IS NOT NULL GROUP BY error""")
+def pipeline_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of the pipeline's report, over the documents as a made-up site of which every eleventh page is a duplicate."""
+    site = _site(spark, sf_dir)
+    found, pages = site.where("kind IS NOT NULL"), site.where("kind = 'page'")
+    return ingest.measures(found, pages, pages.where("doc_id % 11 <> 0"), site.where("kind = 'pdf'"), _stored(spark, sf_dir), D.fetch_log(spark, sf_dir))
+
+
+@query(f"""{_STORED}, p AS (SELECT {_FIRST_CATEGORY} AS category, doc_id % 9 <> 0 AS success FROM addresses), r AS (SELECT count(*) AS total_pages, count(*) FILTER (success) AS successful_pages, count(DISTINCT category) FILTER (success) AS categories_found FROM p)
+    {_sql_rows('results', ['total_pages', 'successful_pages', 'categories_found'], 'r')} UNION ALL SELECT 'results', 'total_documents_stored', CAST(count(*) AS VARCHAR) FROM stored
+    UNION ALL SELECT 'category_distribution', category, CAST(count(*) AS VARCHAR) FROM p WHERE success GROUP BY category""")
+def reprocess_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.addresses(spark, sf_dir).select(U.category(F.col("url")).alias("category"), (F.col("doc_id") % 9 != 0).alias("success"))
+    return reports.reprocessed(docs, _stored(spark, sf_dir))
+
+
+_CODE = "CASE WHEN coalesce(status_code, 0) = 0 THEN 'N/A' ELSE CAST(status_code AS VARCHAR) END"
+_NAMED = f"{D.CACHE}, named AS (SELECT * REPLACE (coalesce(nullif(category, ''), 'uncategorized') AS category), strftime(last_scraped, '%Y-%m-%d %H:%M:%S') AS seen_at FROM cache)"
+
+
+@query(f"WITH {_NAMED} SELECT category, 1 AS place, url, url AS line FROM named")
+def cache_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_lines(_cache(spark, sf_dir), "simple")
+
+
+@query(f"""WITH {_NAMED} SELECT category, 1 AS place, url, 'URL:      ' || url || chr(10) || 'Category: ' || category || chr(10) || 'Status:   ' || CASE WHEN success THEN 'SUCCESS' ELSE 'FAILED' END || ' (Code: ' || {_CODE} || ')' || chr(10) || 'Scraped:  ' || seen_at AS line FROM named""")
+def cache_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_lines(_cache(spark, sf_dir), "detailed")
+
+
+@query(f"WITH {_NAMED} SELECT category, 1 AS place, url, url AS line FROM named UNION ALL SELECT category, 0, '', '## ' || upper(category) || ' (' || count(*) || ' URLs)' FROM named GROUP BY category")
+def cache_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_lines(_cache(spark, sf_dir), "by-category")
+
+
+@query(f"WITH {_NAMED} SELECT category, 1 AS place, url, CAST(to_json({{'url': url, 'category': category, 'success': success, 'status_code': status_code, 'last_scraped': seen_at, 'content_hash': content_hash}}) AS VARCHAR) AS line FROM named")
+def cache_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_lines(_cache(spark, sf_dir), "json")
+
+
+@query(f"WITH {D.CACHE} SELECT category, rpad(category, greatest(10, CAST(length(category) AS INTEGER)), ' ') || ' ' || lpad(CAST(count(*) AS VARCHAR), 3, ' ') || ' ' || printf('%.1f%%', count(*) * 100.0 / 200) AS line FROM cache WHERE category <> '' GROUP BY category")
+def category_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.bars(metrics.counts_by(_cache(spark, sf_dir), "category"), "category", F.lit(200))
+
+
+@query("""SELECT doc_id, e.key AS name, e.value ->> '$' AS value FROM (SELECT doc_id, json_object('lang', lang, 'n', n_chars, 'half', n_chars / 2 + 0.25, 'even', doc_id % 2 = 0, 'none', NULL, 'tags', [lang, source], 'inner', json_object('a', 1), 'title', 'own') AS j FROM documents) d,
+    json_each(d.j) e WHERE e.type IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') AND e.key <> 'title'""")
+def scalar_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents")
+    fields = [F.col("lang"), F.col("n_chars").alias("n"), (F.col("n_chars") / 2 + 0.25).alias("half"), (F.col("doc_id") % 2 == 0).alias("even"), F.lit(None).cast("string").alias("none"), F.array("lang", "source").alias("tags"), F.struct(F.lit(1).alias("a")).alias("inner"), F.lit("own").alias("title")]
+    rows = d.select("doc_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("metadata"))
+    return T.scalars_only(rows, "doc_id", "metadata", ["title"])
+
+
+@query("SELECT doc_id, 'a=' || lang || ';b=' || (doc_id % 3) || ';c=' || source AS merged FROM documents")
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents")
+    left = F.create_map(F.lit("a"), F.col("lang"), F.lit("b"), F.lit("old"))
+    right = F.create_map(F.lit("b"), (F.col("doc_id") % 3).cast("string"), F.lit("c"), F.col("source"))
+    entries = F.array_sort(F.map_entries(T.merged(left, right)))
+    return d.select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {D.sql_clean('text')} AS t FROM documents), w AS (SELECT doc_id, t, {D.sql_words('t')} AS w FROM c)
+    SELECT doc_id, md5(t) AS digest, length(t) >= 100 AND len(w) >= 20 AND list_sum(list_transform(w, lambda x: length(x))) / len(w) >= 3 AS is_substantial, CAST(len(w) AS INTEGER) AS word_count, CAST(length(t) AS INTEGER) AS char_count FROM w""")
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.clean_document(D.docs(spark, sf_dir), "text").select("doc_id", F.md5("text").alias("digest"), "is_substantial", "word_count", "char_count")
+
+
+@query("""SELECT doc_id, '[CHATBOT] ' || source AS subject, '[AUTOMATIC MESSAGE]' || chr(10) || 'To: a@host.test' || chr(10) || 'From: automatic sender' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || lang || chr(10) || chr(10) || '---' || chr(10) || 'This message was sent automatically.' AS body,
+    doc_id % 3 = 0 AS configured FROM documents""")
+def mail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [F.lit(x) for x in M.SETTINGS]
+    settings = F.create_map(names[0], F.lit("s"), names[1], F.lit("25"), names[2], F.lit("u"), names[3], F.when(F.col("doc_id") % 3 == 0, F.lit("p")).when(F.col("doc_id") % 3 == 1, F.lit("")))
+    return D.table(spark, sf_dir, "documents").select("doc_id", M.wrapped_subject(F.col("source")).alias("subject"), M.wrapped_body(F.col("lang"), F.lit("a@host.test")).alias("body"), M.is_configured(settings).alias("configured"))
+
+
+@query("SELECT page_id, url || '/a/b?x=1' AS joined FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS url FROM pages)")
+def joined_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", H.urljoin_udf(F.col("url"), F.lit("/a/b?x=1")).alias("joined"))

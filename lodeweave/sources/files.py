@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -65,6 +65,48 @@ def delete_source(spark: SparkSession, path: str, source_url: str, to: str) -> N
     open_store(spark, path).where(~F.col("source_url").eqNullSafe(F.lit(source_url))).write.mode("overwrite").partitionBy("collection").parquet(to)
 
 
+class ParquetStore:
+    """A store in versions v0, v1, ... below a folder: what is read is never overwritten, and the largest finished version holds."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _versions(self) -> list[int]:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        names = [s.getPath() for s in system.listStatus(folder)]
+        done = [p.getName() for p in names if system.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n[1:]) for n in done if re.fullmatch(r"v\d+", n))
+
+    def rows(self, collection: str | None = None) -> DataFrame:
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], STORE)
+        return open_store(self.spark, f"{self.path}/v{versions[-1]}", collection)
+
+    def add(self, rows: DataFrame) -> int:
+        """Rows whose id the collection doesn't hold yet are added; returns how many."""
+        versions = self._versions()
+        if versions:
+            return add_to_store(rows, f"{self.path}/v{versions[-1]}", exists=True)
+        return add_to_store(rows, f"{self.path}/v0", exists=False)
+
+    def search(self, query: list[float], k: int = 10, where: Column | None = None, threshold: float = 0.1) -> DataFrame:
+        from lodeweave.operators.retrieval import search
+
+        return search(self.rows(), query, k, where, threshold)
+
+    def delete_by_source(self, source_url: str) -> None:
+        versions = self._versions()
+        if versions:
+            delete_source(self.spark, f"{self.path}/v{versions[-1]}", source_url, f"{self.path}/v{versions[-1] + 1}")
+
+    def count(self) -> int:
+        return self.rows().count()
+
+
 def listed_chunks(store: DataFrame, limit: int = 0) -> DataFrame:
     rows = store.orderBy("source_url", "chunk_index")
     return rows.limit(limit) if limit else rows
@@ -131,41 +173,89 @@ class _Urls(InputPartition):
         self.urls = urls
 
 
+#: Seconds that a page, and a PDF, may take.
+PAGE_TIMEOUT, PDF_TIMEOUT = 30.0, 60.0
+FETCHED = "url string, status_code int, html string, content binary, success boolean, error_message string, error_type string, attempts int, timestamp string"
+
+
+def error_class(error: Exception) -> tuple[str, int | None]:
+    """What kind of failure a fetch had (connection, timeout, response or other), and the status of a response."""
+    import socket
+    import urllib.error
+
+    if isinstance(error, urllib.error.HTTPError):
+        return "response", error.code
+    if isinstance(error, TimeoutError | socket.timeout) or isinstance(getattr(error, "reason", None), TimeoutError):
+        return "timeout", None
+    return ("connection", None) if isinstance(error, OSError) else ("other", None)
+
+
+def error_type(kind: str, status: int | None) -> str:
+    """The name that functions.retry.error_name gives a failure."""
+    if kind != "response":
+        return {"connection": "connection_error", "timeout": "timeout"}.get(kind, "unknown_error")
+    return {404: "not_found", 403: "forbidden", 429: "rate_limited"}.get(status, "server_error" if status >= 500 else f"http_{status}")
+
+
 class WebReader(DataSourceReader):
-    """Fetches the urls of option `urls` (one per line), some per partition, with linear retries."""
+    """Fetches urls, some per partition and several at a time; only status 200 is a success, and a failed fetch is a row.
+
+    Options: urls (one per line), urlsPerPartition, concurrency, delay (seconds before a try), timeout, userAgent, binary
+    (bytes in `content` instead of text in `html`), and retryMode: `linear` tries `retries` times whatever went wrong and waits
+    retryDelay * number of tries; `exponential` tries again only after connection failures, timeouts and server errors, and
+    waits initialDelay * exponentialBase ** tries, maxDelay at most; `once` doesn't try again and takes every 2xx.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.per_partition = int(options.get("urlsPerPartition", "50"))
-        self.retries, self.retry_delay = int(options.get("retries", "3")), float(options.get("retryDelay", "2"))
-        self.delay, self.timeout = float(options.get("delay", "2")), float(options.get("timeout", "30"))
-        self.agent = options.get("userAgent", "lodeweave")
+        self.mode = options.get("retryMode", "linear")
+        if self.mode not in ("linear", "exponential", "once"):
+            raise ValueError(f"unknown retry mode: {self.mode}")
+        self.retries = 1 if self.mode == "once" else int(options.get("retries", "3"))
+        self.retry_delay, self.delay = float(options.get("retryDelay", "2")), float(options.get("delay", "2"))
+        self.initial, self.base, self.most = (float(options.get(k, v)) for k, v in (("initialDelay", "1"), ("exponentialBase", "2"), ("maxDelay", "60")))
+        self.binary = options.get("binary", "false").lower() == "true"
+        self.timeout = float(options.get("timeout", str(PDF_TIMEOUT if self.binary else PAGE_TIMEOUT)))
+        self.agent, self.concurrency = options.get("userAgent", "lodeweave"), int(options.get("concurrency", "5"))
 
     def partitions(self):
         n = self.per_partition
         return [_Urls(self.urls[i : i + n]) for i in range(0, len(self.urls), n)] or [_Urls([])]
 
-    def read(self, partition):
+    def _wait(self, tries: int) -> float:
+        return self.retry_delay * tries if self.mode == "linear" else min(self.initial * self.base ** (tries - 1), self.most)
+
+    def fetch(self, url: str) -> tuple:
         import time
         import urllib.error
         import urllib.request
         from datetime import UTC, datetime
 
-        for url in partition.urls:
-            row, error = None, "unknown"
-            for attempt in range(self.retries):
-                time.sleep(self.delay)
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": self.agent}), timeout=self.timeout) as r:
-                        row = (url, r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), True, None, datetime.now(UTC).isoformat())
-                        break
-                except urllib.error.HTTPError as e:
-                    error = f"HTTP error: {e.code}"
-                except Exception as e:  # a failed fetch is a row
-                    error = f"Error: {e}"
-                if attempt + 1 < self.retries:
-                    time.sleep(self.retry_delay * (attempt + 1))
-            yield row or (url, None, None, False, error, datetime.now(UTC).isoformat())
+        message, name, status, tries = "unknown", "unknown_error", None, 0
+        for tries in range(1, self.retries + 1):
+            time.sleep(self.delay)
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": self.agent}), timeout=self.timeout) as r:
+                    if r.status != 200 and self.mode != "once":
+                        raise urllib.error.HTTPError(url, r.status, r.reason, r.headers, None)
+                    body = r.read()
+                    page = None if self.binary else body.decode(r.headers.get_content_charset() or "utf-8", "replace")
+                    return url, r.status, page, body if self.binary else None, True, None, None, tries, datetime.now(UTC).isoformat()
+            except Exception as e:
+                kind, status = error_class(e)
+                message, name = f"HTTP error: {status}" if kind == "response" else f"Error: {e}", error_type(kind, status)
+                if self.mode == "exponential" and not (kind in ("connection", "timeout") or kind == "response" and 500 <= status < 600):
+                    break
+            if tries < self.retries:
+                time.sleep(self._wait(tries))
+        return url, status, None, None, False, message, name, tries, datetime.now(UTC).isoformat()
+
+    def read(self, partition):
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max(1, self.concurrency)) as pool:
+            yield from pool.map(self.fetch, partition.urls)
 
 
 class WebSource(DataSource):
@@ -176,12 +266,66 @@ class WebSource(DataSource):
         return "pages"
 
     def schema(self):
-        return "url string, status_code int, html string, success boolean, error_message string, timestamp string"
+        return FETCHED
 
     def reader(self, schema):
         return WebReader(self.options)
 
 
+def fetched(spark: SparkSession, urls: list[str], **options: object) -> DataFrame:
+    """One row of FETCHED for each url."""
+    spark.dataSource.register(WebSource)
+    return spark.read.format("pages").options(urls="\n".join(urls), **options).load()
+
+
+def observed(pages: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """The rows, and what can be asked once they have been used: how many were fetched, and how many of these failed."""
+    seen = Observation(name)
+    return pages.observe(seen, F.count("*").alias("fetched"), F.count_if(~F.col("success")).alias("failed")), seen
+
+
+def crawled_links(pages: DataFrame, domains: list[str]) -> DataFrame:
+    """(url, link, kind) of the links of fetched pages that a crawl follows; failed pages have none."""
+    from lodeweave.functions import html as H
+    from lodeweave.functions import urls as U
+
+    links = pages.where("success").select("url", F.explode(H.crawl_links_udf("url", "html")).alias("link"))
+    return links.withColumn("kind", U.link_kind(F.col("link"), domains)).where("kind IS NOT NULL")
+
+
+def downloaded_pdfs(files: DataFrame) -> DataFrame:
+    """(url, filename, content, file_size) of fetched PDFs (binary=true)."""
+    from lodeweave.functions import urls as U
+
+    return files.where("success").select("url", U.pdf_filename(F.col("url")).alias("filename"), "content", F.length("content").cast("long").alias("file_size"))
+
+
+def pdf_documents(pdfs: DataFrame, extract: Callable[[bytes], tuple[str, int, str]] | None = None) -> DataFrame:
+    """(url, title, text, num_pages, file_size, extraction_method, success, error, programme, document_type, degree) of PDFs (url, content, file_size).
+
+    extract may return the document's own title as a fourth value; without one the title is the last part of the address, without .pdf.
+    """
+    from lodeweave.functions import urls as U
+
+    method = extract or installed_extractor()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url, size, content in zip(batch["url"], batch["file_size"], batch["content"], strict=True):
+                title = re.sub(r"\.pdf$", "", re.sub(r"[?#].*", "", url).rsplit("/", 1)[-1], flags=re.I)
+                try:
+                    text, pages, name, *own = method(bytes(content))
+                    rows.append((url, own[0] if own and own[0] else title, text, pages, size, name, len(text) > 0, None))
+                except Exception as e:  # a broken file is a row with its error
+                    rows.append((url, title, "", 0, size, "none", False, str(e)))
+            yield pd.DataFrame(rows, columns=["url", "title", "text", "num_pages", "file_size", "extraction_method", "success", "error"])
+
+    out = pdfs.select("url", "file_size", "content").mapInPandas(run, "url string, title string, text string, num_pages int, file_size long, extraction_method string, success boolean, error string")
+    u = F.col("url")
+    return out.withColumns({"programme": U.study_programme(u), "document_type": U.document_type(u), "degree": U.degree(u)})
+
+
 def robots_rules(text: str, agent: str = "*") -> Callable[[str], bool]:
     """Whether a url may be fetched, by the text of robots.txt; all may if it is empty."""
     from urllib.robotparser import RobotFileParser
@@ -189,3 +333,25 @@ def robots_rules(text: str, agent: str = "*") -> Callable[[str], bool]:
     parser = RobotFileParser()
     parser.parse(text.splitlines())
     return lambda url: parser.can_fetch(agent, url)
+
+
+def robots_addresses(urls: DataFrame) -> DataFrame:
+    """(netloc, robots_url) of the hosts of `urls`, each once."""
+    from lodeweave.functions import urls as U
+
+    u = F.col("url")
+    return urls.select(U.netloc(u).alias("netloc"), F.concat(U.scheme(u), F.lit("://"), U.netloc(u), F.lit("/robots.txt")).alias("robots_url")).dropDuplicates(["netloc"])
+
+
+def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """`urls` with may_fetch, by the rules (netloc, text) of their hosts; a host without rules allows all."""
+    from lodeweave.functions import urls as U
+
+    @F.pandas_udf("boolean")
+    def judge(url: pd.Series, text: pd.Series) -> pd.Series:
+        rules = {t: robots_rules(t, agent) for t in text.dropna().unique()}
+        return pd.Series([t is None or pd.isna(t) or rules[t](u) for u, t in zip(url, text, strict=True)])
+
+    known = robots.select(F.col("netloc").alias("_netloc"), F.col("text").alias("_robots"))
+    rows = urls.join(known, U.netloc(F.col("url")) == F.col("_netloc"), "left")
+    return rows.withColumn("may_fetch", judge("url", "_robots")).drop("_netloc", "_robots")

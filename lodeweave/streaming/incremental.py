@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,20 +43,65 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("url").applyInPandasWithState(run, "url string, change_type string, word_diff long", "content_hash string, word_count long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_cache(stream: DataFrame, path: str, checkpoint: str):
-    """Every micro-batch becomes a new immutable version of the cache; `versions` keeps which is the last."""
-    from lodeweave.operators import cache as C
+def upsert_cache(stream: DataFrame, path: str, checkpoint: str, order: list[str] | None = None):
+    """Every micro-batch is appended to the cache's history as `batch=<id>`, so a batch costs what it holds; `current` reads the last row of each url.
+
+    A batch that runs again replaces its own rows. With a new checkpoint give a new path: batches are numbered from 0.
+    """
+    keys = order or ["last_scraped"]
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if epoch > 0:
-            new = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch, allowMissingColumns=True)
-        C.latest(new, ["last_scraped"]).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        from lodeweave.operators import cache as C
+
+        C.latest(batch, keys).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def current(cache: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The cache as it stands: of a history (with its column batch) the last row of each url; of equal times the later batch holds."""
+    from lodeweave.operators import cache as C
+
+    return C.latest(cache, [*(order or ["last_scraped"]), "batch"]).drop("batch")
+
+
+def chat_memory(stream: DataFrame, cap: int = 100) -> DataFrame:
+    """The memory of every conversation after each micro-batch: its last `cap` messages of people and assistants, as (conv_id, n, last_turn, messages).
+
+    Messages (conv_id, turn, role, text) are remembered in order of turn within a batch, batches in order of arrival.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        new = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        held = (held + [(int(t), r, m) for t, r, m in zip(new["turn"], new["role"], new["text"], strict=True)])[-cap:]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame([(key[0], len(held), held[-1][0], [f"{r}: {m}" for _, r, m in held])], columns=["conv_id", "n", "last_turn", "messages"])
+
+    people = stream.where(F.col("role").isin("user", "assistant"))
+    return people.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, n int, last_turn long, messages array<string>", "held string", "update", GroupStateTimeout.NoTimeout)
+
+
+def expiring(stream: DataFrame, days: int = 90, watermark: str = "0 seconds") -> DataFrame:
+    """(url, event, at) of cached pages (url, ts): `stored` when a page is seen, and `expired` once the watermark on ts is `days` beyond its last sight."""
+    life = days * 86_400_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], "expired", pd.Timestamp(last + life, unit="ms"))], columns=["url", "event", "at"])
+            return
+        seen = [int(t.timestamp() * 1000) for batch in batches for t in batch["ts"]]
+        last = max([*seen, *([state.get[0]] if state.exists else [])])
+        state.update((last,))
+        if last + life > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(last + life)
+        yield pd.DataFrame([(key[0], "stored", pd.Timestamp(last, unit="ms"))], columns=["url", "event", "at"])
+
+    return stream.withWatermark("ts", watermark).groupBy("url").applyInPandasWithState(run, "url string, event string, at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def without_expired(cache: DataFrame, now: Column, days: int = 90) -> DataFrame:
     from lodeweave.operators.cache import without_older
 

@@ -164,7 +164,9 @@ def test_store_and_search(spark, tmp_path):
     hit = retrieval.search(files.open_store(spark, path), q, 3).first()
     assert hit.source_url == "https://h/2" and abs(hit.score - 1) < 1e-6
     text = retrieval.answer(retrieval.across_collections(files.open_store(spark, path), q), "bewerbung", ["c"]).first()[0]
-    assert "Information 1" in text and "Hinweis" in text
+    wording = retrieval.AnswerText()
+    assert "Result 1 (source: t2)" in text and text.endswith(wording.hint)
+    assert retrieval.answer(hit_none := retrieval.across_collections(files.open_store(spark, path), [0.0] * 32), "q", ["c"]).first()[0] == wording.nothing.format("q") and hit_none.count() == 0
     for bad in ({"backend": "faiss"}, {"embedding_provider": "none"}, {"persist_directory": "output/vector_db"}):
         try:
             retrieval.StoreConfig(**bad)
@@ -208,4 +210,164 @@ def test_streams(spark, tmp_path):
     q = S.upsert_cache(cached, str(tmp_path / "cache"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "cache" / "v2")).count() == 1
+    history = spark.read.parquet(str(tmp_path / "cache"))
+    assert history.count() == 3 and [r.content_hash for r in S.current(history).collect()] == [spark.range(1).select(F.sha2(F.lit("B"), 256)).first()[0]]
+
+
+def test_chat_memory_stream(spark, tmp_path):
+    from lodeweave.streaming import incremental as S
+
+    schema = "conv_id long, turn long, role string, text string"
+    for i, part in enumerate([[(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(5)], [(1, 5, "user", "m5"), (1, 6, "system", "s"), (2, 0, "user", "x")]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = S.chat_memory(stream, 3).writeStream.format("memory").queryName("chat").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    last = {r.conv_id: r for r in spark.sql("select * from chat order by last_turn").collect()}
+    assert last[1].messages == ["user: m3", "assistant: m4", "user: m5"] and last[2].n == 1
+
+
+def test_expiry_stream(spark, tmp_path):
+    from lodeweave.streaming import incremental as S
+
+    rows = [("u", datetime(2024, 1, 1)), ("v", datetime(2024, 1, 2)), ("u", datetime(2024, 1, 9)), ("w", datetime(2024, 2, 1)), ("x", datetime(2024, 2, 2))]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "url string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema("url string, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = S.expiring(stream, days=10).writeStream.format("memory").queryName("expiry").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.url, r.event) for r in spark.sql("select * from expiry").collect()]
+    assert sorted(u for u, e in got if e == "expired") == ["u", "v"] and len([1 for _, e in got if e == "stored"]) == 5
+
+
+def test_dedupe_in_batches_equals_one_by_one(spark):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(40)) for _ in range(5)]
+    docs = []
+    for i in range(40):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(1000))
+        docs.append((i, " ".join(w)))
+    docs += [(40, ""), (41, None), (42, "two words")]
+    want, accepted, got = greedy_spec([(i, t or "") for i, t in docs]), None, {}
+    for lo, hi in ((0, 15), (15, 30), (30, 43)):
+        unique, gone, accepted = dedupe.batch(spark.createDataFrame(docs[lo:hi], "id long, content string"), accepted)
+        got |= {r.id: (True, None) for r in unique.collect()} | {r.id: (False, r.duplicate_of) for r in gone.collect()}
+        assert all(r.duplicate_reason.startswith(want[r.id][2]) for r in gone.collect())
+    assert got == {i: w[:2] for i, w in want.items()}
+
+
+class Site:
+    """A web server on this machine that counts what it was asked."""
+
+    def __init__(self):
+        import threading
+        from collections import Counter
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        asked = self.asked = Counter()
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked[self.path] += 1
+                status = {"/missing": 404, "/created": 201, "/down": 503}.get(self.path, 503 if self.path == "/flaky" and asked[self.path] < 3 else 200)
+                body = {"/robots.txt": b"User-agent: *\nDisallow: /private", "/f.pdf": b"%PDF some text"}.get(self.path, b'<a href="/next#x">n</a><a href="/s.css">s</a>')
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.root = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_fetching(spark):
+    site = Site()
+    quick = {"delay": 0, "retryDelay": 0, "initialDelay": 0, "timeout": 5, "retries": 3}
+    urls = [f"{site.root}/{p}" for p in ("ok", "missing", "created", "down", "flaky")] + ["http://127.0.0.1:9/closed"]
+
+    def outcomes(mode):
+        site.asked.clear()
+        return {r.url.rsplit("/", 1)[-1]: (r.success, r.error_type, r.attempts) for r in files.fetched(spark, urls, retryMode=mode, **quick).collect()}
+
+    # Only status 200 is a success; a linear retry doesn't look at what went wrong.
+    assert outcomes("linear") == {"ok": (True, None, 1), "missing": (False, "not_found", 3), "created": (False, "http_201", 3), "down": (False, "server_error", 3), "flaky": (True, None, 3), "closed": (False, "connection_error", 3)}
+    # An exponential one gives up at once where another try can't help.
+    assert outcomes("exponential") == {"ok": (True, None, 1), "missing": (False, "not_found", 1), "created": (False, "http_201", 1), "down": (False, "server_error", 3), "flaky": (True, None, 3), "closed": (False, "connection_error", 3)}
+    once = outcomes("once")
+    assert once["created"] == (True, None, 1) and once["down"] == (False, "server_error", 1) and all(v == 1 for v in site.asked.values())
+    pages = files.fetched(spark, urls[:2], retryMode="once", **quick)
+    assert {r.error_message for r in pages.where("NOT success").collect()} == {"HTTP error: 404"}
+    assert [(r.link, r.kind) for r in files.crawled_links(pages, [site.root[7:]]).collect()] == [(f"{site.root}/next", "page")]
+    seen, progress = files.observed(pages)
+    seen.count()
+    assert progress.get == {"fetched": 2, "failed": 1}
+    try:
+        files.WebReader({"retryMode": "always"})
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_pdfs_and_robots_over_the_web(spark):
+    site = Site()
+    quick = {"delay": 0, "retryDelay": 0, "timeout": 5, "binary": "true"}
+    got = files.downloaded_pdfs(files.fetched(spark, [f"{site.root}/f.pdf", f"{site.root}/missing"], **quick)).collect()
+    assert [(r.content, r.file_size) for r in got] == [(b"%PDF some text", 14)] and got[0].filename.startswith("f_")
+    pdfs = spark.createDataFrame([("https://h/bachelor/po-bwl.pdf?x=1", b"abc", 3), ("https://h/z.PDF", b"", 0), ("https://h/bad.pdf", b"!", 1)], "url string, content binary, file_size long")
+
+    def read(data):
+        if data == b"!":
+            raise ValueError("broken")
+        return data.decode(), 2, "plain", "Own title" if data else None
+
+    rows = {r.url: r for r in files.pdf_documents(pdfs, read).collect()}
+    first = rows["https://h/bachelor/po-bwl.pdf?x=1"]
+    assert (first.title, first.success, first.degree, first.num_pages) == ("Own title", True, "Bachelor", 2) and first.document_type is not None
+    assert not rows["https://h/z.PDF"].success and rows["https://h/z.PDF"].title == "z" and rows["https://h/bad.pdf"].error == "broken"
+    urls = spark.createDataFrame([(f"{site.root}/private/x",), (f"{site.root}/open",), ("https://other.test/private",)], "url string")
+    hosts = files.robots_addresses(urls.limit(2))
+    texts = files.fetched(spark, [r.robots_url for r in hosts.collect()], delay=0).select(F.regexp_extract("url", "//([^/]+)", 1).alias("netloc"), F.col("html").alias("text"))
+    assert {r.url.rsplit("/", 1)[-1]: r.may_fetch for r in files.allowed_by_robots(urls, texts).collect()} == {"x": False, "open": True, "private": True}
+
+
+def test_store_versions_and_settings(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{k}", f"text {k}", [float(k), 1.0], f"https://h/{k % 2}", "t", "c", 0, 1, "c") for k in range(4)], files.STORE)
+    store: retrieval.StoreBackend = files.ParquetStore(spark, str(tmp_path / "s"))
+    assert store.count() == 0 and store.add(rows) == 4 and store.add(rows) == 0
+    store.delete_by_source("https://h/1")
+    assert store.count() == 2 and {r.id for r in store.search([2.0, 1.0], 5).collect()} == {"i0", "i2"}
+    config = retrieval.from_environment({"CHUNK_SIZE": "700", "COLLECTION_NAME": "x", "MAX_RESULTS": ""})
+    assert (config.chunk_size, config.collection_name, config.max_results) == (700, "x", retrieval.RESULTS)
+
+
+def test_tools_and_mail(spark):
+    from lodeweave.functions import mail
+    from lodeweave.plans import tools
+
+    embed = lambda t: retrieval._hashed(t, 16)
+    store = spark.createDataFrame([("i", "apples and pears", embed("apples and pears"), "https://h", "", "c", 0, 1, "fruit")], files.STORE)
+    tool = tools.knowledge_tool(store, embed)
+    assert "apples" in tool(query="apples and pears").first()[0]
+    page = tools.page_tool(lambda url: spark.createDataFrame([(url, "<p>hi</p><script>x</script>", None)], "url string, html string, error_message string"))
+    assert page(url="u").first().text == "hi"
+    for wrong in ({}, {"query": 1}, {"query": "a", "more": 1}):
+        try:
+            tool(**wrong)
+        except ValueError:
+            continue
+        raise AssertionError(wrong)
+    env = {"SMTP_SERVER": "s", "SMTP_PORT": "25", "SMTP_USERNAME": "u", "SMTP_PASSWORD": "p"}
+    assert mail.mail_settings(env)["port"] == 25 and mail.mail_settings(env | {"SMTP_PASSWORD": ""}) is None
+
+
+def test_distances_on_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [-2.0, 0.0]), (6, [])], "id int, embedding array<float>")
+    assert {r.id: r.distance for r in retrieval.distances(rows, [3.0, 0.0]).collect()} == {1: 0.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 2.0, 6: 1.0}
