@@ -3,18 +3,22 @@
 A k-mer of a text's bytes is kept if the smallest hash among its inner s-mers stands at
 either edge. Whether it is kept depends on its own bytes only, so a passage gives the same
 anchors wherever it stands, and the anchors of an edited text are those of the untouched
-part plus those of a small rest. A fingerprint is the hashes of all anchors in text order;
-the likeness of two is twice the number of anchors they share over the number they have.
+part plus those of a small rest. A fingerprint is the hashes of all anchors in text order.
+Two fingerprints are matched by position: the n-th anchor of a kind in one meets the n-th in
+the other, and of these pairs the most that run in the same order in both count. The
+likeness is twice that number over the number of anchors that the two have.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, which is
 like another empty one (1) and unlike any other (0); a text without a kept k-mer has the
-anchors of shorter k-mers, or else one, the hash of all of it; an empty table gives an empty result. In `neighbours`, rows
-with equal ids follow in order of their texts and null ids come last.
+anchors of shorter k-mers, or else one, the hash of all of it; an empty table gives an empty
+result. In `neighbours`, rows with equal ids follow in order of hashes of their texts and null
+ids come last.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -70,17 +74,35 @@ def decoded(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
+def _numbered(marks: np.ndarray) -> np.ndarray:
+    """Each anchor with how many like it stand before it, as one number."""
+    order = np.argsort(marks, kind="stable")
+    ranked = marks[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(marks), np.uint64)
+    out[order] = np.arange(len(marks)) - np.repeat(first, np.diff(np.append(first, len(marks))))
+    return out | (marks.astype(np.uint64) << np.uint64(32))
+
+
+def longest_rise(places: np.ndarray) -> int:
+    """The length of the longest rising subsequence."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for p in places.tolist():
+        at = bisect.bisect_left(ends, p)
+        ends[at : at + 1] = [p]
+    return len(ends)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """2 * shared anchors / all anchors, counted with their repeats; 1 if there are none at all."""
+    """2 * anchors matched in order / all anchors; 1 if there are none at all."""
     if not len(a) or not len(b):
         return 1.0 if len(a) == len(b) else 0.0
-    both = np.sort(np.concatenate([a, b]))
     if len(a) == len(b) and np.array_equal(a, b):
         return 1.0
-    ids, first = np.unique(both, return_index=True)
-    at = np.sort(a), np.sort(b)
-    shared = np.minimum(*(np.searchsorted(x, ids, "right") - np.searchsorted(x, ids, "left") for x in at)).sum()
-    return float(2 * shared / (len(a) + len(b)))
+    _, here, there = np.intersect1d(_numbered(a), _numbered(b), assume_unique=True, return_indices=True)
+    return 2 * longest_rise(there[np.argsort(here)]) / (len(a) + len(b)) if len(here) else 0.0
 
 
 def near(a: np.ndarray, a_text: bytes, b: np.ndarray, b_text: bytes) -> float:
@@ -168,39 +190,55 @@ def edited_rows(rows: list[tuple[int | None, str, str]]) -> list[tuple]:
 def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, text, part, closing), sorted within partitions so that each row's next one, by falling doc_id, follows it.
 
-    Ids are cut into ranges; a range also gets a copy (closing) of the first row of the next one, and the
-    last range that of the first. Only the ranges' borders and first ids come to the driver.
+    Ids are cut into ranges, and the rows of an id that fills more than one range into parts by the hash of their texts;
+    a part also gets a copy (closing) of the first row of the next one, and the last part that of the first. Only the
+    parts' borders and first rows' keys come to the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     if parts is None:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ids = docs.select(order.alias("id"))
-    cuts = ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64))
-
-    def range_of(values: np.ndarray) -> np.ndarray:
-        return len(cuts) - np.searchsorted(cuts, values.astype(np.float64), "left")
-
-    from pyspark.sql.functions import arrow_udf
-
-    @arrow_udf("int")
-    def part_of(id_: pa.Array) -> pa.Array:
-        return pa.array(range_of(id_.to_numpy(zero_copy_only=False)).astype(np.int32))
-
-    first = {r.part: r.first for r in ids.groupBy(part_of("id").alias("part")).agg(F.max("id").alias("first")).collect()}
+    keys = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
+    cuts = keys.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    # Ids that more than one cut falls on hold so many rows each; there are fewer of them than parts.
+    often = sorted({int(c) for c, n in zip(*np.unique(np.array(cuts, np.float64), return_counts=True), strict=True) if n > 1})
+    many = {r.id: r.n for r in keys.where(F.col("id").cast("double").isin([float(c) for c in often])).groupBy("id").agg(F.count("*").alias("n")).collect()} if often else {}
+    share = max(1, keys.count() // parts)
+    alone = np.array(sorted(many), np.int64)
+    shares = np.array([max(1, -(-many[c] // share)) for c in alone.tolist()], np.int64)
+    borders = np.unique(np.array([c for c in cuts if int(c) not in many], np.float64))
+
+    def part_of(id_: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of parts, rising as ids fall and hashes rise."""
+        # An id of its own stands between the two halves of the range it lies in.
+        before = len(borders) - np.searchsorted(borders, id_.astype(np.float64), "left")
+        larger = len(alone) - np.searchsorted(alone, id_, "right")  # ids of their own that come first
+        used = np.concatenate([[0], np.cumsum(shares[::-1])])
+        own = np.isin(id_, alone)
+        width = np.ones(len(id_), np.int64)
+        if own.any():
+            width[own] = shares[np.searchsorted(alone, id_[own])]
+        spot = ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(33)).astype(np.int64) * width >> 31
+        return before + larger + used[larger] + np.where(own, spot + 1, 0)
+
+    @F.arrow_udf("int")
+    def numbered(id_: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(part_of(id_.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    known = keys.groupBy(numbered("id", "h").alias("part")).agg(F.max(F.struct("id", (-1 - F.col("h")).alias("g"))).alias("first")).collect()
+    first = {r.part: (r.first.id, -1 - r.first.g) for r in known}
     full = sorted(first)
-    closes = {first[p]: full[i - 1] for i, p in enumerate(full)}  # the first range's first row closes the last range
+    closes = {first[p]: full[i - 1] for i, p in enumerate(full)}  # the first part's first row closes the last part
 
-    @arrow_udf("array<int>")
-    def parts_of(id_: pa.Array) -> pa.Array:
-        values = id_.to_numpy(zero_copy_only=False)
-        own = range_of(values).tolist()
-        return pa.array([[p, closes[v]] if v in closes else [p] for p, v in zip(own, values.tolist(), strict=True)], pa.list_(pa.int32()))
+    @F.arrow_udf("array<int>")
+    def parts_of(id_: pa.Array, h: pa.Array) -> pa.Array:
+        ids, hs = id_.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        rows = zip(part_of(ids, hs).tolist(), ids.tolist(), hs.tolist(), strict=True)
+        return pa.array([[p, closes[i, x]] if (i, x) in closes else [p] for p, i, x in rows], pa.list_(pa.int32()))
 
-    dealt = docs.select("doc_id", "text", F.posexplode(parts_of(order)).alias("closing", "part"))
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "closing", F.col("doc_id").desc_nulls_last(), "text")
+    keyed = docs.withColumns({"h": F.xxhash64("text")})
+    dealt = keyed.select("doc_id", "text", "h", F.posexplode(parts_of(F.coalesce("doc_id", F.lit(-(1 << 63))), "h")).alias("closing", "part"))
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "closing", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edits(docs: DataFrame) -> DataFrame:

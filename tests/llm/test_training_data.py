@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from conftest import same_rows
 from llm_specs import SCHEMA, SF, groups_spec, make_docs, removal_spec
 from pyspark.sql import functions as F
 
-from lodeweave.llm import components, fingerprints, markup, ngram_join, packing, quality, queries, shared, substrings, topk, toxicity, warc
+from lodeweave.llm import components, fingerprints, markup, ngram_join, packing, quality, queries, substrings, text, topk, toxicity, warc
 
 
 @pytest.mark.parametrize(("seed", "block", "hubs"), [(1, 1024, 3), (2, 2, 1)])
@@ -91,27 +92,85 @@ def test_substrings_in_batches(spark):
     assert {r.doc_id for r in known.collect()} == {2, 3}
 
 
-def test_edited_fingerprints(spark):
-    rows = [(r[0], r[1]) for r in make_docs(4) if r[0] is not None]
-    rows = list(dict(sorted(rows, key=lambda r: r[0])).items())
-    ordered = sorted(rows, key=lambda r: -r[0])
-    got = {r.doc_id: r for r in fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert len(got) == len(rows)
-    marks = lambda t: fingerprints.of_texts([t.encode()])[0][1]
+def syncmers(data, k, s):
+    """The hashes of the closed syncmers of a text, one k-mer after another."""
+    small = lambda i: int(text.short_grams(np.frombuffer(data[i : i + s], np.uint8), s)[0]) >> 32
+    hashes = [small(i) for i in range(len(data) - s + 1)]
+    out = []
+    for i in range(len(data) - k + 1):
+        inner = hashes[i : i + k - s + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append(int(text.hashes(np.frombuffer(data, np.uint8), np.array([i]), np.array([i + k]))[0]) >> 32)
+    return out
+
+
+def fingerprint_spec(data):
+    return syncmers(data, fingerprints.K, fingerprints.S) or syncmers(data, *fingerprints.SHORT) or ([int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")] if data else [])
+
+
+def likeness_spec(one, two):
+    """By pairs of the n-th of a kind, and all their rising subsequences' lengths."""
+    if not one or not two:
+        return float(one == two)
+    place, seen = {}, Counter()
+    for j, m in enumerate(two):
+        place[m, seen[m]] = j
+        seen[m] += 1
+    seen, met = Counter(), []
+    for m in one:
+        if (m, seen[m]) in place:
+            met.append(place[m, seen[m]])
+        seen[m] += 1
+    best = []
+    for i, p in enumerate(met):
+        best.append(1 + max((best[j] for j in range(i) if met[j] < p), default=0))
+    return 2 * max(best, default=0) / (len(one) + len(two))
+
+
+def near_spec(one, two):
+    pair = [syncmers(x, fingerprints.K, fingerprints.S) for x in (one, two)]
+    if not all(pair):
+        pair = [syncmers(x, *fingerprints.SHORT) or ([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little")] if x else []) for x in (one, two)]
+    return likeness_spec(*pair)
+
+
+@pytest.mark.parametrize("parts", [None, 9])
+def test_edited_fingerprints_against_one_by_one(spark, monkeypatch, parts):
+    rows = [(r[0], r[1] if r[1] is None else r[1][:1500]) for r in make_docs(4) if r[0] is not None]
+    rows = list(dict(sorted(rows, key=lambda r: r[0])).items()) + [(None, f"null id {i} " + "ab c" * i) for i in range(12)]
+    code = lambda t: spark.createDataFrame([(t or "",)], "t string").select(F.xxhash64("t")).first()[0]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), code(r[1]) if r[0] is None else 0))
+    if parts:
+        plain = fingerprints.neighbours
+        monkeypatch.setattr(fingerprints, "neighbours", lambda docs: plain(docs, parts))
+    found = fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = []
     for i, (doc_id, here) in enumerate(ordered):
         here, after = here or "", ordered[(i + 1) % len(ordered)][1] or ""
         n = len(here)
         edit = here[: n - n // 3] + after[: n // 3]
-        r = got[doc_id]
-        assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edit.encode()).hexdigest())
-        m = marks(edit)
-        assert r.edited_fingerprint == fingerprints.encoded(m if len(m) else fingerprints.whole_hash(edit.encode()))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if here == after:
-            assert r.near_next == 1
+        marks = [fingerprints.encoded(np.array(fingerprint_spec(t.encode()), np.uint32)) for t in (here, edit)]
+        want.append((doc_id, n, hashlib.sha256(edit.encode()).hexdigest(), *marks, near_spec(here.encode(), edit.encode()), near_spec(here.encode(), after.encode())))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
     assert fingerprints.edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_an_id_of_many_rows_is_dealt_over_parts(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(900)]
+    sizes = [r.n for r in fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), 12).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 200 and sum(sizes) == 900 + len(sizes)
+
+
+def test_likeness_hears_order():
+    one, two = np.arange(100, dtype=np.uint32), np.arange(100, 200, dtype=np.uint32)
+    whole, turned = np.concatenate([one, two]), np.concatenate([two, one])
+    assert fingerprints.likeness(whole, whole) == 1 and fingerprints.likeness(whole, turned) == 0.5
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = (rng.integers(0, 12, rng.integers(0, 25)).astype(np.uint32) for _ in range(2))
+        assert abs(fingerprints.likeness(a, b) - (1.0 if len(a) == len(b) == 0 else likeness_spec(a.tolist(), b.tolist()))) < 1e-12
+
+
 def test_short_texts_are_compared_at_one_scale():
     """Where only one of two texts has a kept 32-byte k-mer, what they share still counts."""
     rng, mixed = random.Random(5), 0
