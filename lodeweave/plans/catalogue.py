@@ -576,9 +576,9 @@ def page_tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", T.page_text(H.visible_text_udf("html")).alias("text"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'https://g.test/p/' || doc_id AS src, 'https://g.test/p/' || (2 * doc_id + 1) AS dst FROM documents WHERE doc_id < 2000 UNION ALL SELECT 'https://g.test/p/' || doc_id, 'https://g.test/p/' || (3 * doc_id + 2) FROM documents WHERE doc_id < 2000),
-    r AS (SELECT 'https://g.test/p/0' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 40)
-    SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+@query("""WITH RECURSIVE e AS (SELECT 'https://g.test/p/' || doc_id AS src, 'https://g.test/p/' || (2 * doc_id + 1) AS dst FROM documents UNION ALL SELECT 'https://g.test/p/' || doc_id, 'https://g.test/p/' || (3 * doc_id + 2) FROM documents),
+    r AS (SELECT 'https://g.test/p/0' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url)
+    SELECT url, min(depth) AS depth FROM r GROUP BY url ORDER BY 2, 1 LIMIT 6000""")
 def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.table(spark, sf_dir, "documents").select("doc_id")
     page = lambda n: F.concat(F.lit("https://g.test/p/"), n.cast("string"))
