@@ -65,50 +65,6 @@ def aside(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] > sums[offs[:-1]]
 
 
-class _Known:
-    """Numbers 0, 1, ... of 64-bit hashes in order of arrival, by open addressing in arrays."""
-
-    def __init__(self):
-        self.n = 0
-        self._clear(1 << 12)
-
-    def _clear(self, size: int) -> None:
-        self.key, self.number, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.uint64(size - 1)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The hashes' numbers, -1 where unknown."""
-        h = np.maximum(hashes, np.uint64(1))
-        slot, out, todo = (h & self.mask).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
-        while len(todo):
-            there = self.key[slot[todo]]
-            hit = there == h[todo]
-            out[todo[hit]] = self.number[slot[todo[hit]]]
-            todo = todo[~hit & (there > 0)]
-            slot[todo] = (slot[todo] + 1) & int(self.mask)
-        return out
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Number hashes that are distinct and unknown."""
-        h, first = np.maximum(hashes, np.uint64(1)), self.n
-        self.n += len(h)
-        if 2 * self.n > len(self.key):
-            known = self.key > 0
-            old, numbers = self.key[known], self.number[known]
-            self._clear(1 << int(4 * self.n).bit_length())
-            self._put(old, numbers)
-        self._put(h, np.arange(first, self.n))
-
-    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        slot, todo = (h & self.mask).astype(np.int64), np.arange(len(h))
-        while len(todo):
-            free = todo[self.key[slot[todo]] == 0]
-            self.key[slot[free]] = h[free]  # of several for one place the last gets it
-            won = self.key[slot[todo]] == h[todo]
-            self.number[slot[todo[won]]] = numbers[todo[won]]
-            todo = todo[~won]
-            slot[todo] = (slot[todo] + 1) & int(self.mask)
-
-
 class _Ids:
     """The ids of many strings, by number, in one growing array."""
 
@@ -160,7 +116,7 @@ def _tokenizer(path: str):
 
 
 def _forget() -> None:
-    _state.update(known=_Known(), words=_Ids())
+    _state.update(known=text.Numbers(), words=_Ids())
 
 
 def _forget_parts() -> None:
