@@ -77,6 +77,16 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.array_distinct(bound(words(F.lower(text)), made))
 
 
+def shingle_hashes(text: Column, k: int = 3) -> Column:
+    """The set of shingles as 64-bit hashes, without making a text of each."""
+
+    def made(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - k)
+        return F.when(F.size(w) >= k, F.transform(at, lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(bound(words(F.lower(text)), made))
+
+
 def shingle_hash(text: Column, k: int = 3) -> Column:
     return F.md5(F.array_join(F.array_sort(shingles(text, k)), ""))
 
