@@ -8,7 +8,7 @@ from conftest import same_rows
 from llm_specs import SCHEMA, SF, groups_spec, make_docs, removal_spec
 from pyspark.sql import functions as F
 
-from lodeweave.llm import components, fingerprints, markup, ngram_join, packing, quality, queries, substrings, text, topk, toxicity, warc
+from lodeweave.llm import components, fingerprints, markup, ngram_join, packing, quality, queries, shared, substrings, text, topk, toxicity, warc
 
 
 @pytest.mark.parametrize(("seed", "block", "hubs"), [(1, 1024, 3), (2, 2, 1)])
@@ -58,6 +58,19 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[40] == got[50] == got[60] == 40
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = spark.createDataFrame([(None, 1), (2, None), (None, None), (5, 5), (3, 4), (3, 4), (4, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in components.components(odd).collect()) == [(3, 3), (4, 3)]
+
+
+def test_only_wanted_lets_all_wanted_rows_through(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    wanted = spark.range(500).select(F.xxhash64(F.col("id") * 7).alias("h"))
+    few = shared.only_wanted(rows, wanted, "h")
+    assert few.join(wanted, "h", "left_semi").count() == 500 and few.count() < 3000
+    assert shared.only_wanted(rows, wanted.limit(0), "h").count() == 0 and shared.only_wanted(rows.limit(0), wanted, "h").count() == 0
+    monkeypatch.setattr(shared, "FILTER_BITS", 1 << 16)  # a filter that is too small lets more through, but never less
+    many = spark.range(0, 20_000, 2).select(F.xxhash64("id").alias("h"))
+    assert shared.only_wanted(rows, many, "h").join(many, "h", "left_semi").count() == 10_000
 
 
 @pytest.mark.parametrize(("seed", "window"), [(1, 35), (2, 35), (3, 12)])
@@ -318,8 +331,8 @@ def test_main_text(spark):
 
 def test_main_text_of_a_host_in_parts(spark):
     """Runs that few pages share are repeated however many parts their host is dealt into."""
-    shared = "<ul>" + "".join(f"<li>entry {i}</li>" for i in range(6)) + "</ul>"
-    rows = [(i, f"http://{'k' if i < 60 else 'm'}.test/{i}", f"<p>alone {i}</p>" + shared.replace("entry", f"entry {i % 30}") * 2 + f"<div>end {i}</div>") for i in range(63)]
+    menu = "<ul>" + "".join(f"<li>entry {i}</li>" for i in range(6)) + "</ul>"
+    rows = [(i, f"http://{'k' if i < 60 else 'm'}.test/{i}", f"<p>alone {i}</p>" + menu.replace("entry", f"entry {i % 30}") * 2 + f"<div>end {i}</div>") for i in range(63)]
     rows += [(100, "http://k.test/z", "<h1>y</h1>" * 9), (101, "http://k.test/y", "<h2>none</h2><ul>" + "<li>own</li>" * 9), (102, "http://k.test/x", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole, dealt = (sorted(tuple(r) for r in markup.extract(df, group_pages=n).collect()) for n in (256, 4))
