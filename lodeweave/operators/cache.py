@@ -6,6 +6,8 @@ metadata); `now` is always an argument, so results don't depend on the clock.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +61,16 @@ def without_older(cache: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return cache.where(~F.coalesce(micros("last_scraped") < micros(now) - days * DAY, F.lit(False)))
 
 
+def metadata_text(metadata: Column) -> Column:
+    """A map as JSON text, as the cache keeps it; null for an empty or missing one."""
+    return F.when(F.size(metadata) > 0, F.to_json(metadata))
+
+
 def search(cache: DataFrame, part: str) -> DataFrame:
-    return cache.where(F.col("url").ilike(f"%{part}%")).orderBy("url")
+    """Rows whose url holds `part`, whatever the case of A-Z; % and _ stand for any text and any character."""
+    upper, lower = (string.ascii_uppercase, string.ascii_lowercase)
+    low = part.translate(str.maketrans(upper, lower))
+    return cache.where(F.translate("url", upper, lower).like(f"%{low}%")).orderBy("url")
 
 
 def is_fresh(now: Column, max_age: Column | None = None) -> Column:

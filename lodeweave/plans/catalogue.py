@@ -556,9 +556,44 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf("url", "html").alias("p")).select("page_id", "p.title", "p.content", "p.domain", "p.word_count", "p.description")
 
 
-@query()
+_ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
+
+
+def _marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a link, an image and keywords put behind them: the tables' own pages have links in menus only, which don't count."""
+    n = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<p><a href="/page/'), n, F.lit('?a=1#b"> more </a><img src="pic.png" alt="A"></p><meta name="keywords" content="a, b,'), n, F.lit('">'))
+    return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf(F.col("url"), F.concat("html", more)).alias("p"))
+
+
+@query(f"SELECT page_id, 0 AS place, {_ORIGIN} || '/page/' || page_id || '?a=1#b' AS url, 'more' AS text FROM pages")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf("url", "html").alias("p")).select("page_id", F.posexplode("p.links").alias("place", "l")).select("page_id", "place", "l.url", "l.text")
+    return _marked_pages(spark, sf_dir).select("page_id", F.posexplode("p.links").alias("place", "l")).select("page_id", "place", "l.url", "l.text")
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || 'pic.png' AS url, 'A' AS alt FROM pages")
+def html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_pages(spark, sf_dir).select("page_id", F.explode("p.images").alias("i")).select("page_id", "i.url", "i.alt")
+
+
+@query("SELECT page_id, 'a| b|' || page_id AS keywords, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM pages")
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_pages(spark, sf_dir).select("page_id", F.array_join("p.keywords", "|").alias("keywords"), "p.domain")
+
+
+@query(f"SELECT page_id, {_ORIGIN} || '/page/' || page_id || '?a=1' AS link, 'page' AS kind FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl follows from each page's added link; a page's own menu links go to other addresses."""
+    n = F.col("page_id").cast("string")
+    pages = D.table(spark, sf_dir, "pages").select("page_id", "url", H.crawl_links_udf(F.col("url"), F.concat(F.lit('<a href="/page/'), n, F.lit('?a=1#b">x</a>'))).alias("links"))
+    return pages.select("page_id", F.explode("links").alias("link"), F.lit("page").alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '{\"lang\":\"' || lang || '\"}' END AS metadata FROM documents")
+def metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = F.create_map(F.lit("lang"), F.col("lang"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", C.metadata_text(F.when(F.col("doc_id") % 3 == 0, empty).otherwise(filled)).alias("metadata"))
 
 
 @query()
