@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
+from lodeweave.llm.shared import tidy
 
 K, S = 32, 5
 #: For texts in which no k-mer is kept.
@@ -149,7 +150,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             made = [encoded(m if len(m) else whole_hash(d)) for d, (_, m) in zip(data, of_texts(data), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, widened(docs.schema, "fingerprint string"))
+    return docs.mapInArrow(tidy(run), widened(docs.schema, "fingerprint string"))
 
 
 def edited_rows(rows: list[tuple[int | None, str, str]]) -> list[tuple]:
@@ -268,4 +269,4 @@ def edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(rows)
 
-    return neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return neighbours(docs).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

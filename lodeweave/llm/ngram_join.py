@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm import text
 from lodeweave.llm.components import components
-from lodeweave.llm.shared import only_wanted, unused, written
+from lodeweave.llm.shared import only_wanted, tidy, unused, written
 
 WORDS = 5
 SKETCH = 1 << 20
@@ -85,7 +85,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(row.as_py(), np.int64)
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(counted, "part int, some int, counts binary")
+    parts = docs.select("text").mapInArrow(tidy(counted), "part int, some int, counts binary")
     for by in (["part", "some"], ["part"]):
         parts = parts.groupBy(*by).applyInArrow(summed, "part int, counts binary")
     out = np.zeros(SKETCH, np.int64)
@@ -195,7 +195,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: i
             ok = [most_shared(a.as_py(), b.as_py()) >= n for a, b, n in zip(batch.column("h1"), batch.column("h2"), need, strict=True)]
             yield batch.select(["probe", "member"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(allowed, "probe long, member long")
+    return rows.mapInArrow(tidy(allowed), "probe long, member long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object, percent: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object
                 got += [ordered(g, level.value).tobytes() for g in shingle_sets(buf, offs)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(got, pa.binary())], ["node", "grams"])
 
-    sets = written(found.mapInArrow(listed, "node long, grams binary"), "sets")
+    sets = written(found.mapInArrow(tidy(listed), "node long, grams binary"), "sets")
     many = pairs.groupBy("probe").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("salts"))
     salt = F.pmod(F.xxhash64("member"), F.col("salts"))
     members = pairs.join(many, "probe").select("probe", "member", salt.alias("salt")).join(sets, F.col("member") == F.col("node")).select("probe", "salt", "member", "grams", F.lit(1).alias("side"))
@@ -242,7 +242,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object
         out = links()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return written(met.mapInArrow(checked, "a long, b long"), "found")
+    return written(met.mapInArrow(tidy(checked), "a long, b long"), "found")
 
 
 def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, brief: np.ndarray, percent: int) -> np.ndarray:
@@ -286,7 +286,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             columns = [batch.column("doc_id"), batch.column("rep_text"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(shares, pa.binary()), pa.array(brief, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rep_text", "n", "k1", "k2", "histogram", "brief", "prefix"])
 
-    summary = docs.withColumn("rep_text", F.xxhash64("text")).mapInArrow(summarised, "doc_id long, rep_text long, n long, k1 long, k2 long, histogram binary, brief binary, prefix array<long>")
+    summary = docs.withColumn("rep_text", F.xxhash64("text")).mapInArrow(tidy(summarised), "doc_id long, rep_text long, n long, k1 long, k2 long, histogram binary, brief binary, prefix array<long>")
     summary = written(summary, "prefixes")
     # One node per different set; its representative row is where its text can be found again.
     least = F.min(F.struct("doc_id", "rep_text"))
@@ -351,7 +351,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         if held is not None:
             yield pairs(held)
 
-    second = dealt.mapInArrow(paired, "probe long, member long").distinct()
+    second = dealt.mapInArrow(tidy(paired), "probe long, member long").distinct()
     second = written(second.join(first, ["probe", "member"], "left_anti"), "rest")
     links = _verified(second, nodes, docs, level, percent).unionByName(links)
     tied = components(links)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
-from lodeweave.llm.shared import written
+from lodeweave.llm.shared import tidy, written
 
 END_ID = 1
 #: Items that one task packs at a time.
@@ -35,7 +35,7 @@ GROUP_ITEMS = 20_000
 #: A bin with at most this many free places is nearly full and leaves.
 SLACK = 8
 #: Words, and parts of them, whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS, CACHE_PARTS = 800_000, 200_000
+CACHE_WORDS, CACHE_PARTS = 300_000, 100_000
 
 _state: dict[str, object] = {}
 # The normalizer and the pre-tokenizer's pattern of word_bpe_49k.json.
@@ -214,7 +214,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeweave.llm import calibrate, text
-from lodeweave.llm.shared import labelled_sample, widened
+from lodeweave.llm.shared import labelled_sample, tidy, widened
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL = 1500
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL) -> Qua
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "y", "at", "share"])
 
     sample, total = labelled_sample(docs, labels, "quality", most)
-    rows = sample.mapInArrow(hashed, "doc_id long, y int, at binary, share binary").collect()
+    rows = sample.mapInArrow(tidy(hashed), "doc_id long, y int, at binary, share binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.at)))
     y = np.array([r.y for r in rows], np.int64)
     share = tuple(max(1e-6, min(1.0, float((y == v).sum()) / max(1, total.get(v, 1)))) for v in (0, 1))
@@ -147,4 +147,4 @@ def score(docs: DataFrame, model: QualityModel, added: str = "quality_score") ->
                 raw[lo:hi] = m.raw(*token_features(buf, offs))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(raw))], [*batch.schema.names, added])
 
-    return docs.mapInArrow(scored, widened(docs.schema, f"{added} double"))
+    return docs.mapInArrow(tidy(scored), widened(docs.schema, f"{added} double"))

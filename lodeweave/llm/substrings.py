@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import text
-from lodeweave.llm.shared import discard, unused, written
+from lodeweave.llm.shared import discard, tidy, unused, written
 
 WINDOW = 35
 ANCHOR_WORDS = 8
@@ -147,7 +147,7 @@ def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in (marks, places)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists], ["doc_id", "th", "n_words", "digest", "a", "f"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, n_words long, digest binary, a array<long>, f array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, th long, n_words long, digest binary, a array<long>, f array<long>")
 
 
 def _same_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -175,7 +175,7 @@ def _hashed_stretches(found: DataFrame, window: int) -> DataFrame:
                     out.append([{"a": a, "f": p, "sig": s} for (p, a), s in zip(runs, sig.astype(np.int64).tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "text")), pa.array(out, kind)], ["doc_id", "th", "text", "runs"])
 
-    return found.mapInArrow(run, "doc_id long, th long, text string, runs array<struct<a:long,f:long,sig:long>>")
+    return found.mapInArrow(tidy(run), "doc_id long, th long, text string, runs array<struct<a:long,f:long,sig:long>>")
 
 
 def _windows(found: DataFrame, window: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
                             col.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "at", "a", "h", "c"])
 
-    return found.mapInArrow(run, "doc_id long, th long, at long, a long, h long, c long")
+    return found.mapInArrow(tidy(run), "doc_id long, th long, at long, a long, h long, c long")
 
 
 def _cut(found: DataFrame, window: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
                     kept.append(text.joined(buf, starts[left], ends[left]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "th", "n_removed", "kept"])
 
-    return found.mapInArrow(run, "doc_id long, th long, n_removed long, kept string")
+    return found.mapInArrow(tidy(run), "doc_id long, th long, n_removed long, kept string")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import written
+from lodeweave.llm.shared import tidy, written
 
 PIVOTS = 64
 #: Vectors from which the pivots are chosen; the result doesn't depend on them.
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVO
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * far.shape[1]), pa.array(far.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), lists], [*batch.schema.names, "cell", "far"])
 
-    table = written(rows.mapInArrow(measured, "row long, vec_id long, v array<long>, asks boolean, cell long, far array<double>"), "pivots")
+    table = written(rows.mapInArrow(tidy(measured), "row long, vec_id long, v array<long>, asks boolean, cell long, far array<double>"), "pivots")
     ends = [f(F.col("far")[j]).alias(f"{name}{j}") for j in range(len(chosen) + 1) for name, f in (("min", F.min), ("max", F.max))]
     # A row for each cell, of which there are as many as pivots at most.
     known = table.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_asks"), *ends).collect()
@@ -225,7 +225,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVO
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(ids[to])], [*rest.schema.names, "cell"])
 
     floors = queries.join(reached, F.col("row") == F.col("_row"), "left").withColumn("floor", F.coalesce(F.col("score").cast("double"), F.lit(-float("inf"))))
-    to = floors.select("row", "v", "floor", "cell", "block", "far").mapInArrow(routed, "row long, v array<long>, floor double, from long, seen long, cell long")
+    to = floors.select("row", "v", "floor", "cell", "block", "far").mapInArrow(tidy(routed), "row long, v array<long>, floor double, from long, seen long, cell long")
     to = written(to, "routed")
     # At most as many rows as there are pairs of cells.
     ways = [(r["from"], r.cell, r.n) for r in to.groupBy("from", "cell").agg(F.count("*").alias("n")).collect()]

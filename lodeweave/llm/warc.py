@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.shared import written
+from lodeweave.llm.shared import tidy, written
 
 # The field names of record lines in ARC version blocks.
 FIELDS = {
@@ -138,7 +138,7 @@ def legacy_archives(pages: DataFrame, version: int = 1, segment: int = SEGMENT_B
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array([arc_bytes(held, version)], pa.binary())], ["archive"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(packed, "archive binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(packed), "archive binary")
 
 
 def converted(archives: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def converted(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.mapInArrow(convert, "page_id long, url string, ip string, at string, head binary, payload binary, digest string")
+    return archives.mapInArrow(tidy(convert), "page_id long, url string, ip string, at string, head binary, payload binary, digest string")
 
 
 def deduplicated(records: DataFrame, min_bytes: int = 0, payloads: DataFrame | None = None) -> DataFrame:
@@ -191,7 +191,7 @@ def warc_archives(records: DataFrame, segment: int = SEGMENT_BYTES) -> DataFrame
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
 
-    return records.select(*names).mapInArrow(packed, "archive binary")
+    return records.select(*names).mapInArrow(tidy(packed), "archive binary")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.mapInArrow(parsed, "page_id long, url string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.mapInArrow(tidy(parsed), "page_id long, url string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def through_archives(pages: DataFrame, version: int = 1, min_bytes: int = 0) -> DataFrame:
