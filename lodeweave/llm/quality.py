@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeweave.llm import calibrate, text
-from lodeweave.llm.shared import labelled_sample, tidy, widened
+from lodeweave.llm.shared import labelled_sample, release, tidy, widened
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL = 1500
@@ -131,7 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL) -> Qua
     rows.sort(key=lambda r: (r.doc_id, bytes(r.at)))
     y = np.array([r.y for r in rows], np.int64)
     share = tuple(max(1e-6, min(1.0, float((y == v).sum()) / max(1, total.get(v, 1)))) for v in (0, 1))
-    return train([(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.share), np.float32).astype(np.float64)) for r in rows], y, share)
+    model = train([(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.share), np.float32).astype(np.float64)) for r in rows], y, share)
+    del rows
+    release()  # the driver goes on
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, added: str = "quality_score") -> DataFrame:
