@@ -106,6 +106,13 @@ def warc_bytes(page_id: int | None, url: str, ip: str, at: str, head: bytes, pay
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def info_bytes(at: str, first: bytes) -> bytes:
+    """The warcinfo record that begins an archive, named after the archive's first record."""
+    block = b"software: lodeweave\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_NOWHERE, hashlib.sha1(first).hexdigest())}>"), ("WARC-Date", at), ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of every record of a WARC file."""
     at = 0
@@ -176,20 +183,22 @@ def deduplicated(records: DataFrame, min_bytes: int = 0, payloads: DataFrame | N
 
 
 def warc_archives(records: DataFrame, segment: int = SEGMENT_BYTES) -> DataFrame:
-    """(archive) WARC files of converted records with their refers_to."""
+    """(archive) WARC files of converted records with their refers_to, each with a warcinfo record first."""
     names = ["page_id", "url", "ip", "at", "head", "payload", "digest", "refers_to"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
+            held, size, at = [], 0, ""
             for row in zip(*(batch.column(c) for c in names), strict=True):
-                held.append(warc_bytes(*(x.as_py() for x in row)))
+                values = [x.as_py() for x in row]
+                held.append(warc_bytes(*values))
+                at = at or values[3]
                 size += len(held[-1])
                 if size >= segment:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
-                    held, size = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join([info_bytes(at, held[0]), *held])], pa.binary())], ["archive"])
+                    held, size, at = [], 0, ""
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join([info_bytes(at, held[0]), *held])], pa.binary())], ["archive"])
 
     return records.select(*names).mapInArrow(tidy(packed), "archive binary")
 
@@ -207,6 +216,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
             for archive in batch.column("archive"):
                 rows = []
                 for fields, block in parse_warc(archive.as_py()):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = http_split(block)
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Type"] == "response" and base32_sha1(payload) != digest:

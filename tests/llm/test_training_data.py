@@ -367,6 +367,9 @@ def test_archives(spark, version):
     with pytest.raises(ValueError):
         list(warc.parse_arc(data[:-20]))
     assert warc.through_archives(df.limit(0), version).count() == 0
+    files = [r.archive for r in warc.warc_archives(warc.deduplicated(warc.converted(warc.legacy_archives(df, version)))).collect()]
+    kinds = [[f["WARC-Type"] for f, _ in warc.parse_warc(bytes(x))] for x in files]
+    assert all(k[0] == "warcinfo" and "warcinfo" not in k[1:] for k in kinds) and sum(map(len, kinds)) - len(kinds) == 7
 
 
 @pytest.mark.parametrize(("op", "column"), [(toxicity, "toxicity"), (quality, "quality_score")])
