@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import fingerprints, markup, ngram_join, packing, quality, segments, substrings, topk, toxicity, warc
+from lodeweave.llm import fingerprints, markup, ngram_join, packing, quality, segments, substrings, tokenfile, topk, toxicity, warc
 from lodeweave.llm.shared import held_out, table
 
 
@@ -62,7 +62,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_segments": op3_segments, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op7_markup": op7_markup, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_substrings": op10_substrings}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.through_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_segments": op3_segments, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op7_markup": op7_markup, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_substrings": op10_substrings,
+    "op12_token_files": op12_token_files,
+}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
         WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings

@@ -3,14 +3,16 @@
 Texts are read straight from Arrow buffers: word borders, word hashes and hashes of word
 sequences of a whole group of documents come from a few numpy passes over its bytes, so
 no Python string is made for a word. A hash takes eight bytes at a time and scrambles
-them before the next are added, so no pattern of repeated bytes or words makes two texts
-equal; words of up to eight bytes have a hash of their own each.
+them before the next are added. Different texts can have equal hashes, and whoever knows
+the key of the hashes can look for such texts; so hashes that decide anything are keyed
+with a number drawn for the run, and `Strings` compares bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +57,14 @@ def eights(buf: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
-    """Hashes of the byte ranges [start, end), their bytes taken through `table`."""
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = SAME, key: int = 0) -> np.ndarray:
+    """Hashes of the byte ranges [start, end) under a key of 64 bits, their bytes taken through `table`."""
     if not len(start):
         return np.zeros(0, np.uint64)
     at, n = eights(buf, table), end - start
     out = n.astype(np.uint64) * _STEP
+    if key:
+        out = mix(out ^ np.uint64(key)) + np.uint64(key)
     out ^= at[start] & _MASK[np.minimum(n, 8)]
     out = mix(out)
     alive = np.flatnonzero((n > 8) & (n <= LONG))
@@ -71,10 +75,15 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarra
         alive = alive[n[alive] > k + 8]
     for i in np.flatnonzero(n > LONG).tolist():
         data = table[buf[start[i] : end[i]]].tobytes()
-        out[i] = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data, digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return out
 
 
+def new_key() -> int:
+    """A key for hashes that nobody knew before; the driver draws one for a run and sends it along."""
+    return int.from_bytes(os.urandom(8), "little") | 1
+
+
 def short_grams(buf: np.ndarray, width: int) -> np.ndarray:
     """Hashes of every `width` consecutive bytes, 8 at most."""
     at = eights(buf)[: len(buf) - width + 1]
@@ -218,3 +227,87 @@ class Numbers:
             self.number[slot[todo[won]]] = numbers[todo[won]]
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & int(self.mask)
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """`a` with room for n values at least; what is behind its own is zero."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class Strings:
+    """Numbers 0, 1, ... of byte strings: two have one number only if all their bytes are equal, whatever their hashes are."""
+
+    def __init__(self):
+        self.key = new_key()
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self._hashes, self._odd = Numbers(), {}  # odd: strings whose hash another one has
+        self._of = np.zeros(1 << 12, np.int64)  # a string's number by that of its hash
+        self._flat, self._start, self._size = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+        """The numbers of the byte ranges; `learn` gets the starts and ends of new strings, each once, in order of their numbers."""
+        h = hashes(buf, start, end, key=self.key)
+        out = self._find(buf, start, end, h)
+        new = np.flatnonzero(out < 0)
+        while len(new):
+            _, at = np.unique(h[new], return_index=True)
+            own = new[at]
+            self._add(buf, start[own], end[own], h[own])
+            learn(start[own], end[own])
+            out[new] = self._find(buf, start[new], end[new], h[new])
+            new = new[out[new] < 0]
+        return out
+
+    def _find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        place = self._hashes.find(h)
+        out = np.where(place >= 0, self._of[np.maximum(place, 0)], -1)
+        known = np.flatnonzero(out >= 0)
+        other = known[~self._same(buf, start[known], end[known], out[known])]
+        for i in other.tolist():
+            out[i] = self._odd.get(buf[start[i] : end[i]].tobytes(), -1)
+        return out
+
+    def _same(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the ranges' bytes are those of the strings."""
+        size, theirs = end - start, self._start[number]
+        same = size == self._size[number]
+        alive = np.flatnonzero(same & (size <= LONG))
+        mine, kept = eights(buf), np.ndarray((len(self._flat) - 7,), "<u8", self._flat, strides=(1,))
+        for k in range(0, LONG, 8):
+            if not len(alive):
+                break
+            differ = (mine[start[alive] + k] ^ kept[theirs[alive] + k]) & _MASK[np.minimum(size[alive] - k, 8)]
+            same[alive[differ > 0]] = False
+            alive = alive[(differ == 0) & (size[alive] > k + 8)]
+        for i in np.flatnonzero(same & (size > LONG)).tolist():
+            same[i] = np.array_equal(buf[start[i] : end[i]], self._flat[theirs[i] : theirs[i] + size[i]])
+        return same
+
+    def _add(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        size = end - start
+        total, numbers = int(size.sum()), np.arange(self.n, self.n + len(h))
+        self._flat = grown(self._flat, self.used + total + 16)
+        self._start, self._size = grown(self._start, self.n + len(h)), grown(self._size, self.n + len(h))
+        to = self.used + np.cumsum(size) - size
+        self._start[numbers], self._size[numbers] = to, size
+        self._flat[self.used : self.used + total] = buf[ragged(start, size)]
+        taken = self._hashes.find(h) >= 0
+        for i in np.flatnonzero(taken).tolist():
+            self._odd[buf[start[i] : end[i]].tobytes()] = int(numbers[i])
+        self._of = grown(self._of, self._hashes.n + len(h))
+        self._of[self._hashes.n : self._hashes.n + int((~taken).sum())] = numbers[~taken]
+        self._hashes.add(h[~taken])
+        self.n, self.used = self.n + len(h), self.used + total
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[0], start[0] + 1, ... of every range in turn."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
