@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import fingerprints, markup, ngram_join, packing, quality, segments, substrings, tokenfile, topk, toxicity, warc
+from lodeweave.llm import fingerprints, markup, ngram_join, packing, prefix_trie, quality, segments, substrings, tokenfile, topk, toxicity, warc
 from lodeweave.llm.shared import held_out, table
 
 
@@ -68,8 +68,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.through_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_segments": op3_segments, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op7_markup": op7_markup, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_substrings": op10_substrings,
-    "op12_token_files": op12_token_files,
+    "op12_token_files": op12_token_files, "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
@@ -108,4 +112,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
         FROM w LEFT JOIN c USING (doc_id)""",
+    "op13_prefix_trie": """
+        WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        o AS (SELECT conv_id, turn, coalesce(text, '') AS x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+        turns AS (SELECT conv_id, key, CAST(strlen(x) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS p FROM o),
+        n AS (SELECT conv_id, count(*) AS own,
+                     xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 9 AS h
+              FROM turns, t GROUP BY conv_id, t),
+        c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS base, n.h, least(n.h, coalesce(b.own, 0)) AS taken FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 5),
+        q AS (SELECT conv_id, p - h + taken AS p, key, bytes FROM turns JOIN c USING (conv_id) WHERE p >= h UNION ALL SELECT c.conv_id, p, key, bytes FROM c JOIN turns ON turns.conv_id = base WHERE p < taken),
+        l AS (SELECT conv_id, p + 1 AS depth, bytes, list(key) OVER (PARTITION BY conv_id ORDER BY p) AS keys FROM q UNION ALL SELECT conv_id, 0, 0, [] FROM n),
+        s AS (SELECT conv_id, depth, bytes, array_to_string(keys, ',') AS path, array_to_string(keys[:-2], ',') AS parent, max(depth) OVER (PARTITION BY conv_id) AS size FROM l),
+        nodes AS (SELECT path, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size), '')) AS ends_sha256 FROM s GROUP BY path, depth),
+        kids AS (SELECT parent AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path, depth)),
+        up AS (SELECT s.path, s.depth, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * f.bytes) AS BIGINT) AS saved_tokens
+               FROM full_nodes f JOIN s ON s.conv_id = f.conv_id AND s.depth <= f.depth GROUP BY ALL)
+        SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+        FROM full_nodes f JOIN up USING (path, depth) LEFT JOIN nodes p ON f.depth > 0 AND p.path = f.parent AND p.depth = f.depth - 1""",
 }
