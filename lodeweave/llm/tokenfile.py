@@ -70,13 +70,13 @@ class Encoder:
         data = buf.tobytes()
         if any(s in data for s in self.special):
             whole |= np.array([any(s in data[a:b] for s in self.special) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
-        starts, ends, rows = units.cut(buf, offs)
+        starts, ends, rows = units.cut(buf, offs, marks=True)
         plain = np.repeat(~whole, np.diff(rows))
         if self.units.n > CACHE_UNITS:
             self.clear()
 
         def learn(first: np.ndarray, last: np.ndarray) -> None:
-            ids, sizes = units.split_up(self.encode, lambda t: self.encode([t])[0], self.size, [data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            ids, sizes = units.split_up(self.encode, lambda t: self.encode([t])[0], self.size, buf, first, last)
             k = self.units.n - len(sizes)
             self.flat, self.start, self.n = text.grown(self.flat, self.used + len(ids)), text.grown(self.start, self.units.n), text.grown(self.n, self.units.n)
             self.flat[self.used : self.used + len(ids)] = ids

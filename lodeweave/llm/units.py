@@ -17,17 +17,25 @@ import numpy as np
 from lodeweave.llm import text
 
 #: Bytes of units that are encoded as one text.
-JOINED_BYTES = 1 << 14
+JOINED_BYTES = 1 << 18
+_ASCII_LETTER = text.LETTER & (np.arange(256) < 128)
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def cut(buf: np.ndarray, offs: np.ndarray, glued: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the units, and the n + 1 unit offsets of the rows. White space in `glued` begins no unit."""
+def cut(buf: np.ndarray, offs: np.ndarray, glued: bytes = b"", marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units, and the n + 1 unit offsets of the rows. White space in `glued` begins no unit.
+
+    marks: an ASCII mark behind an ASCII letter begins one as well, as in byte-level BPE, where letters and marks share no token.
+    """
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     opens = text.SPACE.copy()
     opens[list(glued)] = False
     first = opens[buf]
     first[1:] &= ~text.SPACE[buf[:-1]]
+    if marks:
+        first[1:] |= _MARK[buf[1:]] & _ASCII_LETTER[buf[:-1]]
     first[offs[:-1][offs[:-1] < offs[1:]]] = True
     starts = np.flatnonzero(first)
     return starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, offs)
@@ -48,35 +56,35 @@ def aside(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] > sums[offs[:-1]]
 
 
-def split_up(encode: Callable[[list[str]], list[list[int]]], alone: Callable[[str], list[int]], size: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of units, and how many each has. `size`: the bytes of each id.
+def split_up(encode: Callable[[list[str]], list[list[int]]], alone: Callable[[str], list[int]], size: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the units [start, end) in turn, and how many each has. `size`: the bytes of each id.
 
     Units that begin with white space and go on are encoded many as one text, cut again by the ids' bytes; the others alone.
     """
-    blank = bytes(np.flatnonzero(text.SPACE).tolist())
-    regular = [u[:1].isspace() and bool(u.strip(blank)) for u in units]
-    found: list[object] = [None] * len(units)
-    lots: list[list[int]] = [[]]
-    room = JOINED_BYTES
-    for i in [i for i, r in enumerate(regular) if r]:
-        if room < 0:
-            lots.append([])
-            room = JOINED_BYTES
-        lots[-1].append(i)
-        room -= len(units[i])
-    for lot, ids in zip(lots, encode([b"".join([units[i] for i in lot]).decode() for lot in lots]), strict=True):
-        ids = np.array(ids, np.uint32)
-        ends = np.cumsum(size[ids])
-        borders = np.cumsum([len(units[i]) for i in lot])
-        at = np.searchsorted(ends, borders)
-        if len(lot) and (at[-1] != len(ends) - 1 or (ends[at] != borders).any()):
-            continue  # its bytes aren't those of the text
-        for i, lo, hi in zip(lot, np.concatenate([[0], at[:-1] + 1]).tolist() if len(lot) else [], (at + 1).tolist(), strict=True):
-            found[i] = ids[lo:hi]
-    out = [alone(units[i].decode()) if f is None else f for i, f in enumerate(found)]
-    sizes = np.fromiter(map(len, out), np.int64, len(out))
-    flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())) if len(out) else np.zeros(0, np.uint32)
-    return flat, sizes
+    n = end - start
+    counts, regular = np.zeros(len(n), np.int64), text.SPACE[buf[start]] & ~text.SPACE[buf[end - 1]]
+    joint = np.flatnonzero(regular)
+    data = buf[text.ragged(start[joint], n[joint])].tobytes()
+    borders = np.cumsum(n[joint])
+    lots = np.searchsorted(borders // JOINED_BYTES, np.arange(int(borders[-1]) // JOINED_BYTES + 2)) if len(joint) else np.zeros(1, np.int64)
+    lots = np.unique(np.append(lots, len(joint))).tolist()
+    edges = np.concatenate([[0], borders])[lots].tolist()
+    ids = [np.array(x, np.uint32) for x in encode([data[a:b].decode() for a, b in itertools.pairwise(edges)])] if len(joint) else []
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    ends = np.cumsum(size[ids])
+    at = np.searchsorted(ends, borders)
+    if len(joint) and (at[-1] != len(ends) - 1 or (ends[at] != borders).any()):  # some ids' bytes aren't those of the text
+        joint, ids, at = joint[:0], ids[:0], at[:0]
+        regular[:] = False
+    counts[joint] = np.diff(at, prepend=-1)
+    rest = [np.array(alone(buf[a:b].tobytes().decode()), np.uint32) for a, b in zip(start[~regular].tolist(), end[~regular].tolist(), strict=True)]
+    counts[~regular] = [len(x) for x in rest]
+    first = np.cumsum(counts) - counts
+    flat = np.zeros(int(counts.sum()), np.uint32)
+    flat[text.ragged(first[joint], counts[joint])] = ids
+    if rest:
+        flat[text.ragged(first[~regular], counts[~regular])] = np.concatenate(rest)
+    return flat, counts
 
 
 def byte_tokenizer(path: str, plain_specials: bool):
