@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import fingerprints, markup, ngram_join, packing, prefix_trie, quality, segments, substrings, tokenfile, topk, toxicity, warc
+from lodeweave.llm import alignment, fingerprints, markup, ngram_join, packing, prefix_trie, quality, segments, substrings, tokenfile, topk, toxicity, warc
 from lodeweave.llm.shared import held_out, table
 
 
@@ -62,6 +62,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_segments": op3_segments, "op4_topk": op4_topk, "op5_ngram_join": op5_ngram_join, "op6_packing": op6_packing, "op7_markup": op7_markup, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_substrings": op10_substrings,
-    "op12_token_files": op12_token_files, "op13_prefix_trie": op13_prefix_trie,
+    "op11_alignment": op11_alignment, "op12_token_files": op12_token_files, "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """

@@ -56,13 +56,13 @@ def aside(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] > sums[offs[:-1]]
 
 
-def split_up(encode: Callable[[list[str]], list[list[int]]], alone: Callable[[str], list[int]], size: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_up(encode: Callable[[list[str]], list[list[int]]], alone: Callable[[str], list[int]], size: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the units [start, end) in turn, and how many each has. `size`: the bytes of each id.
 
-    Units that begin with white space and go on are encoded many as one text, cut again by the ids' bytes; the others alone.
+    Units that begin with white space and go on are encoded many as one text, cut again by the ids' bytes; the others, or all if `apart`, alone.
     """
     n = end - start
-    counts, regular = np.zeros(len(n), np.int64), text.SPACE[buf[start]] & ~text.SPACE[buf[end - 1]]
+    counts, regular = np.zeros(len(n), np.int64), text.SPACE[buf[start]] & ~text.SPACE[buf[end - 1]] & (not apart)
     joint = np.flatnonzero(regular)
     data = buf[text.ragged(start[joint], n[joint])].tobytes()
     borders = np.cumsum(n[joint])
