@@ -52,10 +52,10 @@ STRIDE = 64
 _KEYS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = WORDS, key: int = 0) -> list[np.ndarray]:
     """Every row's distinct n-gram hashes, in no particular order of rarity."""
     starts, ends, rows = text.words(buf, offs)
-    h = text.hashes(buf, starts, ends, text.LOWER)
+    h = text.hashes(buf, starts, ends, text.LOWER, key)
     grams = text.sequences(h, width)
     out = []
     for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
@@ -65,7 +65,22 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = WORDS) -> list[
     return out
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
+def twofold_sets(buf: np.ndarray, offs: np.ndarray, keys: tuple[int, int], width: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every row's distinct n-grams by two hashes of independent keys: sorted by the first one, and the other at the same places."""
+    starts, ends, rows = text.words(buf, offs)
+    h = [text.hashes(buf, starts, ends, text.LOWER, key) for key in keys]
+    grams = [text.sequences(x, width) for x in h]
+    out = []
+    for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        one, two = (g[lo : hi - width + 1] if hi - lo >= width else text.sequences(x[lo:hi], hi - lo) if hi > lo else g[:0] for g, x in zip(grams, h, strict=True))
+        order = np.argsort(one, kind="stable")
+        one, two = one[order], two[order]
+        first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, bool)
+        out.append((one[first], two[first]))
+    return out
+
+
+def sketch(docs: DataFrame, key: int = 0) -> np.ndarray:
     """How many documents' n-grams fall into each of SKETCH counters: summed over FAN tasks at a time, then over those; only the sums reach the driver."""
     part = SKETCH // SKETCH_PARTS
 
@@ -73,7 +88,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for _, _, buf, offs in text.groups(batch.column("text")):
-                grams = np.concatenate([*shingle_sets(buf, offs), np.zeros(0, np.uint64)])
+                grams = np.concatenate([*shingle_sets(buf, offs, key=key), np.zeros(0, np.uint64)])
                 counts += np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         rows = [counts[k * part : (k + 1) * part].tobytes() for k in range(SKETCH_PARTS)]
         some = TaskContext.get().partitionId() // FAN
@@ -100,9 +115,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean) - 0.5), 0, 30).astype(np.uint64)
 
 
-def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set in the global order, as numbers that keep it: level, then hash."""
-    return np.sort((level[(grams & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(58)) | (grams >> np.uint64(6)))
+def ordered(grams: np.ndarray, level: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+    """A set in the global order, as numbers that keep it: level, then hash; `names`: other hashes of the same n-grams to be used for that."""
+    return np.sort((level[(grams & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(58)) | ((grams if names is None else names) >> np.uint64(6)))
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -198,8 +213,11 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: i
     return rows.mapInArrow(tidy(allowed), "probe long, member long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object, percent: int) -> DataFrame:
-    """The links (a, b) among candidate pairs (probe, member), a written table, of nodes."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object, percent: int, keys: tuple[int, int]) -> DataFrame:
+    """The links (a, b) among candidate pairs (probe, member), a written table, of nodes.
+
+    What met by the first hash is compared by the second one, so n-grams of different words would have to be equal under two independent keys.
+    """
     ends = pairs.select(F.col("probe").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
     pairs = written(_plausible(pairs, nodes, ends, percent), "pairs")
     wanted = pairs.select(F.col("probe").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
@@ -211,7 +229,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: object
         for batch in batches:
             got = []
             for _, _, buf, offs in text.groups(batch.column("text")):
-                got += [ordered(g, level.value).tobytes() for g in shingle_sets(buf, offs)]
+                got += [ordered(g, level.value, names).tobytes() for g, names in twofold_sets(buf, offs, keys)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(got, pa.binary())], ["node", "grams"])
 
     sets = written(found.mapInArrow(tidy(listed), "node long, grams binary"), "sets")
@@ -268,22 +286,23 @@ def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray,
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every row's summary (doc_id, rep_text, n, k1, k2), and every node with its component (a node number)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    level = docs.sparkSession.sparkContext.broadcast(levels(sketch(docs)))
+    keys = text.new_key(), text.new_key()
+    level = docs.sparkSession.sparkContext.broadcast(levels(sketch(docs, keys[0])))
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, shares, brief, prefixes = [], [], [], [], []
+            n, sums, shares, brief, prefixes = [], [], [], [], []
             for _, _, buf, offs in text.groups(batch.column("text")):
-                for grams in shingle_sets(buf, offs):
+                for grams, names in twofold_sets(buf, offs, keys):
                     own = ordered(grams, level.value)
                     n.append(len(own))
-                    keys.append([int(np.sum(text.mix(grams ^ seed), dtype=np.uint64).view(np.int64)) for seed in _KEYS])
+                    sums.append([int(np.sum(text.mix(g ^ seed), dtype=np.uint64).view(np.int64)) for g, seed in zip((grams, names), _KEYS, strict=True)])
                     shares.append(histogram(grams))
                     brief.append(coarse(shares[-1]))
                     prefixes.append(own[: len(own) + -percent * len(own) // 100 + 1].astype(np.int64))
             flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            columns = [batch.column("doc_id"), batch.column("rep_text"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(shares, pa.binary()), pa.array(brief, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            columns = [batch.column("doc_id"), batch.column("rep_text"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in sums], pa.int64()) for i in (0, 1)), pa.array(shares, pa.binary()), pa.array(brief, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rep_text", "n", "k1", "k2", "histogram", "brief", "prefix"])
 
     summary = docs.withColumn("rep_text", F.xxhash64("text")).mapInArrow(tidy(summarised), "doc_id long, rep_text long, n long, k1 long, k2 long, histogram binary, brief binary, prefix array<long>")
@@ -311,7 +330,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     )
     first = rows.join(hubs, F.col("token") == F.col("_token")).where(F.col("node") != F.col("hub")).where(possible)
     first = written(first.select(F.greatest("hub", "node").alias("member"), F.least("hub", "node").alias("probe")).distinct(), "hubs")
-    links = _verified(first, nodes, docs, level, percent)
+    links = _verified(first, nodes, docs, level, percent, keys)
     tied = written(components(links), "tied")
 
     grouped = rows.where("held > 2").join(tied, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -353,7 +372,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     second = dealt.mapInArrow(tidy(paired), "probe long, member long").distinct()
     second = written(second.join(first, ["probe", "member"], "left_anti"), "rest")
-    links = _verified(second, nodes, docs, level, percent).unionByName(links)
+    links = _verified(second, nodes, docs, level, percent, keys).unionByName(links)
     tied = components(links)
 
     labelled = nodes.join(tied, "node", "left").select("k1", "k2", "min_doc", "rep_doc", "rep_text", F.coalesce("component", "node").alias("component"))

@@ -116,7 +116,7 @@ def _tokenizer(path: str):
 
 
 def _forget() -> None:
-    _state.update(known=text.Numbers(), words=_Ids())
+    _state.update(known=text.Strings(), words=_Ids())
 
 
 def _forget_parts() -> None:
@@ -159,16 +159,9 @@ def group_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray,
         starts, ends, rows = text.words(buf, offs)
         own = np.repeat(~alone, np.diff(rows))
         starts, ends = starts[own], ends[own]
-        hashes = text.hashes(buf, starts, ends)
         if _state["known"].n > CACHE_WORDS:
             _forget()
-        numbers = _state["known"].find(hashes)
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            distinct, at = np.unique(hashes[new], return_index=True)
-            _learn(text.joined(buf, starts[new[at]], ends[new[at]]))
-            _state["known"].add(distinct)
-            numbers[new] = _state["known"].find(hashes[new])
+        numbers = _state["known"].numbers(buf, starts, ends, lambda first, last: _learn(text.joined(buf, first, last)))
         ids = _state["words"].of(numbers)
         borders = np.concatenate([[0], np.cumsum(np.where(alone, 0, np.diff(rows)))])
         counts = np.diff(np.concatenate([[0], np.cumsum(_state["words"].n[numbers], dtype=np.int64)])[borders])

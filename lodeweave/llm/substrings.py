@@ -50,11 +50,13 @@ class FingerprintIndex:
     """Counts of anchor hashes in sorted immutable runs (tables of hash and n in the shared folder), and what verification needs.
 
     `docs` has the batches (doc_id, th, text), `known` their summaries, and `covered` the repeated stretches (doc_id, th, f)
-    that each batch brought to light in itself and in those before it.
+    that each batch brought to light in itself and in those before it. `keys` are those of its hashes: the first one's make anchors,
+    the second one's make windows and stretches, so different words would have to be equal under two independent keys to be taken for repeats.
     """
 
-    def __init__(self, runs: list[DataFrame] | None = None):
+    def __init__(self, runs: list[DataFrame] | None = None, keys: tuple[int, int] | None = None):
         self.runs = list(runs or [])
+        self.keys = keys or (text.new_key(), text.new_key())
         self.docs: list[DataFrame] = []
         self.known: list[DataFrame] = []
         self.covered: list[DataFrame] = []
@@ -118,10 +120,10 @@ def stretches(words: np.ndarray, rows: np.ndarray, window: int = WINDOW, short:
     return grams[at[first]], start - rows[row[start]], count, np.searchsorted(row[start], np.arange(len(rows)))
 
 
-def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _word_hashes(column: pa.Array, key: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for lo, _, buf, offs in text.groups(column):
         starts, ends, rows = text.words(buf, offs)
-        yield lo, buf, starts, ends, text.hashes(buf, starts, ends), rows
+        yield lo, buf, starts, ends, text.hashes(buf, starts, ends, key=key), rows
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -130,13 +132,13 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def summary(docs: DataFrame, window: int = WINDOW, key: int = 0) -> DataFrame:
     """Per document: number of words, digest of all words joined by one space, and its stretches (a, f) by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sizes, marks, places = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, buf, starts, ends, words, rows in _word_hashes(batch.column("text")):
+            for _, buf, starts, ends, words, rows in _word_hashes(batch.column("text"), key):
                 a, first, count, of = stretches(words, rows, window)
                 marks.append(a)
                 places.append(first * STRETCH + count)
@@ -157,14 +159,14 @@ def _same_document(left: DataFrame, right: DataFrame, how: str = "inner") -> Dat
     return out if how in ("left_semi", "left_anti") else out.drop("_doc", "_th")
 
 
-def _hashed_stretches(found: DataFrame, window: int) -> DataFrame:
+def _hashed_stretches(found: DataFrame, window: int, key: int) -> DataFrame:
     """(doc_id, th, text, runs) with each stretch's anchor, place and the hash of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("f", pa.int64()), ("sig", pa.int64())]))
         for batch in batches:
             asked, out = batch.column("runs").to_pylist(), []
-            for lo, _, _, _, words, rows in _word_hashes(batch.column("text")):
+            for lo, _, _, _, words, rows in _word_hashes(batch.column("text"), key):
                 every = text.sequences(words, window)
                 for i in range(len(rows) - 1):
                     runs = sorted({(r["f"], r["a"]) for r in asked[lo + i]})
@@ -178,13 +180,13 @@ def _hashed_stretches(found: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(tidy(run), "doc_id long, th long, text string, runs array<struct<a:long,f:long,sig:long>>")
 
 
-def _windows(found: DataFrame, window: int) -> DataFrame:
+def _windows(found: DataFrame, window: int, key: int) -> DataFrame:
     """(doc_id, th, at, a, h, c) for every window of the asked stretches (a, f, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths, asked = (batch.column(c).to_pylist() for c in ("doc_id", "th", "asked"))
-            for lo, _, _, _, words, rows in _word_hashes(batch.column("text")):
+            for lo, _, _, _, words, rows in _word_hashes(batch.column("text"), key):
                 every = text.sequences(words, window)
                 cols: list[list] = [[], [], [], [], [], []]
                 for i in range(len(rows) - 1):
@@ -228,7 +230,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> None:
     """Add a batch (doc_id, th, text) to the index and verify it against itself and all that the index has seen."""
     index.docs.append(docs)
-    index.known.append(written(summary(docs, window), "stretches"))
+    index.known.append(written(summary(docs, window, index.keys[0]), "stretches"))
     places = lambda known: known.select("doc_id", "th", F.explode(F.arrays_zip("a", "f")).alias("r")).select("doc_id", "th", "r.a", "r.f")
     run = index.add(places(index.known[-1]))
     if len(index.docs) == 1:
@@ -237,7 +239,7 @@ def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> N
         often = written(index.counts().where("n > 1").select("hash").join(run.select("hash"), "hash", "left_semi"), "often")
         found = places(_all(index.known)).join(often, F.col("a") == F.col("hash")).drop("hash")
     asked = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "f")).alias("runs"))
-    held = written(_hashed_stretches(_same_document(_all(index.docs), asked), window), "held")
+    held = written(_hashed_stretches(_same_document(_all(index.docs), asked), window, index.keys[1]), "held")
 
     runs = held.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.a", "r.f", "r.sig", F.xxhash64("doc_id", "th", "r.f").alias("own"))
     kinds = written(runs.groupBy("a", "sig").agg(F.count("*").alias("c"), F.min("own").alias("chosen")), "kinds")
@@ -249,7 +251,7 @@ def take_in(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> N
     judged = written(judged, "judged")
 
     asked = judged.where("asked").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "f", "c")).alias("asked"))
-    windows = written(_windows(_same_document(held.select("doc_id", "th", "text"), asked), window), "windows")
+    windows = written(_windows(_same_document(held.select("doc_id", "th", "text"), asked), window, index.keys[1]), "windows")
     again = windows.groupBy(F.col("a").alias("_a"), F.col("h").alias("_h")).agg(F.sum("c").alias("n")).where("n > 1").select("_a", "_h")
     single = windows.where("c = 1").join(again, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")
     covered = judged.where("c > 1").select("doc_id", "th", "f").unionByName(single.select("doc_id", "th", (F.col("at") * STRETCH + 1).alias("f")))

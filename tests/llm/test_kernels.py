@@ -109,7 +109,7 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) / 1024)
 """
 
 
-@pytest.mark.parametrize("call", ["ngram_join.shingle_sets(buf, offs)", "fingerprints.anchors(buf, offs)", "toxicity.word_features(buf, offs)", "quality.token_features(buf, offs)", "list(substrings._word_hashes(column)); substrings.stretches(text.hashes(buf, *text.words(buf, offs)[:2]), text.words(buf, offs)[2])"])
+@pytest.mark.parametrize("call", ["ngram_join.shingle_sets(buf, offs)", "fingerprints.anchors(buf, offs)", "toxicity.word_features(buf, offs)", "quality.token_features(buf, offs)", "ngram_join.twofold_sets(buf, offs, (1, 2))", "list(substrings._word_hashes(column)); substrings.stretches(text.hashes(buf, *text.words(buf, offs)[:2]), text.words(buf, offs)[2])"])
 def test_text_of_100_mb_fits_into_an_executor(call):
     out = subprocess.run([sys.executable, "-c", MEASURE.replace("{call}", call)], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ROOT}, timeout=300)
     assert float(out.stdout) < 2500
