@@ -45,8 +45,18 @@ DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button
 MAIN = {"article", "main"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
 SPACED = {"br", "td", "th"}
+_CELLS, _PARTS = {"td", "th"}, {"tbody", "thead", "tfoot"}
+# Which open elements a start tag ends where their end tags are left out, and the elements that it doesn't look beyond.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": (_CELLS, {"tr", "table"}), "th": (_CELLS, {"tr", "table"}), "tr": ({"tr", *_CELLS}, {"table", *_PARTS}),
+    **{part: ({"tr", *_PARTS, *_CELLS}, {"table"}) for part in _PARTS}, "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+}
+# Elements whose start ends a paragraph.
+P_ENDS = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_P_SCOPE = ({"p"}, {"button", "caption", "table", "object", "template", *_CELLS})
+CONTAINERS = {"div", "section", "article", "main", "ul", "ol", "dl", "table", "tr", "caption", *_CELLS, *_PARTS}
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
-# Words in class, id and role that mark what isn't the article.
+#: Words in class, id and role that mark what isn't the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "form", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
 
 _MARKUP = re.compile(
@@ -70,6 +80,11 @@ def _marked(attrs: str) -> bool:
     return False
 
 
+def _endings(tag: str) -> list[tuple[set[str], set[str]]]:
+    """What a start tag ends, and what it doesn't look beyond."""
+    return [*([IMPLIED[tag]] if tag in IMPLIED else []), *([_P_SCOPE] if tag in P_ENDS else [])]
+
+
 def page_tokens(page: str) -> tuple[list[str], list[tuple[int, str, int, int]]]:
     """A page's token stream, and its pieces of text as (place in the stream, text, zone, block number)."""
     stream: list[str] = []
@@ -106,16 +121,24 @@ def page_tokens(page: str) -> tuple[list[str], list[tuple[int, str, int, int]]]:
         attrs = m["attrs"]
         marked = len(attrs) > 3 and _marked(attrs)
         stream.append(tag + "*" if marked else tag)
+        for ended, beyond in _endings(tag) if open_ else ():
+            cut = None
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k][0] in beyond:
+                    break
+                if open_[k][0] in ended:
+                    cut = k
+            if cut is not None:
+                zone = open_[cut][1]
+                del open_[cut:]
         if tag in BLOCKS:
             block += 1
-            if tag == "p" and open_ and open_[-1][0] == "p":
-                zone = open_.pop()[1]
         elif tag in SPACED and pieces:
             pieces.append((len(stream) - 1, " ", zone, block))
         if tag in VOID or attrs.endswith("/"):
             continue
         dropped = marked or tag in DROPPED
-        if dropped or zone == CHROME or tag in ("div", "section", "article", "main"):
+        if dropped or zone == CHROME or tag in CONTAINERS:
             open_.append((tag, zone))
         if dropped:
             zone = CHROME

@@ -35,8 +35,8 @@ PIVOTS = 64
 PIVOT_SAMPLE = 4000
 #: Rows of a block. A cell has about CELL_ROWS of them or more, and there are as many cells as pivots at most.
 CANDIDATES, QUERIES, CELL_ROWS = 16_384, 4_096, 4_096
-#: Components up to this size give inner products that doubles hold exactly at 2**13 dimensions.
-EXACT = 1 << 20
+#: Inner products below this are whole numbers that doubles hold exactly, sums on the way included.
+EXACT = 1 << 52
 #: Queries that are bounded together, pivots of a round, and candidates that are evaluated at a time.
 TOGETHER, ROUND, STEP = 32, 4, 512
 #: A round of pivots that eliminates less than this share of what is left is the last one.
@@ -107,8 +107,14 @@ def block_best(q: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, c: np.ndarr
     """
     if not len(q) or not len(c):
         return [], [], [], 0
-    if max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) > EXACT:
+    largest = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (q, c)]  # Python's integers: the least long has no positive twin
+    most = max(1, q.shape[1]) * max(largest[0] * largest[1], largest[0] ** 2, largest[1] ** 2)
+    if most >= EXACT:
         return _plain(q, q_rows, c, c_rows, c_ids, k)
+    if most.bit_length() + len(c).bit_length() > 62:  # a score and a place don't fit into one number: fewer candidates at a time
+        half = len(c) // 2
+        parts = [block_best(q, q_rows, floor, c[s], c_rows[s], c_ids[s], pivots, k) for s in (slice(0, half), slice(half, None))]
+        return tuple(a + b for a, b in zip(*parts, strict=True))
     order = np.argsort(c_ids, kind="stable")
     c, c_rows, c_ids = c[order].astype(np.float64), c_rows[order], c_ids[order]
     c2, q2 = np.einsum("ij,ij->i", c, c), np.einsum("ij,ij->i", q.astype(np.float64), q.astype(np.float64))
