@@ -236,16 +236,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _filler(level: int, capacity: int):
-    """Packs one group's bins; the numbers of the new bins carry the level and the group."""
+    """Packs one group's bins into larger ones, whose numbers carry the level and the group; `_first` marks one row of each larger bin."""
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
-        _, first, row_bin = np.unique(table.column("_bin").to_numpy(), return_index=True, return_inverse=True)
-        bins, place, full = best_fit(table.column("_fill").to_numpy()[first], capacity)
+        bins, place, full = best_fit(table.column("_fill").to_numpy(), capacity)
         base = (((level + 1) << 32) + key[0].as_py()) << 24
-        new = {"_bin": base + bins[row_bin], "_at": table.column("_at").to_numpy() + place[row_bin], "_fill": full[bins[row_bin]]}
-        for name, values in new.items():
-            table = table.set_column(table.schema.get_field_index(name), name, pa.array(values))
-        return table.drop(["_group"])
+        first = np.zeros(len(bins), bool)
+        first[np.unique(bins, return_index=True)[1]] = True
+        return pa.table({"_bin": table.column("_bin"), "_into": base + bins, "_at": place, "_fill": full[bins], "_first": first})
 
     return fill
 
@@ -253,29 +251,29 @@ def _filler(level: int, capacity: int):
 def pack(items: DataFrame, capacity: int = 4096, group_items: int = GROUP_ITEMS, slack: int = SLACK) -> DataFrame:
     """`items` (with length, from 1 to capacity) plus sequence_id and offset: which sequence each is in, and where.
 
-    Columns with these names, or _bin, _at, _fill or _group, are left behind.
+    Only numbers of bins and their fills are packed, level by level; what a bin went into is kept in a table for each level, and
+    places are put together from the last level down to the items. Columns with the names of the result, or _bin, are left behind.
     """
-    names = [c for c in items.columns if c not in ("sequence_id", "offset", "_bin", "_at", "_fill", "_group")]
+    names = [c for c in items.columns if c not in ("sequence_id", "offset", "_bin")]
     # Row numbers come from a written table, so a task that runs again gives the same ones.
     items = written(items.select(*names), "pieces").withColumn("_bin", F.monotonically_increasing_id())
-    done = [items.where(F.col("length") >= capacity).select(*names, (-1 - F.col("_bin")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    state = items.where(F.col("length") < capacity).withColumns({"_at": F.lit(0).cast("long"), "_fill": F.col("length")})
-    count = state.count()
-    level = 0
+    state = items.where(F.col("length") < capacity).select("_bin", F.col("length").alias("_fill"))
+    count, levels = state.count(), []
     while count:
         n_groups = max(1, -(-count // group_items))
         dealt = state.withColumn("_group", F.pmod(F.xxhash64("_bin"), F.lit(n_groups)))
-        state = written(dealt.groupBy("_group").applyInArrow(_filler(level, capacity), state.schema), f"bins{level}")
-        last = n_groups == 1
-        open_bins = state.where(F.col("_fill") < capacity - slack)
-        left = 0 if last else open_bins.select("_bin").distinct().count()
-        last = last or left > 0.98 * count  # what is left fits together no better
-        closed = state if last else state.where(F.col("_fill") >= capacity - slack)
-        done.append(closed.select(*names, F.col("_bin").alias("sequence_id"), F.col("_at").alias("offset")))
-        if last:
+        moved = dealt.groupBy("_group").applyInArrow(_filler(len(levels), capacity), "_bin long, _into long, _at long, _fill long, _first boolean")
+        levels.append(written(moved, f"bins{len(levels)}"))
+        bins = levels[-1].where("_first").select(F.col("_into").alias("_bin"), "_fill")
+        state = bins.where(F.col("_fill") < capacity - slack)
+        left = state.count()
+        if n_groups == 1 or left > 0.98 * count:  # what is left fits together no better
             break
-        state, count, level = open_bins, left, level + 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        count = left
+    places = items.sparkSession.createDataFrame([], "_bin long, sequence_id long, offset long")
+    for moved in reversed(levels):  # a bin that went no further is a sequence
+        up = places.select(F.col("_bin").alias("_into"), F.col("sequence_id").alias("_seq"), F.col("offset").alias("_base"))
+        places = moved.join(up, "_into", "left").select("_bin", F.coalesce("_seq", "_into").alias("sequence_id"), (F.col("_at") + F.coalesce("_base", F.lit(0))).alias("offset"))
+    out = items.join(places, "_bin", "left")
+    full = -1 - F.col("_bin")
+    return out.select(*names, F.coalesce("sequence_id", full).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))

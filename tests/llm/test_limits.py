@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodeweave.llm import markup, topk
+from lodeweave.llm import markup, packing, topk
 
 
 @pytest.mark.parametrize(("size", "dim", "n"), [(1 << 20, 1024, 9000), (1 << 20, 4, 9000), (1 << 25, 3, 700), (1 << 26, 64, 40), (1 << 40, 8, 30), ((1 << 62) + 5, 2, 10)])
@@ -45,3 +46,31 @@ def text_of(page):
 )
 def test_omitted_end_tags(page, want):
     assert text_of(page).replace(" ", "").replace("\n", "") == want.replace(" ", "").replace("\n", "")
+
+
+def test_packing_moves_bins_and_not_their_pieces(spark, monkeypatch):
+    """Many items of one token: what one task packs are bins, as many as a group has at most, and bins are nearly as few as can be."""
+    seen, plain = [], packing.best_fit
+    assert packing.best_fit(np.ones(20_000, np.int64), 4096)[2].tolist() == [4096] * 4 + [3616]
+    monkeypatch.setattr(packing, "best_fit", lambda sizes, capacity: (seen.append(len(sizes)), plain(sizes, capacity))[1])
+    fill = packing._filler(0, 64)
+    import pyarrow as pa
+
+    out = fill((pa.scalar(3),), pa.table({"_bin": np.arange(1000), "_fill": np.full(1000, 63)}))
+    assert out.num_rows == 1000 and seen == [1000] and sum(out.column("_first").to_pylist()) == 1000
+    n = 60_000
+    items = spark.range(n).select("id", (1 + (F.col("id") % 50 == 0).cast("long") * 900).alias("length"))
+    rows = packing.pack(items, 1000, group_items=5000, slack=2).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == n and len({r.id for r in rows}) == n
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1000
+    assert len(bins) == 1200  # as few as can be: two items of 901 never share a bin
+    even = packing.pack(spark.range(n).select("id", (1 + F.col("id") % 97).alias("length")), 1000, group_items=5000, slack=2)
+    assert even.select("sequence_id").distinct().count() <= -(-even.agg(F.sum("length")).first()[0] // 1000) * 1.003 + 2  # the lower bound, and little more
