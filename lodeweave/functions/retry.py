@@ -27,11 +27,36 @@ def linear_backoff(attempt: Column, retry_delay: float = 2.0) -> Column:
     return F.lit(retry_delay) * (attempt + 1)
 
 
+SERVER_ERRORS = (500, 599)
+RETRIED = ("connection", "timeout")
+# What failures are called, and responses by status.
+FAILURES = {"connection": "connection_error", "timeout": "timeout"}
+RESPONSES = {404: "not_found", 403: "forbidden", 429: "rate_limited"}
+SERVER, UNKNOWN = "server_error", "unknown_error"
+
+
 def is_retryable(kind: Column, status: Column) -> Column:
     """Connection failures and timeouts; of responses only server errors."""
-    return kind.isin("connection", "timeout") | ((kind == "response") & F.coalesce(status >= 500, F.lit(False)) & F.coalesce(status < 600, F.lit(False)))
+    return kind.isin(*RETRIED) | ((kind == "response") & F.coalesce(status.between(*SERVER_ERRORS), F.lit(False)))
+
+
+def worth_another_try(kind: str, status: int | None) -> bool:
+    """The same for a failure at hand."""
+    return kind in RETRIED or kind == "response" and status is not None and SERVER_ERRORS[0] <= status <= SERVER_ERRORS[1]
 
 
 def error_name(kind: Column, status: Column) -> Column:
-    response = F.when(status == 404, "not_found").when(status == 403, "forbidden").when(status == 429, "rate_limited").when(status >= 500, "server_error").otherwise(F.concat(F.lit("http_"), status.cast("string")))
-    return F.when(kind == "connection", F.lit("connection_error")).when(kind == "timeout", F.lit("timeout")).when(kind == "response", response).otherwise(F.lit("unknown_error"))
+    response = F.when(status >= SERVER_ERRORS[0], SERVER).otherwise(F.concat(F.lit("http_"), status.cast("string")))
+    for code, name in RESPONSES.items():
+        response = F.when(status == code, name).otherwise(response)
+    named = F.when(kind == "response", response).otherwise(F.lit(UNKNOWN))
+    for failure, name in FAILURES.items():
+        named = F.when(kind == failure, name).otherwise(named)
+    return named
+
+
+def name_of_error(kind: str, status: int | None) -> str:
+    """The same for a failure at hand."""
+    if kind != "response" or status is None:
+        return FAILURES.get(kind, UNKNOWN)
+    return RESPONSES.get(status) or (SERVER if status >= SERVER_ERRORS[0] else f"http_{status}")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodeweave.sources.fetching import FETCHED, Fetcher
+
 SCRAPED = "url string, title string, content string, metadata map<string,string>, timestamp string, success boolean, error_message string"
 STORE = "id string, text string, embedding array<float>, source_url string, title string, category string, chunk_index int, total_chunks int, collection string"
 
@@ -173,89 +175,26 @@ class _Urls(InputPartition):
         self.urls = urls
 
 
-#: Seconds that a page, and a PDF, may take.
-PAGE_TIMEOUT, PDF_TIMEOUT = 30.0, 60.0
-FETCHED = "url string, status_code int, html string, content binary, success boolean, error_message string, error_type string, attempts int, timestamp string"
-
-
-def error_class(error: Exception) -> tuple[str, int | None]:
-    """What kind of failure a fetch had (connection, timeout, response or other), and the status of a response."""
-    import socket
-    import urllib.error
-
-    if isinstance(error, urllib.error.HTTPError):
-        return "response", error.code
-    if isinstance(error, TimeoutError | socket.timeout) or isinstance(getattr(error, "reason", None), TimeoutError):
-        return "timeout", None
-    return ("connection", None) if isinstance(error, OSError) else ("other", None)
-
-
-def error_type(kind: str, status: int | None) -> str:
-    """The name that functions.retry.error_name gives a failure."""
-    if kind != "response":
-        return {"connection": "connection_error", "timeout": "timeout"}.get(kind, "unknown_error")
-    return {404: "not_found", 403: "forbidden", 429: "rate_limited"}.get(status, "server_error" if status >= 500 else f"http_{status}")
-
-
 class WebReader(DataSourceReader):
-    """Fetches urls, some per partition and several at a time; only status 200 is a success, and a failed fetch is a row.
+    """Fetches urls by `fetching.Fetcher`, some per partition and several at a time, for short lists; `fetching.fetch_table` takes tables.
 
-    Options: urls (one per line), urlsPerPartition, concurrency, delay (seconds before a try), timeout, userAgent, binary
-    (bytes in `content` instead of text in `html`), and retryMode: `linear` tries `retries` times whatever went wrong and waits
-    retryDelay * number of tries; `exponential` tries again only after connection failures, timeouts and server errors, and
-    waits initialDelay * exponentialBase ** tries, maxDelay at most; `once` doesn't try again and takes every 2xx.
+    Options: urls (one per line), urlsPerPartition, concurrency, and the fetcher's.
     """
 
     def __init__(self, options: dict[str, str]):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.per_partition = int(options.get("urlsPerPartition", "50"))
-        self.mode = options.get("retryMode", "linear")
-        if self.mode not in ("linear", "exponential", "once"):
-            raise ValueError(f"unknown retry mode: {self.mode}")
-        self.retries = 1 if self.mode == "once" else int(options.get("retries", "3"))
-        self.retry_delay, self.delay = float(options.get("retryDelay", "2")), float(options.get("delay", "2"))
-        self.initial, self.base, self.most = (float(options.get(k, v)) for k, v in (("initialDelay", "1"), ("exponentialBase", "2"), ("maxDelay", "60")))
-        self.binary = options.get("binary", "false").lower() == "true"
-        self.timeout = float(options.get("timeout", str(PDF_TIMEOUT if self.binary else PAGE_TIMEOUT)))
-        self.agent, self.concurrency = options.get("userAgent", "lodeweave"), int(options.get("concurrency", "5"))
+        self.per_partition, self.concurrency = int(options.get("urlsPerPartition", "50")), int(options.get("concurrency", "5"))
+        self.fetcher = Fetcher(options)
 
     def partitions(self):
         n = self.per_partition
         return [_Urls(self.urls[i : i + n]) for i in range(0, len(self.urls), n)] or [_Urls([])]
 
-    def _wait(self, tries: int) -> float:
-        return self.retry_delay * tries if self.mode == "linear" else min(self.initial * self.base ** (tries - 1), self.most)
-
-    def fetch(self, url: str) -> tuple:
-        import time
-        import urllib.error
-        import urllib.request
-        from datetime import UTC, datetime
-
-        message, name, status, tries = "unknown", "unknown_error", None, 0
-        for tries in range(1, self.retries + 1):
-            time.sleep(self.delay)
-            try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": self.agent}), timeout=self.timeout) as r:
-                    if r.status != 200 and self.mode != "once":
-                        raise urllib.error.HTTPError(url, r.status, r.reason, r.headers, None)
-                    body = r.read()
-                    page = None if self.binary else body.decode(r.headers.get_content_charset() or "utf-8", "replace")
-                    return url, r.status, page, body if self.binary else None, True, None, None, tries, datetime.now(UTC).isoformat()
-            except Exception as e:
-                kind, status = error_class(e)
-                message, name = f"HTTP error: {status}" if kind == "response" else f"Error: {e}", error_type(kind, status)
-                if self.mode == "exponential" and not (kind in ("connection", "timeout") or kind == "response" and 500 <= status < 600):
-                    break
-            if tries < self.retries:
-                time.sleep(self._wait(tries))
-        return url, status, None, None, False, message, name, tries, datetime.now(UTC).isoformat()
-
     def read(self, partition):
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(max(1, self.concurrency)) as pool:
-            yield from pool.map(self.fetch, partition.urls)
+            yield from pool.map(self.fetcher.fetch, partition.urls)
 
 
 class WebSource(DataSource):
@@ -273,7 +212,7 @@ class WebSource(DataSource):
 
 
 def fetched(spark: SparkSession, urls: list[str], **options: object) -> DataFrame:
-    """One row of FETCHED for each url."""
+    """One row of FETCHED for each url of a short list; for a table see `fetching.fetch_table`."""
     spark.dataSource.register(WebSource)
     return spark.read.format("pages").options(urls="\n".join(urls), **options).load()
 
