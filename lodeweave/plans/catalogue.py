@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +13,9 @@ from lodeweave.operators import cache as C
 from lodeweave.functions import mail as M
 from lodeweave.operators import chunks, crawl, dedupe, metrics, reports, retrieval
 from lodeweave.plans import ingest
+from lodeweave.plans import stores
 from lodeweave.plans import tables as D
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from lodeweave.plans.registry import ORACLE_SQL, QUERIES, query
 
 def now():
     return F.lit(D.NOW).cast("timestamp")
@@ -174,6 +160,7 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.near_pairs(rows).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
+ORACLE_SQL["minhash_recall"] = f"SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS wrong, true AS reached FROM ({ORACLE_SQL['near_dup_pairs']})"
 _GREEDY = f"""WITH RECURSIVE f AS (SELECT doc_id, {D.sql_strip('lower(text)')} AS h, {D.sql_words('lower(text)')} AS w FROM documents), c AS (SELECT doc_id, {D.sql_words('lower(text[1:5000])')} AS w FROM documents),
     a AS (SELECT doc_id, h, {_SHINGLES} AS s FROM f), b AS (SELECT doc_id, {_SHINGLES} AS s FROM c),
     x AS (SELECT doc_id AS i, len(s) AS n, unnest(s) AS g FROM a), y AS (SELECT doc_id AS j, len(s) AS m, unnest(s) AS g FROM b),
@@ -205,12 +192,10 @@ def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GREEDY} SELECT id, CASE WHEN reason = 'near_duplicate' THEN printf('near_duplicate_%.2f', jaccard) ELSE reason END AS duplicate_reason, duplicate_of FROM greedy WHERE NOT is_unique")
 def dedupe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table in two batches, the second judged against what the first accepted."""
-    docs = _contents(spark, sf_dir)
-    middle = docs.agg(F.max("id")).first()[0] // 2
-    _, first, accepted = dedupe.batch(docs.where(F.col("id") <= middle))
-    _, second, _ = dedupe.batch(docs.where(F.col("id") > middle), accepted)
-    return first.unionByName(second).select("id", "duplicate_reason", "duplicate_of")
+    """The table in batches, each judged against what an index on disk holds of those before it."""
+    judged = stores.batches_through_an_index(spark, _contents(spark, sf_dir)).where("NOT is_unique")
+    detail = F.when(F.col("reason") == "near_duplicate", F.format_string("near_duplicate_%.2f", "jaccard")).otherwise(F.col("reason"))
+    return judged.select("id", detail.alias("duplicate_reason"), "duplicate_of")
 
 
 @query(f"{_GREEDY} SELECT 'duplicate_' || reason AS name, count(*) AS cnt FROM greedy WHERE NOT is_unique GROUP BY 1 UNION ALL SELECT 'duplicates_removed', count(*) FROM greedy WHERE NOT is_unique")

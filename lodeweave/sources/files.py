@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodeweave.sources.buckets import Versions
 from lodeweave.sources.fetching import FETCHED, Fetcher
 
 SCRAPED = "url string, title string, content string, metadata map<string,string>, timestamp string, success boolean, error_message string"
@@ -67,33 +69,41 @@ def delete_source(spark: SparkSession, path: str, source_url: str, to: str) -> N
     open_store(spark, path).where(~F.col("source_url").eqNullSafe(F.lit(source_url))).write.mode("overwrite").partitionBy("collection").parquet(to)
 
 
+#: Additions beside a version of a store before they are folded into a new one.
+ADDITIONS = 8
+
+
 class ParquetStore:
-    """A store in versions v0, v1, ... below a folder: what is read is never overwritten, and the largest finished version holds."""
+    """A store in versions v0, v1, ... below a folder, and additions v0.1, v0.2, ... beside the one that holds.
+
+    Each is a folder that counts once it is whole: a failed or concurrent write is never read half-done, and what is read is
+    never overwritten.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.versions = spark, Versions(spark, path)
 
-    def _versions(self) -> list[int]:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not system.exists(folder):
-            return []
-        names = [s.getPath() for s in system.listStatus(folder)]
-        done = [p.getName() for p in names if system.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if re.fullmatch(r"v\d+", n))
+    def _folders(self) -> list[str]:
+        base = self.versions.base()
+        return [] if base is None else [f"{self.versions.path}/v{base}", *self.versions.additions()]
 
     def rows(self, collection: str | None = None) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], STORE)
-        return open_store(self.spark, f"{self.path}/v{versions[-1]}", collection)
+        parts = [open_store(self.spark, p, collection) for p in self._folders()]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], STORE)
+
+    def _save(self, rows: DataFrame, to: str) -> None:
+        rows.select(*[f.split()[0] for f in STORE.split(", ")]).write.mode("overwrite").partitionBy("collection").parquet(to)
 
     def add(self, rows: DataFrame) -> int:
         """Rows whose id the collection doesn't hold yet are added; returns how many."""
-        versions = self._versions()
-        if versions:
-            return add_to_store(rows, f"{self.path}/v{versions[-1]}", exists=True)
-        return add_to_store(rows, f"{self.path}/v0", exists=False)
+        rows = rows.dropDuplicates(["collection", "id"])
+        if folders := self._folders():
+            rows = rows.join(self.rows().select("collection", "id"), ["collection", "id"], "left_anti")
+        to = self.versions.next_addition() if folders else self.versions.next_base()
+        self._save(rows, to)
+        if len(self.versions.additions()) >= ADDITIONS:
+            self._save(self.rows(), self.versions.next_base())
+        return open_store(self.spark, to).count()
 
     def search(self, query: list[float], k: int = 10, where: Column | None = None, threshold: float = 0.1) -> DataFrame:
         from lodeweave.operators.retrieval import search
@@ -101,9 +111,8 @@ class ParquetStore:
         return search(self.rows(), query, k, where, threshold)
 
     def delete_by_source(self, source_url: str) -> None:
-        versions = self._versions()
-        if versions:
-            delete_source(self.spark, f"{self.path}/v{versions[-1]}", source_url, f"{self.path}/v{versions[-1] + 1}")
+        if self._folders():
+            self._save(self.rows().where(~F.col("source_url").eqNullSafe(F.lit(source_url))), self.versions.next_base())
 
     def count(self) -> int:
         return self.rows().count()
