@@ -52,8 +52,7 @@ class DocumentWriter(DataSourceArrowWriter):
 
         system, root = self._system()
         context = TaskContext.get()
-        folder = f"{root}/_staging-{self.run}"
-        system.create_dir(folder, recursive=True)
+        folder = f"{root}/_staging-{self.run}"  # made before the tasks began: one that comes late to a failed run doesn't bring it back
         name, rows = f"part-{context.partitionId():06d}-{uuid.uuid4().hex}.json", 0
         with system.open_output_stream(f"{folder}/{name}") as out:
             for batch in iterator:
@@ -127,7 +126,10 @@ class DocumentSink(DataSource):
         return "document"
 
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(dict(self.options.items()), overwrite)
+        writer = DocumentWriter(dict(self.options.items()), overwrite)
+        system, root = writer._system()
+        system.create_dir(f"{root}/_staging-{writer.run}", recursive=True)
+        return writer
 
 
 def write_document(df: DataFrame, path: str, form: str = "auto", head: dict | None = None, overwrite: bool = True) -> None:
