@@ -24,12 +24,14 @@ gives an empty result; other columns are left behind.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeweave.llm import text
 from lodeweave.llm.shared import discard, tidy, unused, written
@@ -61,6 +63,30 @@ class FingerprintIndex:
         self.known: list[DataFrame] = []
         self.covered: list[DataFrame] = []
 
+    def save(self, folder: str) -> None:
+        """Write down what the index is made of, in a folder that all can read: its tables stay where they are, and batches that were never written are.
+
+        The list of tables comes last, as a new version; `open` takes the largest finished one.
+        """
+        spark = self.runs[0].sparkSession
+        self.docs = [df if _is_written(df) else written(df, "batch") for df in self.docs]
+        listed = [(kind, k, _folder_of(df), df.schema.json()) for kind in ("runs", "docs", "known", "covered") for k, df in enumerate(getattr(self, kind))]
+        listed += [("keys", k, str(key), "") for k, key in enumerate(self.keys)]
+        found = _saved(spark, folder)
+        spark.createDataFrame(listed, "kind string, place int, path string, schema string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index={found[-1] + 1 if found else 0}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index as it was saved last; its keys go on, so that new hashes meet the old ones."""
+        found = _saved(spark, folder)
+        if not found:
+            raise ValueError(f"no index in {folder}")
+        index, rows = cls(), sorted(spark.read.parquet(f"{folder}/index={found[-1]}").collect(), key=lambda r: (r.kind, r.place))
+        index.keys = tuple(int(r.path) for r in rows if r.kind == "keys")
+        for kind in ("runs", "docs", "known", "covered"):
+            setattr(index, kind, [spark.read.schema(T.StructType.fromJson(json.loads(r.schema))).parquet(r.path) for r in rows if r.kind == kind])
+        return index
+
     def add(self, hashes: DataFrame) -> DataFrame:
         """Write the hashes (column a) of a batch as a new run, which is returned, and compact if there are too many."""
         counted = hashes.groupBy(F.col("a").alias("hash")).agg(F.count("*").alias("n"))
@@ -88,6 +114,26 @@ class FingerprintIndex:
         return rows.join(often, F.col("a") == F.col("hash")).drop("hash")
 
 
+def _folder_of(df: DataFrame) -> str:
+    """Where a table that `written` made lies."""
+    return df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().head().toString()
+
+
+def _is_written(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def _saved(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of a saved index that were written to their end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath() for s in system.listStatus(path)]
+    return sorted(int(p.getName()[6:]) for p in names if p.getName().startswith("index=") and system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def stretches(words: np.ndarray, rows: np.ndarray, window: int = WINDOW, short: int = ANCHOR_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts whose word hashes are words[rows[i]:rows[i + 1]]: anchor hashes, first windows, numbers of windows, and the texts' offsets among them."""
     grams = text.sequences(words, short)

@@ -105,6 +105,27 @@ def test_substrings_in_batches(spark):
     assert {r.doc_id for r in known.collect()} == {2, 3}
 
 
+def test_substring_index_on_disk(spark, tmp_path):
+    """Seven batches through an index that is saved and opened anew between them have the result of one pass; runs are compacted on the way."""
+    rows = make_docs(6)
+    folder = f"file://{tmp_path}/index"
+    with pytest.raises(ValueError, match="no index"):
+        substrings.FingerprintIndex.open(spark, folder)
+    cut, known = None, {}
+    for k in range(7):
+        index = substrings.FingerprintIndex() if k == 0 else substrings.FingerprintIndex.open(spark, folder)
+        part = spark.createDataFrame(rows[k::7], SCHEMA)
+        summary, cut = substrings.repeats(part, 12, index, batches=1)
+        for r in summary.collect():
+            known.setdefault((r.doc_id, r.th), []).append((r.n_words, bytes(r.digest).hex()))
+        index.save(folder)
+        (tmp_path / "index" / f"index={k + 1}").mkdir(exist_ok=True)  # as a driver that was killed leaves it
+    assert len(index.runs) <= substrings.MAX_RUNS
+    lost = {(r.doc_id, r.th): (r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in cut.collect()}
+    got = [(key[0], n, *lost.get(key, (0, digest))) for key, several in known.items() for n, digest in several]
+    assert sorted(got, key=repr) == removal_spec(rows, 12)
+
+
 def syncmers(data, k, s):
     """The hashes of the closed syncmers of a text, one k-mer after another."""
     small = lambda i: int(text.short_grams(np.frombuffer(data[i : i + s], np.uint8), s)[0]) >> 32
