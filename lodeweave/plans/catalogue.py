@@ -515,13 +515,38 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.store_statistics(_stored(spark, sf_dir), retrieval.StoreConfig())
 
 
-@query()
+def _sql_sentences(x: str) -> str:
+    """The chunks of a paragraph that is too long, as a fold over its sentences."""
+    pieces = f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?]){D.WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda y: {D.sql_strip('y')}), lambda y: y <> '')"
+    full = "a.used + b.used > 1500"
+    fold = f"""list_reduce(list_transform({pieces}, lambda y: {{'done': CAST([] AS VARCHAR[]), 'now': [y], 'used': length(y)}}), lambda a, b: {{'done': CASE WHEN {full} THEN list_append(a.done, array_to_string(a.now, ' ')) ELSE a.done END,
+        'now': CASE WHEN {full} THEN [right(a.now[-1], 300), b.now[1]] ELSE list_append(a.now, b.now[1]) END, 'used': CASE WHEN {full} THEN length(right(a.now[-1], 300)) + b.used ELSE a.used + b.used END}})"""
+    return f"list_transform([{fold}], lambda s: list_append(s.done, array_to_string(s.now, ' ')))[1]"
+
+
+def _sql_paragraphs(x: str) -> str:
+    """The chunks of a text by paragraphs, as a fold over them; what is left at the end joins the chunk before if it is short."""
+    own = f"list_transform(list_filter(list_transform(string_split(regexp_replace({x}, '\\n{D.WS}*\\n', chr(1), 'g'), chr(1)), lambda p: {D.sql_strip('p')}), lambda p: p <> ''), lambda p: {{'done': CASE WHEN length(p) > 1500 THEN {_sql_sentences('p')} ELSE CAST([] AS VARCHAR[]) END, 'now': [p], 'used': length(p)}})"
+    long_, full = "b.used > 1500", "len(a.now) > 0 AND a.used + b.used > 1500"
+    closed = "CASE WHEN len(a.now) > 0 THEN list_append(a.done, array_to_string(a.now, chr(10) || chr(10))) ELSE a.done END"
+    fold = f"""list_reduce({own}, lambda a, b: {{'done': CASE WHEN {long_} THEN list_concat({closed}, b.done) WHEN {full} THEN {closed} ELSE a.done END,
+        'now': CASE WHEN {long_} THEN CAST([] AS VARCHAR[]) WHEN {full} THEN [right(a.now[-1], 300), b.now[1]] ELSE list_append(a.now, b.now[1]) END,
+        'used': CASE WHEN {long_} THEN 0 WHEN {full} THEN length(right(a.now[-1], 300)) + b.used ELSE a.used + b.used END}}, {{'done': CAST([] AS VARCHAR[]), 'now': CAST([] AS VARCHAR[]), 'used': 0}})"""
+    tail = "array_to_string(s.now, chr(10) || chr(10))"
+    return f"list_transform([{fold}], lambda s: CASE WHEN len(s.now) = 0 THEN s.done WHEN length({tail}) >= 200 THEN list_append(s.done, {tail}) WHEN len(s.done) > 0 THEN list_append(s.done[:-2], s.done[-1] || chr(10) || chr(10) || {tail}) ELSE s.done END)[1]"
+
+
+def _sql_chunk_rows(made: str, text: str) -> str:
+    return f"WITH t AS (SELECT doc_id, {text} AS text FROM documents), c AS (SELECT doc_id, {made} AS c FROM t) SELECT doc_id, unnest(c) AS text, CAST(NULL AS VARCHAR) AS header, 0 AS header_level, CAST(unnest(range(len(c))) AS INTEGER) AS chunk_index, CAST(len(c) AS INTEGER) AS total FROM c"
+
+
+@query(_sql_chunk_rows(_sql_paragraphs("text"), D.sql_clean("text")))
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.docs(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
     return chunks.exploded(rows, "text", preserve_headers=False)
 
 
-@query()
+@query(_sql_chunk_rows(_sql_paragraphs("text"), "replace(text, chr(10), chr(10) || chr(10))"))
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     return chunks.exploded(rows, "text", preserve_headers=False)
@@ -544,34 +569,58 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 
 
-def _marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages with a link, an image and keywords put behind them: the tables' own pages have links in menus only, which don't count."""
-    n = F.col("page_id").cast("string")
-    more = F.concat(F.lit('<p><a href="/page/'), n, F.lit('?a=1#b"> more </a><img src="pic.png" alt="A"></p><meta name="keywords" content="a, b,'), n, F.lit('">'))
-    return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf(F.col("url"), F.concat("html", more)).alias("p"))
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as pages: of their words some are links and some pictures, beside a menu and an advert that don't count."""
+    escaped = lambda w: F.replace(F.replace(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    name = lambda w: F.left(F.md5(w), F.lit(6))
+    link = lambda w: F.concat(F.lit('<a class="x" href="/'), name(w), F.lit("?d=1&amp;e=2#part\"> "), escaped(w), F.lit(" </a>"))
+    picture = lambda w: F.concat(F.lit('<img src="pics/'), name(w), F.lit('.png" alt="'), escaped(w), F.lit('">'))
+    part = lambda w, i: F.when(i % 13 == 5, link(w)).when(i % 17 == 3, picture(w)).otherwise(escaped(w))
+    words = T.words(F.col("text"))
+    body = F.array_join(F.transform(words, part), " ")
+    keywords = F.array_join(F.transform(F.slice(words, 1, 3), escaped), ",")
+    html = F.concat(F.lit('<html><head><meta name="keywords" content="'), keywords, F.lit('"></head><body><nav><a href="/menu">m</a></nav><div class="ads"><img src="a.gif"></div><p>'), body, F.lit("</p></body></html>"))
+    url = F.concat(F.lit("https://host.test/dir/"), F.col("doc_id").cast("string"))
+    return D.docs(spark, sf_dir).select("doc_id", url.alias("url"), html.alias("html"))
 
 
-@query(f"SELECT page_id, 0 AS place, {_ORIGIN} || '/page/' || page_id || '?a=1#b' AS url, 'more' AS text FROM pages")
+def _sql_marked(every: int, at: int) -> str:
+    """(doc_id, n, w): the words of the documents whose place leaves `at`, and how many such are before."""
+    return f"""words AS (SELECT doc_id, {D.sql_words('text')} AS w FROM documents),
+    marked AS (SELECT doc_id, unnest(list_filter(w, lambda x, i: (i - 1) % {every} = {at})) AS w, unnest(range(len(list_filter(w, lambda x, i: (i - 1) % {every} = {at})))) AS n FROM words)"""
+
+
+@query(f"WITH {_sql_marked(13, 5)} SELECT doc_id, CAST(n AS INTEGER) AS place, 'https://host.test/' || md5(w)[1:6] || '?d=1&e=2#part' AS url, w AS text FROM marked")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked_pages(spark, sf_dir).select("page_id", F.posexplode("p.links").alias("place", "l")).select("page_id", "place", "l.url", "l.text")
+    pages = _linked_pages(spark, sf_dir).select("doc_id", H.extract_udf("url", "html").alias("p"))
+    return pages.select("doc_id", F.posexplode("p.links").alias("place", "l")).select("doc_id", "place", "l.url", "l.text")
 
 
-@query(f"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || 'pic.png' AS url, 'A' AS alt FROM pages")
+@query(f"WITH words AS (SELECT doc_id, {D.sql_words('text')} AS w FROM documents), marked AS (SELECT doc_id, unnest(list_filter(w, lambda x, i: (i - 1) % 17 = 3 AND (i - 1) % 13 <> 5)) AS w FROM words) SELECT doc_id, 'https://host.test/dir/pics/' || md5(w)[1:6] || '.png' AS url, w AS alt FROM marked")
 def html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked_pages(spark, sf_dir).select("page_id", F.explode("p.images").alias("i")).select("page_id", "i.url", "i.alt")
+    pages = _linked_pages(spark, sf_dir).select("doc_id", H.extract_udf("url", "html").alias("p"))
+    return pages.select("doc_id", F.explode("p.images").alias("i")).select("doc_id", "i.url", "i.alt")
 
 
-@query("SELECT page_id, 'a| b|' || page_id AS keywords, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM pages")
+@query(f"WITH words AS (SELECT doc_id, {D.sql_words('text')} AS w FROM documents) SELECT doc_id, replace(array_to_string(w[1:3], ','), ',', '|') AS keywords, 'host.test' AS domain FROM words")
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked_pages(spark, sf_dir).select("page_id", F.array_join("p.keywords", "|").alias("keywords"), "p.domain")
+    pages = _linked_pages(spark, sf_dir).select("doc_id", H.extract_udf("url", "html").alias("p"))
+    return pages.select("doc_id", F.array_join("p.keywords", "|").alias("keywords"), "p.domain")
+
+
+#: The pages' own links by SQL: what stands in href, behind comments and scripts.
+_HREFS = """bare AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS html FROM pages),
+    hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM bare)"""
 
 
-@query(f"SELECT page_id, {_ORIGIN} || '/page/' || page_id || '?a=1' AS link, 'page' AS kind FROM pages")
+_LED = f"{_HREFS}, led AS (SELECT DISTINCT page_id, {_ORIGIN} || regexp_replace(href, '#.*$', '') AS link FROM hrefs)"
+
+
+@query(f"WITH {_LED}, k AS (SELECT *, CASE WHEN lower(link) LIKE '%.pdf' THEN 'pdf' WHEN NOT ({' OR '.join(f'regexp_matches(lower(link), {D.quoted(p)})' for p in U.EXCLUDED)}) THEN 'page' END AS kind FROM led) SELECT * FROM k WHERE kind IS NOT NULL")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a crawl follows from each page's added link; a page's own menu links go to other addresses."""
-    n = F.col("page_id").cast("string")
-    pages = D.table(spark, sf_dir, "pages").select("page_id", "url", H.crawl_links_udf(F.col("url"), F.concat(F.lit('<a href="/page/'), n, F.lit('?a=1#b">x</a>'))).alias("links"))
-    return pages.select("page_id", F.explode("links").alias("link"), F.lit("page").alias("kind"))
+    """What a crawl of each page's own host follows of the page's links, and what kind it is."""
+    links = D.table(spark, sf_dir, "pages").select("page_id", "url", F.explode(H.crawl_links_udf("url", "html")).alias("link"))
+    return links.select("page_id", "link", U.link_kind(F.col("link"), [U.netloc(F.col("url"))]).alias("kind")).where("kind IS NOT NULL")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '{\"lang\":\"' || lang || '\"}' END AS metadata FROM documents")
@@ -586,7 +635,7 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", T.clean_text(H.cleaned_udf("html")).alias("text"))
 
 
-@query()
+@query(f"WITH {_LED} SELECT * FROM led")
 def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", F.explode(H.crawl_links_udf("url", "html")).alias("link"))
 
@@ -823,6 +872,11 @@ def mail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", M.wrapped_subject(F.col("source")).alias("subject"), M.wrapped_body(F.col("lang"), F.lit("a@host.test")).alias("body"), M.is_configured(settings).alias("configured"))
 
 
-@query("SELECT page_id, url || '/a/b?x=1' AS joined FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS url FROM pages)")
+@query(f"WITH {_HREFS} SELECT page_id, href, {_ORIGIN} || href AS joined, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || 'sub' || href AS below FROM hrefs")
 def joined_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "pages").select("page_id", H.urljoin_udf(F.col("url"), F.lit("/a/b?x=1")).alias("joined"))
+    """The pages' own links joined with their addresses: as they are, which begin with a slash, and as names below the page's folder."""
+    raw = F.col("html")
+    for pattern in ("(?s)<!--.*?-->", "(?s)<(script|style)[^>]*>.*?</(script|style)>"):
+        raw = F.regexp_replace(raw, pattern, "")
+    rows = D.table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all(raw, F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
+    return rows.select("page_id", "href", H.urljoin_udf("url", "href").alias("joined"), H.urljoin_udf(F.col("url"), F.concat(F.lit("sub"), "href")).alias("below"))
