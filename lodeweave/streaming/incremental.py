@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodeweave.functions import text as T
+from lodeweave.operators.cache_table import CacheTable
 
 
 def unique_pages(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -58,6 +59,11 @@ def upsert_cache(stream: DataFrame, path: str, checkpoint: str, order: list[str]
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def upsert_table(stream: DataFrame, table: CacheTable, checkpoint: str):
+    """Every micro-batch is put into a cache that is laid out by url and compacts itself; a batch that runs again puts the same rows, which changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, epoch: table.put(batch)).option("checkpointLocation", checkpoint)
+
+
 def current(cache: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The cache as it stands: of a history (with its column batch) the last row of each url; of equal times the later batch holds."""
     from lodeweave.operators import cache as C
