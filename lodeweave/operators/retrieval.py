@@ -6,13 +6,12 @@ the limit and thresholds after it.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,25 +44,44 @@ class StoreConfig:
             raise ValueError("stores don't go under output/vector_db")
 
 
-def _hashed(text: str | None, dim: int) -> list[float]:
-    v = np.zeros(dim, np.float32)
-    for word in (text or "").lower().split():
-        h = zlib.crc32(word.encode())
-        v[h % dim] += 1.0 if h >> 31 else -1.0
-    n = float(np.linalg.norm(v))
-    return (v / n if n else v).tolist()
+def _word_hash(word: Column) -> Column:
+    """The first 32 bits of a word's md5, as a whole number."""
+    return F.conv(F.left(F.md5(word), F.lit(8)), 16, 10).cast("long")
 
 
 def hashing_embedder(dim: int = 384):
-    """A deterministic stand-in for a model: signed word hashes, of length one. It has no sense of meaning."""
+    """A deterministic stand-in for a model: signed word hashes, of length one. It has no sense of meaning.
+
+    Words are split and hashed in SQL; a batch of texts is counted into its vectors at once. Texts that are null or
+    without words give a vector of zeros.
+    """
+
+    @F.arrow_udf("array<float>")
+    def counted(hashes: pa.Array) -> pa.Array:
+        h = hashes.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(hashes)), np.diff(hashes.offsets.to_numpy()))
+        v = np.bincount(row * dim + h % dim, np.where(h >> 31, 1.0, -1.0), len(hashes) * dim).reshape(-1, dim)
+        n = np.sqrt(np.einsum("ij,ij->i", v, v))
+        v /= np.where(n > 0, n, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dim), pa.array(v.astype(np.float32).ravel()))
 
-    @F.pandas_udf("array<float>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _hashed(t, dim))
+    def encode(text: Column | str) -> Column:
+        body = F.col(text) if isinstance(text, str) else text
+        return counted(F.transform(T.words(F.coalesce(F.lower(body), F.lit(""))), _word_hash))
 
     return encode
 
 
+def hashed_question(text: str | None, dim: int = 384) -> list[float]:
+    """What `hashing_embedder` makes of one text, for a question that the driver holds."""
+    v = np.zeros(dim)
+    for word in (text or "").lower().split():
+        h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        v[h % dim] += 1.0 if h >> 31 else -1.0
+    n = float(np.sqrt(v @ v))
+    return (v / n if n else v).astype(np.float32).tolist()
+
+
 #: Embedding providers by name; register others here.
 PROVIDERS: dict[str, Callable] = {"hashing": hashing_embedder}
 

@@ -75,7 +75,10 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).groupBy("collection").agg(F.count("*").alias("document_count"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, unnest({D.sql_words('lower(text)')}) AS w FROM documents), h AS (SELECT doc_id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM w),
+    v AS (SELECT doc_id, h % 64 AS d, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY doc_id),
+    s AS (SELECT v.doc_id AS id, sum(v.x * q.x) / any_value(a.n) / any_value(b.n) AS score FROM v JOIN v q ON q.doc_id = 0 AND q.d = v.d JOIN n a ON a.doc_id = v.doc_id JOIN n b ON b.doc_id = 0 WHERE a.n > 0 AND b.n > 0 GROUP BY v.doc_id)
+    SELECT id, round(score, 4) AS score FROM s WHERE score >= 0.1 ORDER BY s.score DESC, id LIMIT 10""")
 def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents embedded by the default provider, and the nearest to document 0's text."""
     embed = retrieval.PROVIDERS["hashing"](64)
@@ -120,8 +123,15 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.docs(spark, sf_dir).select("doc_id", F.md5(T.trim_snippet(F.col("text"), gate=300)).alias("digest"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, array_to_string(list_filter(flatten(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda l: list_transform(string_split({D.sql_strip('l')}, '  '), lambda x: {D.sql_strip('x')}))), lambda x: x <> ''), chr(10)) AS t FROM documents)
-    SELECT doc_id, md5(CASE WHEN length(t) > 2000 THEN t[1:2000] || '... (Text gekürzt)' ELSE t END) AS digest FROM p""")
+def _sql_page_text(key: str, texts: str) -> str:
+    """(key, t): the phrases of a table's texts on lines of their own, as CTE p."""
+    return f"""p AS (SELECT {key}, array_to_string(list_filter(flatten(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda l: list_transform(string_split({D.sql_strip('l')}, '  '), lambda x: {D.sql_strip('x')}))), lambda x: x <> ''), chr(10)) AS t FROM {texts})"""
+
+
+_CUT = "CASE WHEN length(t) > 2000 THEN t[1:2000] || '... (Text gekürzt)' ELSE t END"
+
+
+@query(f"WITH {_sql_page_text('doc_id', 'documents')} SELECT doc_id, md5({_CUT}) AS digest FROM p")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.docs(spark, sf_dir).select("doc_id", F.md5(T.page_text(F.col("text"))).alias("digest"))
 
@@ -552,7 +562,18 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exploded(rows, "text", preserve_headers=False)
 
 
-@query()
+def _sql_sections(keys: str, texts: str) -> str:
+    """(keys, text, header, header_level, chunk_index, total) of the sections below header lines, chunk by chunk, as CTE headed."""
+    head = f"'^(#+){D.WS}+(.+)$'"
+    return f"""lined AS (SELECT {keys}, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM {texts}),
+    sectioned AS (SELECT *, regexp_matches(line, {head}) AS heads, count(*) FILTER (regexp_matches(line, {head})) OVER (PARTITION BY {keys} ORDER BY n) AS part FROM lined),
+    sections AS (SELECT {keys}, part, max(CASE WHEN heads THEN regexp_extract(line, {head}, 2) END) AS header, coalesce(max(CASE WHEN heads THEN length(regexp_extract(line, {head}, 1)) END), 0) AS header_level,
+        {D.sql_strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT heads), '')")} AS text FROM sectioned GROUP BY {keys}, part),
+    cut AS (SELECT {keys}, header, header_level, {_sql_paragraphs('text')} AS c FROM sections),
+    headed AS (SELECT {keys}, unnest(c) AS text, header, CAST(header_level AS INTEGER) AS header_level, CAST(unnest(range(len(c))) AS INTEGER) AS chunk_index, CAST(len(c) AS INTEGER) AS total FROM cut)"""
+
+
+@query(f"WITH t AS (SELECT doc_id, replace(text, chr(10), chr(10) || '# Part' || chr(10)) AS text FROM documents), {_sql_sections('doc_id', 't')} SELECT * FROM headed")
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", "\n# Part\n"))
     return chunks.exploded(rows, "text")
@@ -561,7 +582,46 @@ def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages
 
 
-@query()
+#: Elements without content, in SQL.
+_VOID = ", ".join(D.quoted(t) for t in sorted(H.VOID))
+
+
+def _sql_tree(removed: list[str]) -> str:
+    """The pages' elements and strings by SQL, without what is removed: a fold over the tags pairs starts with ends."""
+    tags = ", ".join(D.quoted(s) for s in removed if not s.startswith("."))
+    classes = ", ".join(D.quoted(s[1:]) for s in removed if s.startswith("."))
+    marked = f" OR list_has_any(classes, [{classes}])" if classes else ""
+    return f"""bits AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<!--.*?-->|<(?:script|style)\\b[^>]*>.*?</(?:script|style)>|<[^>]*>|[^<]+') AS bits FROM pages),
+    tags AS (SELECT page_id, bits, list_filter(list_transform(bits, lambda b, i: {{'open': [{{'i': i, 't': lower(regexp_extract(b, '^</?([A-Za-z][A-Za-z0-9]*)', 1))}}], 'shut': CAST([] AS STRUCT(i BIGINT, j BIGINT)[]), 'ends': b LIKE '</%'}}),
+        lambda x: x.open[1].t NOT IN ('', 'script', 'style', {_VOID})) AS tags FROM bits),
+    paired AS (SELECT page_id, bits, list_reduce(tags, lambda a, b: CASE WHEN NOT b.ends THEN {{'open': list_append(a.open, b.open[1]), 'shut': a.shut, 'ends': false}}
+        WHEN list_contains(list_transform(a.open, lambda x: x.t), b.open[1].t) THEN {{'open': a.open[:len(a.open) - list_position(list_reverse(list_transform(a.open, lambda x: x.t)), b.open[1].t)],
+            'shut': list_concat(a.shut, list_transform(a.open[len(a.open) - list_position(list_reverse(list_transform(a.open, lambda x: x.t)), b.open[1].t) + 1:], lambda x: {{'i': x.i, 'j': b.open[1].i}})), 'ends': false}}
+        ELSE a END, {{'open': CAST([] AS STRUCT(i BIGINT, t VARCHAR)[]), 'shut': CAST([] AS STRUCT(i BIGINT, j BIGINT)[]), 'ends': false}}) AS s FROM tags),
+    spans AS (SELECT page_id, bits, unnest(list_concat(s.shut, list_transform(s.open, lambda x: {{'i': x.i, 'j': CAST(1000000000 AS BIGINT)}}))) AS e FROM paired),
+    every AS (SELECT page_id, e.i AS i, e.j AS j, lower(regexp_extract(bits[e.i], '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, string_split(regexp_extract(bits[e.i], 'class="([^"]*)"', 1), ' ') AS classes, regexp_extract(bits[e.i], 'role="([^"]*)"', 1) AS role FROM spans),
+    gone AS (SELECT * FROM every WHERE tag IN ({tags}){marked}),
+    elements AS (SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.page_id = e.page_id AND e.i BETWEEN g.i AND g.j)),
+    parts AS (SELECT page_id, unnest(bits) AS b, unnest(range(1, len(bits) + 1)) AS i FROM bits),
+    strings AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(replace(b, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t
+        FROM parts p WHERE b NOT LIKE '<%' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.page_id = p.page_id AND p.i BETWEEN g.i AND g.j))"""
+
+
+_EXTRACT = f"""{_sql_tree(H.EXTRACT_EXCLUDED)},
+    texts_of AS (SELECT e.page_id, e.i, e.tag, e.classes, coalesce(string_agg({D.sql_strip('s.t')}, '' ORDER BY s.i), '') AS t FROM elements e LEFT JOIN strings s ON s.page_id = e.page_id AND s.i BETWEEN e.i AND e.j GROUP BY ALL),
+    bodies AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS content FROM texts_of WHERE t <> '' AND (tag IN ('article', 'main', 'p') OR list_has_any(classes, ['content', 'post'])) GROUP BY page_id),
+    titles AS (SELECT page_id, arg_min(t, i) AS title FROM texts_of WHERE tag IN ('title', 'h1') GROUP BY page_id),
+    counts AS (SELECT page_id, CAST(len({D.sql_words("string_agg(t, '' ORDER BY i)")}) AS INTEGER) AS word_count FROM strings GROUP BY page_id),
+    extracted AS (SELECT page_id, url, coalesce(title, '') AS title, coalesce(content, '') AS content, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, coalesce(word_count, 0) AS word_count,
+        nullif(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '') AS description FROM pages LEFT JOIN titles USING (page_id) LEFT JOIN bodies USING (page_id) LEFT JOIN counts USING (page_id))"""
+
+_MAIN = f"""{_sql_tree(H.CLEAN_REMOVED)},
+    main AS (SELECT page_id, arg_min(i, place) AS i, arg_min(j, place) AS j FROM (SELECT *, CASE WHEN tag = 'main' THEN 0 WHEN tag = 'article' THEN 1 WHEN role = 'main' THEN 2 WHEN tag = 'body' THEN 3 END * CAST(1000000000 AS BIGINT) + i AS place FROM elements) WHERE place IS NOT NULL GROUP BY page_id),
+    lines AS (SELECT p.page_id, string_agg(s.t, chr(10) ORDER BY s.i) AS t FROM pages p LEFT JOIN main m USING (page_id) LEFT JOIN strings s ON s.page_id = p.page_id AND s.i BETWEEN coalesce(m.i, 0) AND coalesce(m.j, 1000000000) GROUP BY p.page_id)"""
+_VISIBLE = f"""{_sql_tree(['script', 'style'])}, seen AS (SELECT p.page_id, coalesce(string_agg(s.t, '' ORDER BY s.i), '') AS text FROM pages p LEFT JOIN strings s USING (page_id) GROUP BY p.page_id)"""
+
+
+@query(f"WITH {_EXTRACT} SELECT page_id, title, content, domain, word_count, description FROM extracted")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", H.extract_udf("url", "html").alias("p")).select("page_id", "p.title", "p.content", "p.domain", "p.word_count", "p.description")
 
@@ -630,7 +690,7 @@ def metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", C.metadata_text(F.when(F.col("doc_id") % 3 == 0, empty).otherwise(filled)).alias("metadata"))
 
 
-@query()
+@query(f"WITH {_MAIN} SELECT page_id, {D.sql_clean(D.sql_strip('t'))} AS text FROM lines")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", T.clean_text(H.cleaned_udf("html")).alias("text"))
 
@@ -640,7 +700,7 @@ def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", F.explode(H.crawl_links_udf("url", "html")).alias("link"))
 
 
-@query()
+@query(f"WITH {_VISIBLE}, {_sql_page_text('page_id', 'seen')} SELECT page_id, {_CUT} AS text FROM p")
 def page_tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", T.page_text(H.visible_text_udf("html")).alias("text"))
 
@@ -658,12 +718,27 @@ def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The whole pipeline
 
 
-@query()
+#: Scraped pages, and the store's rows of a table of pages (page_id, url, title, content), by SQL.
+_SCRAPED = f"{_EXTRACT}, scraped AS (SELECT page_id, url, title, {D.sql_clean('content')} AS content, content <> '' AS success FROM extracted)"
+
+
+def _sql_store_rows(pages: str) -> str:
+    made = f"""texts AS (SELECT {{'url': url || '#chunk_' || chunk_index, 'title': title || ' (Teil ' || (chunk_index + 1) || '/' || total || ')', 'category': {D.sql_first_match('lower(url)', [(k, c) for c, k in U.CATEGORIES.items()], U.NO_CATEGORY)}}} AS key, text
+        FROM headed WHERE {D.sql_strip('text')} <> '')"""
+    return f"""good AS (SELECT page_id, url, title, content AS text FROM {pages} WHERE success), {_sql_sections('page_id, url, title', 'good')}, {made}, {_CHUNKS},
+    store AS (SELECT sha256(key.url || '#' || chunk_index)[1:16] AS id, chunk AS text, key.url AS source_url, key.title AS title, key.category AS category, chunk_index, total_chunks, key.category AS collection FROM chunked)"""
+
+
+@query(f"WITH {_SCRAPED}, {_sql_store_rows('scraped')} SELECT * FROM store")
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.store_rows(ingest.scraped_pages(spark, sf_dir)).drop("embedding")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCRAPED}, documents AS (SELECT page_id AS doc_id, content AS text FROM scraped WHERE success), {_GREEDY.removeprefix('WITH RECURSIVE ')},
+    uniques AS (SELECT * FROM scraped WHERE success AND url IN (SELECT url FROM scraped JOIN greedy ON id = page_id WHERE is_unique)), {_sql_store_rows('uniques')},
+    one AS (SELECT count(*) AS total_pages, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed_scrapes FROM scraped), two AS (SELECT count(*) AS unique_documents FROM uniques),
+    three AS (SELECT count(*) AS chunks_stored, count(DISTINCT collection) AS collections FROM store)
+    SELECT *, successful - unique_documents AS duplicates_removed, CASE WHEN total_pages > 0 THEN successful / total_pages ELSE 0.0 END AS success_rate FROM one, two, three""")
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.report(spark, sf_dir)
 

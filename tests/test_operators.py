@@ -160,7 +160,7 @@ def test_store_and_search(spark, tmp_path):
     assert files.add_to_store(rows, path, exists=True) == 0
     files.delete_source(spark, path, "https://h/1", after)
     assert files.open_store(spark, after, "c").count() == 4 and [r[0] for r in files.collections(spark, after).collect()] == ["c"]
-    q = retrieval._hashed("text number 2. More words 2", 32)
+    q = retrieval.hashed_question("text number 2. More words 2", 32)
     hit = retrieval.search(files.open_store(spark, path), q, 3).first()
     assert hit.source_url == "https://h/2" and abs(hit.score - 1) < 1e-6
     text = retrieval.answer(retrieval.across_collections(files.open_store(spark, path), q), "bewerbung", ["c"]).first()[0]
@@ -352,7 +352,7 @@ def test_tools_and_mail(spark):
     from lodeweave.functions import mail
     from lodeweave.plans import tools
 
-    embed = lambda t: retrieval._hashed(t, 16)
+    embed = lambda t: retrieval.hashed_question(t, 16)
     store = spark.createDataFrame([("i", "apples and pears", embed("apples and pears"), "https://h", "", "c", 0, 1, "fruit")], files.STORE)
     tool = tools.knowledge_tool(store, embed)
     assert "apples" in tool(query="apples and pears").first()[0]
