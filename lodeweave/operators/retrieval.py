@@ -62,7 +62,7 @@ def hashing_embedder(dim: int = 384):
         row = np.repeat(np.arange(len(hashes)), np.diff(hashes.offsets.to_numpy()))
         v = np.bincount(row * dim + h % dim, np.where(h >> 31, 1.0, -1.0), len(hashes) * dim).reshape(-1, dim)
         n = np.sqrt(np.einsum("ij,ij->i", v, v))
-        v /= np.where(n > 0, n, 1.0)[:, None]
+        v = v / np.where(n > 0, n, 1.0)[:, None]  # bincount of nothing counts in whole numbers
         return pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dim), pa.array(v.astype(np.float32).ravel()))
 
     def encode(text: Column | str) -> Column:

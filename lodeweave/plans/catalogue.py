@@ -151,7 +151,8 @@ def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.exact_duplicates(rows).withColumnRenamed("id", "doc_id")
 
 
-_SHINGLES = "CASE WHEN len(w) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END"
+#: Shingles of a list w; zipped with itself, since a lambda that reads w would get a copy of it for every word.
+_SHINGLES = "CASE WHEN len(w) < 3 THEN [] ELSE list_distinct(list_transform(list_zip(w, w[2:], w[3:])[:len(w) - 2], lambda z: z[1] || ' ' || z[2] || ' ' || z[3])) END"
 
 
 @query(f"WITH w AS (SELECT doc_id, {D.sql_words('lower(text)')} AS w FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS s FROM w) SELECT doc_id, CAST(len(s) AS INTEGER) AS n_shingles, md5(coalesce(array_to_string(list_sort(s), ''), '')) AS shingle_hash FROM s")
@@ -719,7 +720,7 @@ def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Scraped pages, and the store's rows of a table of pages (page_id, url, title, content), by SQL.
-_SCRAPED = f"{_EXTRACT}, scraped AS (SELECT page_id, url, title, {D.sql_clean('content')} AS content, content <> '' AS success FROM extracted)"
+_SCRAPED = f"{_EXTRACT}, scraped AS MATERIALIZED (SELECT page_id, url, title, {D.sql_clean('content')} AS content, content <> '' AS success FROM extracted)"
 
 
 def _sql_store_rows(pages: str) -> str:
@@ -734,7 +735,7 @@ def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.store_rows(ingest.scraped_pages(spark, sf_dir)).drop("embedding")
 
 
-@query(f"""WITH RECURSIVE {_SCRAPED}, documents AS (SELECT page_id AS doc_id, content AS text FROM scraped WHERE success), {_GREEDY.removeprefix('WITH RECURSIVE ')},
+@query(f"""WITH RECURSIVE {_SCRAPED}, documents AS MATERIALIZED (SELECT page_id AS doc_id, content AS text FROM scraped WHERE success), {_GREEDY.removeprefix('WITH RECURSIVE ')},
     uniques AS (SELECT * FROM scraped WHERE success AND url IN (SELECT url FROM scraped JOIN greedy ON id = page_id WHERE is_unique)), {_sql_store_rows('uniques')},
     one AS (SELECT count(*) AS total_pages, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed_scrapes FROM scraped), two AS (SELECT count(*) AS unique_documents FROM uniques),
     three AS (SELECT count(*) AS chunks_stored, count(DISTINCT collection) AS collections FROM store)
