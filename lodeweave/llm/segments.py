@@ -19,8 +19,9 @@ Weights: for unigram models the pieces' scores; the scores of BPE models are ran
 piece weighs -log(2 + rank).
 
 Defined results: a null or empty text has one segmentation, without pieces, of probability
-one; a text with fewer than k segmentations returns all; a null key counts as -1; repeated
-rows have equal samples; an empty table gives an empty result; other columns are left behind.
+one; a text with fewer than k segmentations returns all, however unlikely; a null key counts as -1;
+repeated rows have equal samples; an empty table gives an empty result; other columns are left behind.
+Noise has 52 bits, so an edge whose share is below that is never drawn in one go, only as what branches off.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import heapq
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ MARK = "▁"
 _NOT_BLANK = np.ones(256, np.uint8)
 _NOT_BLANK[0x20] = 0
 _SIEVE = np.uint64((1 << 20) - 1)
+_ROUNDED = 2.0**-24  # the most by which a number below 1 is rounded down to 32 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _state: dict[str, object] = {}
 
@@ -90,7 +92,7 @@ class Lattice:
     """The lattices of all units seen: nodes are a unit's places 1..n, edges the pieces that end there, the longest first.
 
     Of an edge it keeps the place before it, its log probability among the edges of its node, log((1 - p) / p), and the
-    sum of probabilities up to it; all of these depend on the unit alone.
+    sum of probabilities up to it, rounded down; all of these depend on the unit alone.
     """
 
     def __init__(self, model: object):
@@ -254,8 +256,17 @@ class Lattice:
         lp[firsts[many == 1]] = 0.0
         share[firsts[many == 1]] = 1.0
         reached[firsts + many - 1] = 2.0  # the last edge takes what rounding left over
+        short = reached.astype(np.float32)  # never above the sum itself, so only what lies just above it needs a closer look
+        reached = np.where(short > reached, np.nextafter(short, np.float32(-1)), short)
         with np.errstate(divide="ignore"):
             against = np.where(share < 1, np.log1p(-np.minimum(share, 1)) - lp, -np.inf)
+        # Where one edge has nearly all, 1 - p has lost the others: they are added up by themselves.
+        tight = np.flatnonzero((share > 1 - 1e-9) & (many[end - 1] > 1))
+        if len(tight):
+            count = many[end[tight] - 1]
+            at = _ragged(firsts[end[tight] - 1], count)
+            others = np.where(at == np.repeat(tight, count), -np.inf, lp[at])
+            against[tight] = np.logaddexp.reduceat(others, np.cumsum(count) - count) - lp[tight]
         edges = self.id.n
         opens = (here == sizes[owner[end - 1]])
         for array, values in ((self.base, self.first.n + begin), (self.size, sizes), (self.before, before), (self.id, ids), (self.opens, opens), (self.lp, lp), (self.against, against), (self.reached, reached), (self.first, edges + firsts)):
@@ -284,6 +295,12 @@ class Lattice:
             u = noise(seed[alive], stream, offset[alive] + at[alive])
             on = np.flatnonzero(u >= reached[edge])
             while len(on):
+                near = np.flatnonzero(u[on] - reached[edge[on]] < _ROUNDED)
+                if len(near):
+                    own = alive[on[near]]
+                    low = first[base[units[own]] + at[own] - 1].tolist()
+                    exact = np.array([np.exp(self.lp.data[a : b + 1]).sum() for a, b in zip(low, edge[on[near]].tolist(), strict=True)])
+                    on = np.delete(on, near[u[on[near]] < exact])
                 edge[on] += 1
                 on = on[u[on] >= reached[edge[on]]]
             parts.append((alive, edge))
@@ -464,13 +481,14 @@ def samples(lattice: Lattice, units: np.ndarray, counts: np.ndarray, k: int, key
             node = int(lattice.base.data[units[unit]]) + spot - 1
             lo = int(firsts[node])
             hi = int(firsts[node + 1]) if node + 1 < lattice.first.n else lattice.lp.n
-            open_ = [(e, math.exp(lp_of[e])) for e in range(lo, hi) if e not in taken]
-            left = sum(p for _, p in open_)
-            target, edge, p = u * left, *open_[-1]
-            for e, q in open_:
-                target -= q
+            open_ = [e for e in range(lo, hi) if e not in taken]
+            weights = lp_of[open_]
+            shares = np.exp(weights - weights.max()).tolist()
+            target, edge = u * sum(shares), open_[-1]
+            for e, p in zip(open_, shares, strict=True):
+                target -= p
                 if target < 0:
-                    edge, p = e, q
+                    edge = e
                     break
             heads.append(np.append(edges[:t], edge))
             since.append(t + 1)
@@ -482,9 +500,9 @@ def samples(lattice: Lattice, units: np.ndarray, counts: np.ndarray, k: int, key
             todo_place.append(place)
             todo_offset.append(offset[unit : border[i + 1]])
             todo_seed.append(np.full(len(rest), seeds[i]))
-            left -= p
-            if len(open_) > 1 and left > 1e-12:
-                at = (float(before[t - 1]) if t else 0.0) + math.log(left)
+            if len(open_) > 1:  # however little is left
+                left = float(np.logaddexp.reduce(np.delete(weights, open_.index(edge))))
+                at = (float(before[t - 1]) if t else 0.0) + left
                 noisy = at - math.log(math.exp(min(at + low, 700)) - math.log(v))
                 heapq.heappush(agenda[i], (-noisy, parent, t, (*taken, edge)))
         drawn, per_unit = lattice.draw(np.concatenate(todo_seed), 2 * turn, np.concatenate(todo_units), np.concatenate(todo_place), np.concatenate(todo_offset))
@@ -512,31 +530,26 @@ def drawn_ids(lattice: Lattice, words: list[str], k: int, keys: list[int]) -> li
     return [[(next(parts), *p[1:]) for p in f] for f in found]
 
 
-def sampled(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
-    """(doc_id, sample, n_pieces, ids_crc32, log_prob, noisy, inclusion, best_crc32, decoded): k distinct segmentations of every text, by row key.
+def drawn_texts(path: str, k: int, keys: list[int | None], words: list[str]) -> tuple[list[np.ndarray], list[bytes], list[list[tuple[np.ndarray, bytes, float, float, float]]]]:
+    """The model's own ids of every text, what they decode to, and up to k samples of it: (ids, decoded bytes, log probability, noisy value, inclusion score)."""
+    lattice = _lattice(path)
+    units, counts = unit_numbers(lattice, words)
+    own = best_ids(lattice, words, units, counts)
+    found = samples(lattice, units, counts, k, np.array([-1 if i is None else i for i in keys], np.int64))
+    edges = [p[0] for f in found for p in f]
+    flat, sizes = lattice.ids_of(np.concatenate(edges), np.fromiter(map(len, edges), np.int64, len(edges)))
+    plain = lattice.decoded(np.concatenate(own).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own)))
+    shown, parts = lattice.decoded(flat.astype(np.int64), sizes), np.split(flat, np.cumsum(sizes)[:-1])
+    each = zip(parts, shown, strict=True)
+    return own, plain, [[(*next(each), *p[1:]) for p in f] for f in found]
 
-    best_crc32 is of the model's own segmentation; decoded is whether its pieces and the sample's give the text back.
-    """
-    names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "noisy", "inclusion", "best_crc32", "decoded"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
 
-    def rows_of(ids: list[int | None], words: list[str]) -> pa.RecordBatch:
-        lattice = _lattice(path)
-        units, counts = unit_numbers(lattice, words)
-        own = best_ids(lattice, words, units, counts)
-        found = samples(lattice, units, counts, k, np.array([-1 if i is None else i for i in ids], np.int64))
-        edges = [p[0] for f in found for p in f]
-        flat, sizes = lattice.ids_of(np.concatenate(edges), np.fromiter(map(len, edges), np.int64, len(edges)))
-        bodies = [w.encode() for w in words]
-        plain = lattice.decoded(np.concatenate(own).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own)))
-        texts, parts = iter(lattice.decoded(flat.astype(np.int64), sizes)), iter(np.split(flat.astype("<u4"), np.cumsum(sizes)[:-1]))
-        rows = []
-        for doc_id, best, body, first, f in zip(ids, own, bodies, plain, found, strict=True):
-            crc = zlib.crc32(best.astype("<u4").tobytes())
-            for i, (_, lp, noisy, inclusion) in enumerate(f, 1):
-                mine = next(parts)
-                rows.append((doc_id, i, len(mine), zlib.crc32(mine.tobytes()), lp, noisy, inclusion, crc, first == body and next(texts) == body))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _by_texts(docs: DataFrame, path: str, k: int, key: str, rows_of: Callable[..., Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """The rows that `rows_of` makes of (doc_id, text, own ids, what they decode to, samples) of every text."""
+
+    def of_texts(ids: list[int | None], words: list[str]) -> pa.RecordBatch:
+        rows = [row for doc in zip(ids, words, *drawn_texts(path, k, ids, words), strict=True) for row in rows_of(*doc)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -545,7 +558,39 @@ def sampled(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id") -
             for hi, w in enumerate(words, 1):
                 used += len(w)
                 if hi - lo >= TEXTS or used >= CHARS or hi == len(words):
-                    yield rows_of(ids[lo:hi], words[lo:hi])
+                    yield of_texts(ids[lo:hi], words[lo:hi])
                     lo, used = hi, 0
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, noisy double, inclusion double, best_crc32 long, decoded boolean")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ddl)
+
+
+def segmentations(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
+    """(doc_id, sample, ids, log_prob, noisy, inclusion, decoded_text): k distinct segmentations of every text, by row key; sample 0 is the model's own, without noise.
+
+    decoded_text is what the ids read as; bytes that are no character become U+FFFD.
+    """
+    ids_type = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", ids_type), ("log_prob", pa.float64()), ("noisy", pa.float64()), ("inclusion", pa.float64()), ("decoded_text", pa.string())])
+
+    def rows_of(doc_id: int | None, _: str, best: np.ndarray, plain: bytes, found: list[tuple]) -> Iterator[tuple]:
+        yield doc_id, 0, best.astype(np.int32), None, None, None, plain.decode("utf-8", "replace")
+        for i, (ids, shown, *scores) in enumerate(found, 1):
+            yield doc_id, i, ids.astype(np.int32), *scores, shown.decode("utf-8", "replace")
+
+    return _by_texts(docs, path, k, key, rows_of, schema, "doc_id long, sample int, ids array<int>, log_prob double, noisy double, inclusion double, decoded_text string")
+
+
+def sampled(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
+    """(doc_id, sample, n_pieces, ids_crc32, log_prob, noisy, inclusion, best_crc32, decoded): digests of `segmentations`, made where the ids are.
+
+    best_crc32 is of the model's own segmentation; decoded is whether its pieces and the sample's give the text back.
+    """
+    names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "noisy", "inclusion", "best_crc32", "decoded"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+
+    def rows_of(doc_id: int | None, word: str, best: np.ndarray, plain: bytes, found: list[tuple]) -> Iterator[tuple]:
+        body, crc = word.encode(), zlib.crc32(best.astype("<u4").tobytes())
+        for i, (ids, shown, *scores) in enumerate(found, 1):
+            yield doc_id, i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *scores, crc, plain == body and shown == body
+
+    return _by_texts(docs, path, k, key, rows_of, pa.schema(list(zip(names, kinds, strict=True))), "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, noisy double, inclusion double, best_crc32 long, decoded boolean")

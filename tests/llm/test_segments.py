@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,92 @@ def test_odd_rows(spark):
     twins = sorted(tuple(r) for r in out if r.doc_id == 3)
     assert twins[::2] == twins[1::2]
     assert G.sampled(df.limit(0), PATH).count() == 0
+
+
+class Wide:
+    """A unigram model whose pieces differ by more than a double's digits."""
+
+    pieces = [("<unk>", 0.0), ("ab", -0.5), ("a", -30.25), ("b", -30.5), ("c", -1.5), ("bc", -400.5), ("abc", -0.25)]
+
+    def get_piece_size(self):
+        return len(self.pieces)
+
+    def id_to_piece(self, i):
+        return self.pieces[i][0]
+
+    def get_score(self, i):
+        return self.pieces[i][1]
+
+    def is_unknown(self, i):
+        return i == 0
+
+    def is_byte(self, i):
+        return False
+
+    is_control = is_unused = is_byte
+
+    def unk_id(self):
+        return 0
+
+    def normalize(self, text):
+        return text
+
+    def encode(self, texts, num_threads=1):
+        return [[1]] * len(texts) if isinstance(texts, list) else [1]
+
+
+@pytest.mark.parametrize("text", ["ab", "abc", "aab", "abcab"])
+@pytest.mark.parametrize("k", [2, 3, 40])
+def test_no_segmentation_is_too_unlikely(text, k):
+    """Alternatives whose share is below what is left of 1 - p are drawn all the same, as many as are asked for."""
+    lattice = G.Lattice(Wide())
+    found = every(lattice, text)
+    total = np.logaddexp.reduce([w for _, w in found])
+    weights = {s: w - total for s, w in found}
+    for key in range(20):
+        got = G.drawn_ids(lattice, [text], k, [key])[0]
+        assert len(got) == min(k, len(found)) == len({g[0].tobytes() for g in got})
+        assert all(abs(weights[tuple(g[0].tolist())] - g[1]) < 1e-6 for g in got)
+        assert [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
+
+
+def test_all_segmentations_of_pieces_with_rare_parts():
+    lattice = G._lattice(PATH)
+    units = [p for p in lattice.piece if len(p) in (4, 5) and p[0] == "\u2581" and "\u2581" not in p[1:]]
+    found = [every(lattice, u) for u in units]
+    for f, got in zip(found, G.drawn_ids(lattice, [u[1:] for u in units], 20, [3] * len(units)), strict=True):
+        assert {tuple(g[0].tolist()) for g in got} == {s for s, _ in f} and len(got) == len(f)
+
+
+def test_rare_edges_are_drawn_directly(monkeypatch):
+    """An edge whose share is less than 32 bits resolve is taken where the noise falls on it, and not beside it."""
+    lattice = G._lattice(PATH)
+    units, counts = G.unit_numbers(lattice, ["a"])
+    node = int(lattice.base.data[units[0]]) + 1
+    first, share = int(lattice.first.data[node]), math.exp(lattice.lp.data[int(lattice.first.data[node]) + 1])
+    assert share < 2**-25
+    for u, edge in ((1 - share / 2, first + 1), (1 - 2 * share, first)):
+        monkeypatch.setattr(G, "noise", lambda seed, stream, place, u=u: np.full(len(place), u))
+        edges, _ = lattice.draw(np.zeros(1, np.uint64), 0, units, lattice.size.data[units], np.zeros(1, np.int64))
+        assert edges[0] == edge
+
+
+def test_texts_that_do_not_decode_leave_others_alone(spark):
+    """The mark itself reads as a space; rows behind such a text are compared with their own texts."""
+    rows = [(1, "one two"), (2, "a \u2581 b"), (3, "three four"), (4, ""), (5, "five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.decoded) for r in G.sampled(df, PATH, 3).collect()} == {(1, True), (2, False), (3, True), (4, True), (5, True)}
+
+
+def test_segmentations_are_whole_and_give_the_digests(spark):
+    words = {1: "one two", 2: "a \u2581 b", 3: None, 4: "x \u2460 y " * 2000}
+    df = spark.createDataFrame(list(words.items()), "doc_id long, text string")
+    out = G.segmentations(df, PATH, 3).collect()
+    assert {r.doc_id: r.ids for r in out if not r.sample} == dict(zip(words, [e.tolist() for e in G.encode([w or "" for w in words.values()], PATH)], strict=True))
+    assert all(r.decoded_text == (words[r.doc_id] or "").replace("\u2581", " ") == G.decode([np.array(r.ids, np.uint32)], PATH)[0] for r in out)
+    crc = {(r.doc_id, r.sample): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in out}
+    scores = {(r.doc_id, r.sample): (len(r.ids), r.log_prob, r.noisy, r.inclusion) for r in out if r.sample}
+    digests = G.sampled(df, PATH, 3).collect()
+    assert {(r.doc_id, r.sample): (r.n_pieces, r.log_prob, r.noisy, r.inclusion) for r in digests} == scores
+    assert all(r.ids_crc32 == crc[r.doc_id, r.sample] and r.best_crc32 == crc[r.doc_id, 0] for r in digests)
+    assert G.segmentations(df.limit(0), PATH).count() == 0
