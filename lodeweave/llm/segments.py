@@ -42,24 +42,19 @@ from lodeweave.llm.shared import tidy
 from lodeweave.llm.text import mix
 
 SAMPLES = 2
-#: Lattice nodes that a worker remembers; beyond it starts afresh.
+#: Lattice nodes that a worker remembers; beyond it forgets units that are rare.
 CACHE_NODES = 4_000_000
 #: Texts, and about how many characters of them, that are drawn together.
 TEXTS, CHARS = 256, 1 << 19
 MARK = "▁"
 _NOT_BLANK = np.ones(256, np.uint8)
 _NOT_BLANK[0x20] = 0
-_SIEVE = np.uint64((1 << 20) - 1)
 _ROUNDED = 2.0**-24  # the most by which a number below 1 is rounded down to 32 bits
+_NOISE = 37.0  # -log u and log(-log u) are not above it, as u has 52 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _state: dict[str, object] = {}
 
 
-def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings one character longer."""
-    return mix(h ^ codes.astype(np.uint64)) if len(h) else h
-
-
 def noise(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     """Numbers above 0 and below 1 by hash of seed, stream and place."""
     h = mix(seed + (place.astype(np.uint64) + np.uint64(stream << 44)) * _STEP)
@@ -81,6 +76,10 @@ class _Array:
         self.data[self.n : self.n + more] = values
         self.n += more
 
+    def keep(self, at: np.ndarray) -> None:
+        """Only the values at these places, in order."""
+        self.data[: len(at)], self.n = self.data[at], len(at)
+
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start[0], start[0] + 1, ... of every range in turn."""
@@ -88,6 +87,51 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class Trie:
+    """The pieces as a trie in arrays: from place p a character with number c leads to place q = base[p] + c if parent[q] is p; piece[q] is what ends there, or -1."""
+
+    def __init__(self, names: list[str]):
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        codes, at = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes
+        chars, often = np.unique(codes, return_counts=True)
+        self.number = np.zeros(int(chars.max(initial=0)) + 2, np.int64)  # the last stands for all characters beyond
+        self.number[chars[np.argsort(-often, kind="stable")]] = np.arange(1, len(chars) + 1)
+        many, state, n = len(chars) + 1, np.zeros(len(names), np.int64), 1
+        parents, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length in range(1, int(sizes.max(initial=0)) + 1):
+            alive = np.flatnonzero(sizes >= length)
+            step, inverse = np.unique(state[alive] * many + self.number[codes[at[alive] + length - 1]], return_inverse=True)
+            state[alive] = n + inverse
+            parents.append(step // many)
+            steps.append(step % many)
+            n += len(step)
+        parent, step = np.concatenate(parents), np.concatenate(steps)  # of the states from 1 on
+        own, start, count = np.unique(parent, return_index=True, return_counts=True)
+        base, busy, lo = np.zeros(n, np.int64), np.zeros(2 * n + 4 * many, bool), 0
+        busy[0] = True  # the root's place
+        for k in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+            here, found = step[start[k] : start[k] + count[k]], np.zeros(0, np.int64)
+            while True:
+                if lo + 256 + many > len(busy):
+                    busy = np.concatenate([busy, np.zeros(len(busy) + 256, bool)])
+                free = ~busy[lo + here[0] : lo + here[0] + 256]
+                for c in here[1:].tolist():
+                    free &= ~busy[lo + c : lo + c + 256]
+                found = np.flatnonzero(free)
+                if len(found):
+                    break
+                lo += 256
+            base[own[k]] = lo + found[0]
+            busy[base[own[k]] + here] = True
+        single = np.flatnonzero(count == 1)
+        free = np.flatnonzero(~np.concatenate([busy, np.zeros(len(single) + many, bool)])[many:])[: len(single)] + many
+        base[own[single]] = free - step[start[single]]
+        place = np.concatenate([[0], base[parent] + step])
+        room = int(max(place.max(), base.max())) + many
+        self.base, self.parent, self.piece = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.full(room, -1, np.int32)
+        self.base[place], self.parent[place[1:]], self.piece[place[state]] = base, place[parent], np.arange(len(names))
+
+
 class Lattice:
     """The lattices of all units seen: nodes are a unit's places 1..n, edges the pieces that end there, the longest first.
 
@@ -124,32 +168,15 @@ class Lattice:
         self.longest = max(map(len, self.piece), default=1)
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.piece)
         self.unknown = model.unk_id()
-        names = list(self.piece)
-        sizes = np.array([len(n) for n in names], np.int64)
-        self.codes = np.zeros((len(names), self.longest), np.uint32)
-        for j, n in enumerate(names):
-            self.codes[j, : len(n)] = np.frombuffer(n.encode("utf-32-le"), np.uint32)
-        self.sieve = np.zeros(int(_SIEVE) + 1, np.uint8)  # 1: a piece begins like this, 2: perhaps a piece
-        h, whole = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint64)
-        for length in range(1, self.longest + 1):
-            alive = np.flatnonzero(sizes >= length)
-            h[alive] = _longer(h[alive], self.codes[alive, length - 1])
-            self.sieve[(h[alive] & _SIEVE).astype(np.int64)] |= 1
-            ends = alive[sizes[alive] == length]
-            whole[ends] = h[ends]
-            self.sieve[(h[ends] & _SIEVE).astype(np.int64)] |= 2
-        order = np.argsort(whole)
-        self.hashes, self.codes = whole[order], self.codes[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two pieces have one hash")
-        self.pieces = text.Numbers()
-        self.pieces.add(self.hashes)
-        self.hash_id = np.array([i for i, _ in self.piece.values()], np.int64)[order]
-        self.hash_weight = np.array([w for _, w in self.piece.values()], np.float64)[order]
+        self.trie = Trie(list(self.piece))
+        self.ids = np.array([i for i, _ in self.piece.values()], np.int64)
+        self.weights = np.array([w for _, w in self.piece.values()], np.float64)
         self.clear()
 
     def clear(self) -> None:
         self.units, self.bodies = text.Numbers(), text.Strings()
+        self.single, self.other = _Array(np.int64), _Array(np.int64)  # units by their bodies' numbers, behind one mark, and by those in `units`
+        self.key, self.used = _Array(np.int64), _Array(np.int64)  # of each unit: its body and marks, how often it was met
         self.base, self.size = _Array(np.int64), _Array(np.int64)
         self.best, self.best_at, self.best_n = _Array(np.uint32), _Array(np.int64), _Array(np.int64)
         self.odd: set[int] = set()  # units that the model reads otherwise by themselves
@@ -159,20 +186,68 @@ class Lattice:
         self.strange: dict[int, tuple[int, float]] = {}
         self.spelled: list[list[int]] = []  # ids of edges with id -1 - k
 
+    def shed(self, nodes: int) -> None:
+        """Forget the units that were met once since the last time, and of the others the rarest, so that at most so many nodes are left."""
+        used, sizes = self.used.data[: self.used.n], self.size.data[: self.size.n]
+        order = np.argsort(-used, kind="stable")[: int((used > 1).sum())]
+        kept = np.sort(order[np.cumsum(sizes[order]) <= nodes])
+        self.odd = set(np.flatnonzero(np.isin(kept, np.array(sorted(self.odd), np.int64))).tolist())
+        begin, sizes = self.base.data[kept], sizes[kept]
+        self.first.extend(np.array([self.id.n]))
+        lo, hi = self.first.data[begin], self.first.data[begin + sizes]
+        moved = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), sizes)
+        self.first.keep(_ragged(begin, sizes))
+        self.first.data[: self.first.n] -= moved
+        at = _ragged(lo, hi - lo)
+        for array in (self.before, self.id, self.opens, self.lp, self.against, self.reached):
+            array.keep(at)
+        self.best.keep(_ragged(self.best_at.data[kept], self.best_n.data[kept]))
+        for array in (self.key, self.size, self.best_n):
+            array.keep(kept)
+        for array, n in ((self.base, self.size), (self.best_at, self.best_n)):
+            array.n = 0
+            array.extend(np.cumsum(n.data[: n.n]) - n.data[: n.n])
+        self.used.n = 0
+        self.used.extend(np.zeros(len(kept), np.int64))
+        buf, start, end = self.bodies.ranges(self.key.data[: len(kept)] >> 31)
+        self.units, self.bodies = text.Numbers(), text.Strings()
+        self.single, self.other = _Array(np.int64), _Array(np.int64)
+        bodies, marks = self.bodies.numbers(buf, start, end, lambda first, last: None), self.key.data[: len(kept)] & (1 << 31) - 1
+        self.key.data[: len(kept)] = bodies << 31 | marks
+        self._number(bodies, marks, np.arange(len(kept)))
+
+    def _number(self, bodies: np.ndarray, marks: np.ndarray, units: np.ndarray) -> None:
+        """Have new units, of distinct bodies and marks, found from now on."""
+        self.single.extend(np.full(self.bodies.n - self.single.n, -1))
+        one = marks == 1
+        self.single.data[bodies[one]] = units[one]
+        self.units.add(self._hashed(bodies[~one], marks[~one]))
+        self.other.extend(units[~one])
+
+    @staticmethod
+    def _hashed(bodies: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return mix((bodies << 31 | marks).astype(np.uint64) + np.uint64(1))  # one to one
+
     def numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The numbers of units, each so many space marks and the bytes from start to end; new ones are learned."""
         bodies = self.bodies.numbers(buf, start, end, lambda first, last: None)
-        hashes = mix((bodies.astype(np.uint64) << np.uint64(31) | marks.astype(np.uint64)) + np.uint64(1))  # one to one
-        found = self.units.find(hashes)
+        self.single.extend(np.full(self.bodies.n - self.single.n, -1))
+        found = self.single.data.take(bodies)
+        rest = np.flatnonzero(marks != 1)
+        at = self.units.find(self._hashed(bodies[rest], marks[rest]))
+        found[rest] = np.where(at >= 0, self.other.data[np.maximum(at, 0)], -1)
         new = np.flatnonzero(found < 0)
         if len(new):
-            distinct, at = np.unique(hashes[new], return_index=True)
+            distinct, at, inverse = np.unique(bodies[new] << 31 | marks[new], return_index=True, return_inverse=True)
             own = new[at]
-            bodies = text.joined(buf, start[own], end[own]).decode() if self.apart else None
-            words = bodies.split(" ") if bodies is not None else [buf[i:j].tobytes().decode().replace(" ", MARK) for i, j in zip(start[own], end[own], strict=True)]
+            words = text.joined(buf, start[own], end[own]).decode().split(" ") if self.apart else [buf[i:j].tobytes().decode().replace(" ", MARK) for i, j in zip(start[own], end[own], strict=True)]
+            units = self.size.n + np.arange(len(own))
             self._learn([MARK * k + w for k, w in zip(marks[own].tolist(), words, strict=True)])
-            self.units.add(distinct)
-            found[new] = self.units.find(hashes[new])
+            self.key.extend(distinct)
+            self.used.extend(np.zeros(len(own), np.int64))
+            self._number(bodies[own], marks[own], units)
+            found[new] = units[inverse]
+        self.used.data[: self.used.n] += np.bincount(found, minlength=self.used.n)
         return found
 
     def _encode(self, units: list[str]) -> None:
@@ -198,61 +273,68 @@ class Lattice:
         begin = np.cumsum(sizes) - sizes
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(units)), sizes)
-        place = np.arange(total) - begin[owner] + 1  # of the node behind each character
-        left = sizes[owner] - place + 1  # characters of the unit from each one on
-        start, h, found = np.arange(total), np.zeros(total, np.uint64), []
-        alone = np.ones(total, bool)
-        for length in range(1, self.longest + 1):
-            on = left[start] >= length
-            start, h = start[on], h[on]
-            h = _longer(h, codes[start + length - 1])
-            mark = self.sieve[(h & _SIEVE).astype(np.int64)]
-            maybe = np.flatnonzero(mark & 2)
-            at = self.pieces.find(h[maybe])
-            hit = at >= 0
-            own, at = start[maybe[hit]], at[hit]
-            same = np.ones(len(own), bool)
-            for j in range(length):
-                same &= codes[own + j] == self.codes[at, j]
-            own, at = own[same], at[same]
-            found.append((own + length, np.full(len(own), length), self.hash_id[at], self.hash_weight[at]))
-            if length == 1:
-                alone[own] = False
-            on = np.flatnonzero(mark)
-            start, h = start[on], h[on]
-            if not len(start):
+        here = np.arange(total)
+        place = here - begin[owner] + 1  # of the node behind each character
+        trie, found, many = self.trie, [], np.zeros(total, np.int64)
+        steps = np.zeros(total + len(units), np.int64)  # numbers of the characters; a zero behind each unit leads nowhere
+        steps[here + owner] = trie.number[np.minimum(codes, len(trie.number) - 1)]
+        start, at, state = here, here + owner, np.zeros(total, np.int64)
+        for length in itertools.count(1):
+            to = trie.base.take(state) + steps.take(at)
+            on = np.flatnonzero(trie.parent.take(to) == state)
+            if not len(on):
                 break
-        rest = np.flatnonzero(alone)
+            start, at, state = start.take(on), at.take(on) + 1, to.take(on)
+            piece = trie.piece.take(state)
+            hit = np.flatnonzero(piece >= 0)
+            end, piece = start.take(hit) + (length - 1), piece.take(hit)
+            found.append((end, length, self.ids.take(piece), self.weights.take(piece)))
+            many[end] += 1
+            if length == 1:
+                alone = np.ones(total, bool)
+                alone[end] = False
+        rest = np.flatnonzero(alone) if found else here
         strange = [self._spelled(c) for c in codes[rest].tolist()]
-        found.insert(0, (rest + 1, np.ones(len(rest), np.int64), np.array([i for i, _ in strange], np.int64), np.array([w for _, w in strange], np.float64)))
-        end, length, ids, weight = (np.concatenate([f[i] for f in found[::-1]]) for i in range(4))
-        order = np.argsort(end, kind="stable")
-        end, length, ids, weight = end[order], length[order], ids[order], weight[order]
-        here = place[end - 1]
-        before = here - length
+        found.insert(0, (rest, 1, np.array([i for i, _ in strange], np.int64), np.array([w for _, w in strange], np.float64)))
+        many[rest] += 1
+        # A node's edges in turn, the longest first.
+        firsts = np.cumsum(many) - many
+        free, n = firsts.copy(), int(many.sum())
+        span, ids, weight = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        for end, length, piece, w in found[::-1]:
+            to = free[end]
+            span[to], ids[to], weight[to] = length, piece, w
+            free[end] = to + 1
+        before = np.repeat(place, many) - span
         mass = np.zeros(total + len(units))  # one place more for each unit's start
-        to = end + owner[end - 1]
-        lp, share = np.zeros(len(end)), np.ones(len(end))
-        by_place = np.argsort(here.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else here, kind="stable")
-        borders = np.searchsorted(here[by_place], np.arange(1, int(sizes.max(initial=0)) + 2))
+        # Edges by the place of their node, so that each step has its own side by side.
+        turn = np.argsort(place.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else place, kind="stable")
+        each, to = many[turn], (here + owner + 1)[turn]
+        by_place = _ragged(firsts[turn], each)
+        since, step = np.repeat(to, each) - span[by_place], weight[by_place]
+        opening = np.append(np.cumsum(each) - each, n)
+        borders = np.searchsorted(place[turn], np.arange(1, int(sizes.max(initial=0)) + 2))
+        lps, shares = np.zeros(n), np.ones(n)
         for lo, hi in itertools.pairwise(borders.tolist()):
-            k = by_place[lo:hi]
-            value = mass[to[k] - length[k]] + weight[k]
-            first = np.flatnonzero(np.concatenate([[True], to[k[1:]] != to[k[:-1]]]))
-            count = np.diff(np.append(first, len(k)))
+            a, b = int(opening[lo]), int(opening[hi])
+            first, count = opening[lo:hi] - a, each[lo:hi]
+            value = mass.take(since[a:b]) + step[a:b]
             top = np.maximum.reduceat(value, first)
             part = np.exp(value - np.repeat(top, count))
             sums = np.add.reduceat(part, first)
             found_mass = top + np.log(sums)
-            mass[to[k[first]]] = found_mass
-            lp[k] = value - np.repeat(found_mass, count)
-            share[k] = part / np.repeat(sums, count)
-        firsts = np.searchsorted(end, np.arange(1, total + 1))
-        many = np.diff(np.append(firsts, len(end)))
-        reached = share.copy()
-        for j in range(1, int(many.max(initial=0))):
-            at = firsts[many > j] + j
+            mass[to[lo:hi]] = found_mass
+            lps[a:b] = value - np.repeat(found_mass, count)
+            shares[a:b] = part / np.repeat(sums, count)
+        lp, share = np.zeros(n), np.ones(n)
+        lp[by_place], share[by_place] = lps, shares
+        reached, on = share.copy(), np.flatnonzero(many > 1)
+        for j in itertools.count(1):
+            if not len(on):
+                break
+            at = firsts[on] + j
             reached[at] += reached[at - 1]
+            on = on[many[on] > j + 1]
         lp[firsts[many == 1]] = 0.0
         share[firsts[many == 1]] = 1.0
         reached[firsts + many - 1] = 2.0  # the last edge takes what rounding left over
@@ -261,14 +343,16 @@ class Lattice:
         with np.errstate(divide="ignore"):
             against = np.where(share < 1, np.log1p(-np.minimum(share, 1)) - lp, -np.inf)
         # Where one edge has nearly all, 1 - p has lost the others: they are added up by themselves.
-        tight = np.flatnonzero((share > 1 - 1e-9) & (many[end - 1] > 1))
+        tight = np.flatnonzero(share > 1 - 1e-9)
+        node = np.searchsorted(firsts, tight, "right") - 1
+        tight, node = tight[many[node] > 1], node[many[node] > 1]
         if len(tight):
-            count = many[end[tight] - 1]
-            at = _ragged(firsts[end[tight] - 1], count)
+            count = many[node]
+            at = _ragged(firsts[node], count)
             others = np.where(at == np.repeat(tight, count), -np.inf, lp[at])
             against[tight] = np.logaddexp.reduceat(others, np.cumsum(count) - count) - lp[tight]
         edges = self.id.n
-        opens = (here == sizes[owner[end - 1]])
+        opens = np.repeat(place == sizes[owner], many)
         for array, values in ((self.base, self.first.n + begin), (self.size, sizes), (self.before, before), (self.id, ids), (self.opens, opens), (self.lp, lp), (self.against, against), (self.reached, reached), (self.first, edges + firsts)):
             array.extend(values)
 
@@ -287,26 +371,30 @@ class Lattice:
 
         offset: where a unit begins in its text, for the noise.
         """
-        base, before, reached, first = self.base.data, self.before.data, self.reached.data, self.first.data
-        alive, at, count = np.flatnonzero(place > 0), place.copy(), np.zeros(len(units), np.int64)
+        before, reached, first = self.before.data, self.reached.data, self.first.data
+        alive = np.flatnonzero(place > 0)
+        at, node = place.take(alive), self.base.data.take(units.take(alive)) - 1
+        seed = seed.take(alive) + (offset.take(alive).astype(np.uint64) + np.uint64(stream << 44)) * _STEP  # as `noise` adds them up
+        count = np.zeros(len(units), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         while len(alive):
-            edge = first[base[units[alive]] + at[alive] - 1]
-            u = noise(seed[alive], stream, offset[alive] + at[alive])
-            on = np.flatnonzero(u >= reached[edge])
+            edge = first.take(node + at)
+            u = noise(seed, 0, at)
+            on = np.flatnonzero(u >= reached.take(edge))
             while len(on):
                 near = np.flatnonzero(u[on] - reached[edge[on]] < _ROUNDED)
                 if len(near):
-                    own = alive[on[near]]
-                    low = first[base[units[own]] + at[own] - 1].tolist()
+                    own = on[near]
+                    low = first[node[own] + at[own]].tolist()
                     exact = np.array([np.exp(self.lp.data[a : b + 1]).sum() for a, b in zip(low, edge[on[near]].tolist(), strict=True)])
                     on = np.delete(on, near[u[on[near]] < exact])
                 edge[on] += 1
                 on = on[u[on] >= reached[edge[on]]]
             parts.append((alive, edge))
             count[alive] += 1
-            at[alive] = before[edge]
-            alive = alive[at[alive] > 0]
+            at = before.take(edge)
+            on = np.flatnonzero(at)
+            alive, at, node, seed = alive.take(on), at.take(on), node.take(on), seed.take(on)
         start = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int64)
         for k, (which, edge) in enumerate(parts):
@@ -349,7 +437,7 @@ def _lattice(path: str) -> Lattice:
         _state.update(path=path, lattice=Lattice(sentencepiece.SentencePieceProcessor(model_file=path)))
     lattice = _state["lattice"]
     if lattice.first.n > CACHE_NODES:
-        lattice.clear()
+        lattice.shed(CACHE_NODES // 4)
     return lattice
 
 
@@ -404,6 +492,14 @@ def decode(ids: list[np.ndarray], path: str) -> list[str]:
     return [x.decode("utf-8", "replace") for x in lattice.decoded(flat, np.fromiter(map(len, ids), np.int64, len(ids)))]
 
 
+def able(at: np.ndarray, k: int, ceiling: float) -> np.ndarray:
+    """The places of those decisions whose noisy value can be among the k largest, by their log masses: noise moves none by more than _NOISE."""
+    if len(at) <= k:
+        return np.arange(len(at))
+    last = float(np.partition(at, len(at) - k)[len(at) - k])
+    return np.flatnonzero(at >= last - math.log(math.exp(min(last - ceiling, 700)) + _NOISE) - _NOISE)
+
+
 def samples(lattice: Lattice, units: np.ndarray, counts: np.ndarray, k: int, keys: np.ndarray) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For every text up to k distinct segmentations as (edges, log probability, noisy value, inclusion score), the largest noisy value first.
 
@@ -421,18 +517,20 @@ def samples(lattice: Lattice, units: np.ndarray, counts: np.ndarray, k: int, key
 
     def branch(turn: int, texts: list[int], since: list[int], flat: np.ndarray, so_far: np.ndarray, length: np.ndarray) -> None:
         """Put what leaves the newest paths at one of their decisions from `since` on into the agenda: the k largest are enough."""
+        which = np.array(texts, np.int64)
+        ceiling = np.array([paths[i][-1][2] for i in texts])
+        at = so_far + lattice.against.data.take(flat)
+        ends = np.cumsum(length)
+        kept = [able(at[b - n + s : b], k, c) + (b - n + s) for b, n, s, c in zip(ends.tolist(), length.tolist(), since, ceiling.tolist(), strict=True)]
+        begin, length = ends - length, np.fromiter(map(len, kept), np.int64, len(kept))
         full = np.flatnonzero(length)
         if not len(full):
             return
-        start = np.cumsum(length) - length
-        index = np.arange(len(flat)) - np.repeat(start, length)
-        which = np.array(texts, np.int64)
-        ceiling = np.array([paths[i][-1][2] for i in texts])
-        at = so_far + lattice.against.data[flat]
+        start, kept = np.cumsum(length) - length, np.concatenate(kept)
+        flat, at, index = flat[kept], at[kept], kept - np.repeat(begin, length)
         with np.errstate(divide="ignore", invalid="ignore"):
             u = noise(np.repeat(seeds[which], length), 2 * turn + 1, index + 1)
             value = at - np.log(np.exp(np.minimum(at - np.repeat(ceiling, length), 700)) - np.log(u))
-        value[index < np.repeat(np.array(since), length)] = -np.inf
         value[np.isnan(value)] = -np.inf
         for _ in range(k):
             best = np.maximum.reduceat(value, start[full])

@@ -265,6 +265,10 @@ class Strings:
             new = new[out[new] < 0]
         return out
 
+    def ranges(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes that hold strings, and where those of the numbers start and end."""
+        return self._flat[: self.used], self._start[numbers], self._start[numbers] + self._size[numbers]
+
     def _find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
         place = self._hashes.find(h)
         out = np.where(place >= 0, self._of[np.maximum(place, 0)], -1)

@@ -185,3 +185,56 @@ def test_segmentations_are_whole_and_give_the_digests(spark):
     assert {(r.doc_id, r.sample): (r.n_pieces, r.log_prob, r.noisy, r.inclusion) for r in digests} == scores
     assert all(r.ids_crc32 == crc[r.doc_id, r.sample] and r.best_crc32 == crc[r.doc_id, 0] for r in digests)
     assert G.segmentations(df.limit(0), PATH).count() == 0
+
+
+def test_a_full_memory_keeps_what_was_met_again(monkeypatch):
+    """Beyond CACHE_NODES only what is rare is learned anew, and nothing that is drawn or encoded changes."""
+    lattice = G._lattice(PATH)
+    lattice.clear()
+    texts = [*TEXTS, *(f"common words {i}  here ①②\n {'z' * (i % 7)}" for i in range(200))]
+
+    def drawn():
+        return [[(g[0].tolist(), *g[1:]) for g in f] for f in G.drawn_ids(lattice, texts, 3, list(range(len(texts))))]
+
+    before, met = drawn(), lattice.size.n
+    monkeypatch.setattr(G, "CACHE_NODES", lattice.first.n - 1)
+    assert G._lattice(PATH) is lattice and 0 < lattice.size.n < met
+    assert lattice.first.n <= G.CACHE_NODES // 4
+    learned, learn = [], lattice._learn
+    monkeypatch.setattr(lattice, "_learn", lambda units: (learned.extend(units), learn(units)))
+    for _ in range(2):
+        assert drawn() == before
+        assert [e.tolist() for e in G.encode(texts, PATH)] == [lattice.model.encode(t) for t in texts]
+    assert learned and {"▁common", "▁words", "▁▁here", "▁long"}.isdisjoint(learned)
+
+
+@pytest.mark.parametrize("names", [None, [], ["a"], ["ab", "a", "b", "abc", "\U0010ffff"]])
+def test_trie_leads_to_every_piece_and_to_nothing_else(names):
+    names = list(G._lattice(PATH).piece) if names is None else names
+    trie, index, rng = G.Trie(names), {n: i for i, n in enumerate(names)}, random.Random(2)
+    number, base, parent, piece = (x.tolist() for x in (trie.number, trie.base, trie.parent, trie.piece))
+
+    def walk(word):
+        state = 0
+        for c in word:
+            to = base[state] + number[min(ord(c), len(number) - 1)]
+            if parent[to] != state:
+                return -1
+            state = to
+        return piece[state]
+
+    others = ["".join(rng.choice("abcet▁①\U0001f600") for _ in range(rng.randrange(1, 6))) for _ in range(20000)]
+    assert all(walk(w) == index.get(w, -1) for w in [*names, *others, "\U0010fffe", "\0"])
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_no_decision_among_the_largest_is_left_out(k):
+    """Also where the noise is as small or as large as 52 bits allow."""
+    rng = np.random.default_rng(k)
+    for _ in range(300):
+        at, ceiling = -np.cumsum(rng.exponential(2, 200)), float(rng.normal(0, 5))
+        at[rng.random(200) < 0.3] = -np.inf
+        u = rng.choice([2.0**-53, 0.5, 1 - 2.0**-53], 200)
+        value = at - np.log(np.exp(np.minimum(at - ceiling, 700)) - np.log(u))
+        last = np.sort(value)[-k]
+        assert set(np.flatnonzero((value >= last) & (value > -np.inf)).tolist()) <= set(G.able(at, k, ceiling).tolist())
