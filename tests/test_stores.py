@@ -1,10 +1,12 @@
+import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.operators import cache as C
-from lodeweave.operators import dedupe
+from lodeweave.operators import dedupe, minhash
 from lodeweave.operators.cache_table import CacheTable
 from lodeweave.operators.near_index import NearIndex
 from lodeweave.sources.buckets import read_bucketed, write_bucketed
@@ -147,3 +149,41 @@ def test_empty_tables(spark, tmp_path):
     assert dedupe.greedy(empty).count() == 0
     index = NearIndex(spark, f"file://{tmp_path}/near")
     assert index.add(empty).count() == 0 and index.add(empty).count() == 0
+
+
+def folder_bytes(spark):
+    """What intermediate tables hold."""
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+
+@pytest.mark.parametrize("name", ["greedy", "near_pairs", "minhash"])
+def test_unlike_texts_leave_little_on_disk(spark, name):
+    """Sets of texts that can't be near to any other aren't kept, nor are those of whole texts longer than any beginning."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(2000))) for i in range(120)]
+    rows += [(1000 + i, t) for i, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    before = folder_bytes(spark)
+    got = {"greedy": dedupe.greedy, "near_pairs": dedupe.near_pairs, "minhash": minhash.near_pairs}[name](docs).collect()
+    assert len(got) == (len(rows) if name == "greedy" else 0)
+    assert folder_bytes(spark) - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_a_pair_is_found_whatever_order_its_copies_come_in(spark):
+    """Copies stand for one another, but each pair has its own order: the larger id's whole text and the smaller one's beginning."""
+    text = " ".join(f"w{i}" for i in range(100))
+    other, long_ = text.replace("w50 ", "x "), " ".join(f"v{i}" for i in range(1300))
+    rows = [(1, text), (2, other), (3, text), (4, other), (5, long_), (6, long_), (7, long_[:4990] + " end"), (8, long_)]
+    sets = lambda t: {tuple(w[i : i + 3]) for w in [t.split()] for i in range(len(w) - 2)}
+    want = set()
+    for i, x in rows:
+        for j, y in rows:
+            s, t = sets(x), sets(y[:5000])
+            if j < i and len(s & t) / len(s | t) >= 0.85:
+                want.add((i, j, round(len(s & t) / len(s | t), 9)))
+    docs = spark.createDataFrame(rows, "id long, content string")
+    assert len(want) > 6
+    for found in (dedupe.near_pairs(docs), minhash.near_pairs(docs)):
+        assert {(r.i, r.j, round(r.jaccard, 9)) for r in found.collect()} == want
