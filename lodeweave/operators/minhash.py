@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
-from lodeweave.operators.dedupe import KEPT_CHARS, SHINGLE_WORDS, THRESHOLD
-from lodeweave.session import written
+from lodeweave.operators.dedupe import KEPT_CHARS, SHINGLE_WORDS, THRESHOLD, classes, for_all, shingled, verified
 
 #: Bands, and hash functions of a band: a pair of likeness s is missed with probability (1 - s ** ROWS) ** BANDS, 0.2 % at 0.85.
 BANDS, ROWS = 24, 8
@@ -43,7 +42,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, n: int, seed: int = 1) -> np
 
 
 def banded(sets: DataFrame, column: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, size, band, key) of documents (id, a set of 64-bit hashes): one row for each band; empty sets have none."""
+    """(id, size, keys) of documents (id, a set of 64-bit hashes): a key for each band; empty sets have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,28 +55,34 @@ def banded(sets: DataFrame, column: str, bands: int = BANDS, rows: int = ROWS) -
             keys = np.zeros((len(full), bands), np.uint64)
             for r in range(rows):
                 keys = _mixed(keys + made[:, r::rows][:, :bands] * np.uint64(2 * r + 3))
-            ids = batch.column("id").take(pa.array(full)).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.repeat(sizes[full].astype(np.int64), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(full))), pa.array(keys.ravel().view(np.int64))], ["id", "size", "band", "key"])
+            held = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * bands, keys.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(full)), pa.array(sizes[full].astype(np.int64)), held], ["id", "size", "keys"])
 
-    return sets.select(F.col("id").cast("long").alias("id"), F.col(column).alias("s")).mapInArrow(run, "id long, size long, band int, key long")
+    return sets.select(F.col("id").cast("long").alias("id"), F.col(column).alias("s")).mapInArrow(run, "id long, size long, keys array<bigint>")
 
 
-def candidates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, kept_chars: int = KEPT_CHARS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(i, j) of documents j < i that share a band, with sizes that allow the likeness; and the documents' sets (id, s, a, t, b)."""
-    whole, cut = T.shingle_hashes(F.col("content"), k), T.shingle_hashes(F.left("content", F.lit(kept_chars)), k)
-    sets = written(docs.select("id", whole.alias("s"), cut.alias("t")).withColumns({"a": F.size("s"), "b": F.size("t")}), "sets")
-    left = banded(sets, "s", bands, rows).select(F.col("id").alias("i"), F.col("size").alias("a"), "band", "key")
-    right = banded(sets, "t", bands, rows).select(F.col("id").alias("j"), F.col("size").alias("b"), "band", "key")
+def _met(sets: DataFrame, asked: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(i, j) of ids `asked` (id, last) that share a band, j smaller than i's `last`, with sizes that allow the likeness; of `dedupe.shingled` sets."""
+    whole = banded(sets.where("s IS NOT NULL"), "s", bands, rows)
+    cut = banded(sets.select("id", F.coalesce("t", "s").alias("s")).where("s IS NOT NULL"), "s", bands, rows)
+    left = whole.join(asked.select("id", "last"), "id").select(F.col("id").alias("i"), F.col("size").alias("a"), "last", F.posexplode("keys").alias("band", "key"))
+    right = cut.join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("j"), F.col("size").alias("b"), F.posexplode("keys").alias("band", "key"))
     close = (F.col("b") >= threshold * F.col("a") - 1e-9) & (F.col("a") >= threshold * F.col("b") - 1e-9)
-    return left.join(right, ["band", "key"]).where((F.col("j") < F.col("i")) & close).select("i", "j").distinct(), sets
+    return left.join(right, ["band", "key"]).where((F.col("j") < F.col("last")) & (F.col("j") != F.col("i")) & close).select("i", "j").distinct()
+
+
+def candidates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, kept_chars: int = KEPT_CHARS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(i, j) of documents j < i that share a band, with sizes that allow the likeness; and the documents' sets (id, s, t), as `dedupe.shingled` has them."""
+    sets = shingled(docs, threshold, k, kept_chars)
+    return _met(sets, docs.select("id", F.col("id").alias("last")), threshold, bands, rows), sets
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, kept_chars: int = KEPT_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(i, j, jaccard) as `dedupe.near_pairs` has them, but for what the bands miss."""
-    pairs, sets = candidates(docs, threshold, k, kept_chars, bands, rows)
-    met = pairs.join(sets.select(F.col("id").alias("i"), "s", "a"), "i").join(sets.select(F.col("id").alias("j"), "t", "b"), "j")
-    overlap = F.size(F.array_intersect("s", "t"))
-    return met.select("i", "j", (overlap / (F.col("a") + F.col("b") - overlap)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    """(i, j, jaccard) as `dedupe.near_pairs` has them, but for what the bands miss; copies stand for one another until pairs are given out."""
+    known = classes(docs)
+    sets = shingled(docs, threshold, k, kept_chars)
+    found = verified(_met(sets, known.where("id = first"), threshold, bands, rows), sets, threshold)
+    return for_all(found, known, docs, threshold, k, kept_chars)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
