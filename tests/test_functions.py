@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,3 +109,12 @@ def test_html_never_fails(page):
     H.extract("https://h.test/", page)
     H.cleaned(page)
     H.crawl_links("https://h.test/", page)
+
+
+def test_fields_of_few_pages_are_held_at_a_time(monkeypatch):
+    assert list(H.runs([3, 4, 9, 1, 1], 8)) == [(0, 2), (2, 3), (3, 5)] and list(H.runs([], 8)) == []
+    monkeypatch.setattr(H, "TOGETHER", 300)
+    pages = [f"<a href='/{i}'>x{i}</a>" * (i + 1) for i in range(20)]
+    batch = (pd.Series(["https://h.test/"] * 20), pd.Series(pages))
+    out = list(H.extracted(iter([batch]), ["links"]))
+    assert len(out) > 5 and [c for part in out for c in part["links"]] == [H.extract("https://h.test/", p)["links"] for p in pages]
